@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html_extract, mixing, token_records, topk, warc
+from . import fingerprints, html_extract, jaccard_join, language_id, mixing, sentencepiece_wfst, token_counts, token_records, topk, warc
 from .common import table
 
 #: Folder of public vocabulary files.
@@ -23,15 +23,31 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_copies(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_wfst.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +58,6 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_extraction, op2_exact_topk, op4_source_mixing, op6_fingerprints, op9_warc, op10_token_records)
+    f.__name__: f for f in (op1_html_extraction, op2_exact_topk, op3_language_id, op4_source_mixing, op5_sentencepiece, op6_fingerprints, op7_token_counts, op8_jaccard_join, op9_warc, op10_token_records)
 }
 ORACLES: dict[str, str] = {}
