@@ -112,29 +112,42 @@ def near_match(tm):
     return reuse.near(want, tm, reuse.candidates(tm))
 
 
-def over_strings(name: str, sql: str, **columns):
-    """A query of string functions over the memory's strings."""
+def over_strings(name: str, sql: str, columns):
+    """A query of string functions over the memory's strings; columns gives them by name."""
 
     def run(spark, sf_dir):
-        return memory.derived(spark, sf_dir)["strings"].select("string_id", *[c.alias(k) for k, c in columns.items()])
+        return memory.derived(spark, sf_dir)["strings"].select("string_id", *[c.alias(k) for k, c in columns().items()])
 
     QUERIES[name] = run
     ORACLES[name] = memory.with_sql(f"SELECT string_id, {sql} FROM tm_strings")
 
 
-S, C = F.col("string"), F.col("context")
-E = F.concat(F.lit('<b class="x">'), S, F.lit(" & co</b>"))
+def S():
+    return F.col("string")
+
+
+def C():
+    return F.col("context")
+
+
+def E():
+    return F.concat(F.lit('<b class="x">'), F.col("string"), F.lit(" & co</b>"))
+
+
+def P():
+    return F.concat(F.col("string"), F.lit('\t"q"\\\n'))
+
+
 ESQL = "('<b class=\"x\">' || string || ' & co</b>')"
-over_strings("string_key", "md5(string || chr(1) || coalesce(context,'')) AS key", key=fx.string_key(S, C))
-over_strings("tuple_hash", "md5(coalesce(context,'') || chr(1) || string) AS h", h=fx.tuple_hash(C, S))
-over_strings("normalize_ws", r"trim(regexp_replace('  ' || replace(string,' ','   ') || chr(10), '\s+', ' ', 'g')) AS s", s=fx.normalize_ws(F.concat(F.lit("  "), F.replace(S, F.lit(" "), F.lit("   ")), F.lit("\n"))))
-over_strings("xml_escape", f"replace(replace(replace(replace({ESQL},'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;') AS escaped, {ESQL} AS back", escaped=fx.xml_escape(E), back=fx.xml_unescape(fx.xml_escape(E)))
-P = F.concat(S, F.lit('\t"q"\\\n'))
-over_strings("po_escape", "string || '\\t\\\"q\\\"\\\\\\n' AS escaped, string || chr(9) || '\"q\"\\' || chr(10) AS back", escaped=fx.po_escape(P), back=fx.po_unescape(fx.po_escape(P)))
-over_strings("java_escape", "string || '\\u00e9\\u65e5' AS s", s=fx.java_escape(F.concat(S, F.lit("é日"))))
-over_strings("c_unescape", "string || 'é\"' || chr(10) || '\\' AS s", s=fx.c_unescape(F.concat(S, F.lit('\\u00e9\\"\\n\\\\'))))
-over_strings("plural_forms", "len(string_split(string || chr(31) || string || chr(31), chr(31))) AS n, string || chr(31) || string AS joined", n=F.size(fx.plural_split(F.concat(S, F.lit("\x1f"), S, F.lit("\x1f")))), joined=fx.plural_join(fx.plural_split(F.concat(S, F.lit("\x1f"), S, F.lit("\x1f")))))
-over_strings("segment", "len(string_split_regex(replace(string,' ',chr(10)||chr(10)), '\\n{2,}')) AS n, string_split_regex(replace(string,' ',chr(10)||chr(10)), '\\n{2,}')[1] AS first", n=F.size(fx.segment(F.replace(S, F.lit(" "), F.lit("\n\n")))), first=fx.segment(F.replace(S, F.lit(" "), F.lit("\n\n")))[0])
+over_strings("string_key", "md5(string || chr(1) || coalesce(context,'')) AS key", lambda: dict(key=fx.string_key(S(), C())))
+over_strings("tuple_hash", "md5(coalesce(context,'') || chr(1) || string) AS h", lambda: dict(h=fx.tuple_hash(C(), S())))
+over_strings("normalize_ws", r"trim(regexp_replace('  ' || replace(string,' ','   ') || chr(10), '\s+', ' ', 'g')) AS s", lambda: dict(s=fx.normalize_ws(F.concat(F.lit("  "), F.replace(S(), F.lit(" "), F.lit("   ")), F.lit("\n")))))
+over_strings("xml_escape", f"replace(replace(replace(replace({ESQL},'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;') AS escaped, {ESQL} AS back", lambda: dict(escaped=fx.xml_escape(E()), back=fx.xml_unescape(fx.xml_escape(E()))))
+over_strings("po_escape", "string || '\\t\\\"q\\\"\\\\\\n' AS escaped, string || chr(9) || '\"q\"\\' || chr(10) AS back", lambda: dict(escaped=fx.po_escape(P()), back=fx.po_unescape(fx.po_escape(P()))))
+over_strings("java_escape", "string || '\\u00e9\\u65e5' AS s", lambda: dict(s=fx.java_escape(F.concat(S(), F.lit("é日")))))
+over_strings("c_unescape", "string || 'é\"' || chr(10) || '\\' AS s", lambda: dict(s=fx.c_unescape(F.concat(S(), F.lit('\\u00e9\\"\\n\\\\')))))
+over_strings("plural_forms", "len(string_split(string || chr(31) || string || chr(31), chr(31))) AS n, string || chr(31) || string AS joined", lambda: dict(n=F.size(fx.plural_split(F.concat(S(), F.lit("\x1f"), S(), F.lit("\x1f")))), joined=fx.plural_join(fx.plural_split(F.concat(S(), F.lit("\x1f"), S(), F.lit("\x1f"))))))
+over_strings("segment", "len(string_split_regex(replace(string,' ',chr(10)||chr(10)), '\\n{2,}')) AS n, string_split_regex(replace(string,' ',chr(10)||chr(10)), '\\n{2,}')[1] AS first", lambda: dict(n=F.size(fx.segment(F.replace(S(), F.lit(" "), F.lit("\n\n")))), first=fx.segment(F.replace(S(), F.lit(" "), F.lit("\n\n")))[0]))
 
 
 def _chain(column: str, patterns: list[str], to: str) -> str:
@@ -145,21 +158,21 @@ def _chain(column: str, patterns: list[str], to: str) -> str:
 
 CKEY = "lower(replace(regexp_replace(" + _chain("string", fx.NOT_KEY, "''") + r", '[^\p{L}\p{M}\p{N}_]+', '', 'g'), '_', ''))"
 WORDS = "len(regexp_extract_all(regexp_replace(regexp_replace(" + _chain("replace(string, chr(10), '{\\n}')", fx.NOT_WORDS, "chr(1)") + rf", '(^|[^\p{{L}}\p{{M}}\p{{N}}_])({fx.MONTHS})\s+\d{{1,2}},\s+(?:\d{{2}})?\d{{2}}([^\p{{L}}\p{{M}}\p{{N}}_]|$)', '\1\2\3', 'g'), '\.+', '', 'g'), '[\p{{L}}\p{{M}}\p{{N}}_]+'))"
-over_strings("consistency_key", f"{CKEY} AS key", key=fx.consistency_key(S))
-over_strings("wordcount", f"CAST({WORDS} AS BIGINT) AS words", words=fx.wordcount(S))
-over_strings("near_key", r"md5(regexp_replace(lower('[tag:0]' || string || '[tag:1] and'), '[^\p{L}\p{M}\p{N}_\])>]+$', '')) AS key", key=fx.near_key(F.concat(F.lit("<i>"), S, F.lit("</i> And!! "))))
-over_strings("pseudo_translate", f"'<b>' || translate(string, '{fx.PLAIN}', '{fx.FAKE}') || '</b>{{x}}' AS s", s=fx.pseudo_translate(F.concat(F.lit("<b>"), S, F.lit("</b>{x}"))))
-over_strings("placeholder_mask", "'<1> ' || string || ' <2> <1>' AS masked, '{a} ' || string || ' {b} {a}' AS back", masked=fx.placeholder_mask(F.concat(F.lit("{a} "), S, F.lit(" {b} {a}")), r"\{\w+\}"), back=fx.placeholder_unmask(fx.placeholder_mask(F.concat(F.lit("{a} "), S, F.lit(" {b} {a}")), r"\{\w+\}"), fx.placeholders(F.concat(F.lit("{a} "), S, F.lit(" {b} {a}")), r"\{\w+\}")))
-over_strings("replace_rules", r"regexp_replace(regexp_replace(string, '[aeiou]+', '*', 'g'), '(\w)\*', '\1-', 'g') AS s", s=fx.replace_rules(S, [("[aeiou]+", "*"), (r"(\w)\*", "$1-")]))
-over_strings("trademark_hint", r"CASE WHEN len(regexp_extract_all(string, '(?i)\b(brass|steel|copper)\b')) > 0 THEN 'Don''t translate: ' || array_to_string(list_sort(list_distinct(regexp_extract_all(string, '(?i)\b(brass|steel|copper)\b'))), ', ') END AS hint", hint=fx.trademark_hint(S, ["brass", "steel", "copper"]))
-over_strings("hint_assemble", "CASE WHEN coalesce(context,'')='' THEN 'note' ELSE context || chr(10) || 'note' END || chr(10) || chr(10) || 'remark' AS hint", hint=fx.hint_assemble(S, C, F.array(F.lit("note")), F.lit("remark")))
-over_strings("keys_language", "'[' || md5('7' || chr(1) || 'ns' || chr(1) || 'p' || chr(1) || string || chr(1) || coalesce(context,'')) || '] ' || string AS s", s=fx.keys_language("7", F.lit("ns"), F.lit("p"), S, C))
-over_strings("fit_whitespace", "'  ' || string || chr(10) AS s", s=fx.fit_whitespace(F.lit("  x\n"), F.concat(S, F.lit("   "))))
-over_strings("pad", "rpad(string, CAST(greatest(length(string), 30) AS INT), ' ') AS s", s=fx.pad(S, 30))
-over_strings("path_normalize", "'a/b/' || string AS p", p=fx.path_normalize(F.concat(F.lit("a\\b//"), S, F.lit("//"))))
-over_strings("flag_ops", "list_contains(['a', context], context) AS has, len(list_distinct(['a', coalesce(context,'a'), 'b'])) AS n", has=F.array_contains(F.array(F.lit("a"), C), C), n=F.size(F.array_distinct(F.array(F.lit("a"), F.coalesce(C, F.lit("a")), F.lit("b")))))
+over_strings("consistency_key", f"{CKEY} AS key", lambda: dict(key=fx.consistency_key(S())))
+over_strings("wordcount", f"CAST({WORDS} AS BIGINT) AS words", lambda: dict(words=fx.wordcount(S())))
+over_strings("near_key", r"md5(regexp_replace(lower('[tag:0]' || string || '[tag:1] and'), '[^\p{L}\p{M}\p{N}_\])>]+$', '')) AS key", lambda: dict(key=fx.near_key(F.concat(F.lit("<i>"), S(), F.lit("</i> And!! ")))))
+over_strings("pseudo_translate", f"'<b>' || translate(string, '{fx.PLAIN}', '{fx.FAKE}') || '</b>{{x}}' AS s", lambda: dict(s=fx.pseudo_translate(F.concat(F.lit("<b>"), S(), F.lit("</b>{x}")))))
+over_strings("placeholder_mask", "'<1> ' || string || ' <2> <1>' AS masked, '{a} ' || string || ' {b} {a}' AS back", lambda: dict(masked=fx.placeholder_mask(F.concat(F.lit("{a} "), S(), F.lit(" {b} {a}")), r"\{\w+\}"), back=fx.placeholder_unmask(fx.placeholder_mask(F.concat(F.lit("{a} "), S(), F.lit(" {b} {a}")), r"\{\w+\}"), fx.placeholders(F.concat(F.lit("{a} "), S(), F.lit(" {b} {a}")), r"\{\w+\}"))))
+over_strings("replace_rules", r"regexp_replace(regexp_replace(string, '[aeiou]+', '*', 'g'), '(\w)\*', '\1-', 'g') AS s", lambda: dict(s=fx.replace_rules(S(), [("[aeiou]+", "*"), (r"(\w)\*", "$1-")])))
+over_strings("trademark_hint", r"CASE WHEN len(regexp_extract_all(string, '(?i)\b(brass|steel|copper)\b')) > 0 THEN 'Don''t translate: ' || array_to_string(list_sort(list_distinct(regexp_extract_all(string, '(?i)\b(brass|steel|copper)\b'))), ', ') END AS hint", lambda: dict(hint=fx.trademark_hint(S(), ["brass", "steel", "copper"])))
+over_strings("hint_assemble", "CASE WHEN coalesce(context,'')='' THEN 'note' ELSE context || chr(10) || 'note' END || chr(10) || chr(10) || 'remark' AS hint", lambda: dict(hint=fx.hint_assemble(S(), C(), F.array(F.lit("note")), F.lit("remark"))))
+over_strings("keys_language", "'[' || md5('7' || chr(1) || 'ns' || chr(1) || 'p' || chr(1) || string || chr(1) || coalesce(context,'')) || '] ' || string AS s", lambda: dict(s=fx.keys_language("7", F.lit("ns"), F.lit("p"), S(), C())))
+over_strings("fit_whitespace", "'  ' || string || chr(10) AS s", lambda: dict(s=fx.fit_whitespace(F.lit("  x\n"), F.concat(S(), F.lit("   ")))))
+over_strings("pad", "rpad(string, CAST(greatest(length(string), 30) AS INT), ' ') AS s", lambda: dict(s=fx.pad(S(), 30)))
+over_strings("path_normalize", "'a/b/' || string AS p", lambda: dict(p=fx.path_normalize(F.concat(F.lit("a\\b//"), S(), F.lit("//")))))
+over_strings("flag_ops", "list_contains(['a', context], context) AS has, len(list_distinct(['a', coalesce(context,'a'), 'b'])) AS n", lambda: dict(has=F.array_contains(F.array(F.lit("a"), C()), C()), n=F.size(F.array_distinct(F.array(F.lit("a"), F.coalesce(C(), F.lit("a")), F.lit("b"))))))
 over_strings("parse_command", "CASE string_id%4 WHEN 0 THEN 'set_comment' WHEN 1 THEN 'add_comment' WHEN 2 THEN 'rewrite_all' ELSE 'none' END AS command, CASE WHEN string_id%4<2 THEN string END AS value",
-    command=fx.parse_command(F.expr("CASE string_id%4 WHEN 0 THEN concat('@ ', string) WHEN 1 THEN concat('+ ', string) WHEN 2 THEN '@rewrite_all' ELSE string END"))["command"], value=fx.parse_command(F.expr("CASE string_id%4 WHEN 0 THEN concat('@ ', string) WHEN 1 THEN concat('+ ', string) WHEN 2 THEN '@rewrite_all' ELSE string END"))["value"])
+    lambda: dict(command=fx.parse_command(F.expr("CASE string_id%4 WHEN 0 THEN concat('@ ', string) WHEN 1 THEN concat('+ ', string) WHEN 2 THEN '@rewrite_all' ELSE string END"))["command"], value=fx.parse_command(F.expr("CASE string_id%4 WHEN 0 THEN concat('@ ', string) WHEN 1 THEN concat('+ ', string) WHEN 2 THEN '@rewrite_all' ELSE string END"))["value"]))
 
 
 @query("""SELECT language, CASE WHEN language='pt-br' THEN 'pt_BR' ELSE language END AS locale, CASE language WHEN 'pt-br' THEN 'pt-BR' WHEN 'ja' THEN 'ja-JP' ELSE language || '-' || upper(language) END AS culture,
