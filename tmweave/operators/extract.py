@@ -324,3 +324,31 @@ def bilingual_import(segments: DataFrame, tm: dict[str, DataFrame], overwrite: b
     x = x.join(have, ["item_id", "language"], "left")
     x = x if overwrite else x.where("has is null")
     return x.select("item_id", "language", "target", F.coalesce("has", F.lit(0)).alias("merge"))
+
+
+def xml_nodes(files: DataFrame, paths: list[str]) -> DataFrame:
+    """Texts of XML elements on configured paths; blanks, symbols and numbers alone are left out."""
+    found = [files.select("path", F.lit(p).alias("node"), F.posexplode(F.xpath("content", F.lit(f"{p}/text()"))).alias("pos", "string")) for p in paths]
+    return reduce(DataFrame.union, found).where("trim(string) <> ''").where(~F.col("string").rlike(r"^(\W+|\d+)$"))
+
+
+def xliff_source(files: DataFrame) -> DataFrame:
+    """Source units of XLIFF files: key is the unit's id, hint its file and notes."""
+    group = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    file = r'(?s)<file original="([^"]*)"[^>]*>(.*?)</file>'
+    rows = files.select("path", F.explode(F.arrays_zip(group("content", file, 1).alias("original"), group("content", file, 2).alias("body"))).alias("f")).select("path", "f.*")
+    unit = r'(?s)<trans-unit id="([^"]*)"[^>]*>\s*<source>(.*?)</source>(?:\s*<note>(.*?)</note>)?'
+    rows = rows.select("path", "original", F.posexplode(F.arrays_zip(group("body", unit, 1).alias("key"), group("body", unit, 2).alias("string"), group("body", unit, 3).alias("note"))).alias("pos", "u"))
+    return rows.select("path", "pos", "u.key", fx.xml_unescape(F.col("u.string")).alias("string"), F.concat_ws("\n", "original", F.nullif(F.col("u.note"), F.lit(""))).alias("hint"))
+
+
+def ts_source(files: DataFrame) -> DataFrame:
+    """Source units of Qt TS files: the context is the group's name and the message's comment, the key context and text."""
+    group = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))
+    outer = r"(?s)<context>\s*<name>(.*?)</name>(.*?)</context>"
+    rows = files.select("path", F.explode(F.arrays_zip(group("content", outer, 1).alias("name"), group("content", outer, 2).alias("body"))).alias("c")).select("path", "c.*")
+    inner = r"(?s)<message>\s*<source>(.*?)</source>(?:\s*<comment>(.*?)</comment>)?"
+    rows = rows.select("path", "name", F.posexplode(F.arrays_zip(group("body", inner, 1).alias("string"), group("body", inner, 2).alias("note"))).alias("pos", "m"))
+    context = F.concat_ws(" ", "name", F.nullif(F.col("m.note"), F.lit("")))
+    string = fx.xml_unescape(F.col("m.string"))
+    return rows.select("path", "pos", string.alias("string"), context.alias("context"), F.concat_ws(":", context, string).alias("key"))

@@ -317,3 +317,19 @@ def ts_dedupe(spark, d):
     i = memory.derived(spark, d)["items"].select("file_id", "item_id")
     both = i.union(i.where("item_id % 2 = 0"))
     return both.groupBy("file_id", "item_id").agg(F.count("*").alias("seen"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, '/r/n' AS node, CAST(0 AS INT) AS pos, p_name AS string FROM part UNION ALL SELECT p_partkey::VARCHAR, '/r/n', 1, p_type FROM part UNION ALL SELECT p_partkey::VARCHAR, '/r/g/t', 0, p_brand FROM part")
+def extract_xml_nodes(spark, d):
+    files = corpus(spark, d, "concat('<r><n>', p_name, '</n><n>', p_type, '</n><n>12</n><n> </n><g><t>', p_brand, '</t></g><o>x</o></r>')", "part", "p_partkey")
+    return extract.xml_nodes(files, ["/r/n", "/r/g/t"])
+
+
+@query("SELECT p_partkey::VARCHAR AS path, CAST(0 AS INT) AS pos, 'a' AS key, p_name AS string, p_brand || chr(10) || 'see' AS hint FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, 'b', p_type || ' & co', p_brand FROM part")
+def extract_xliff_source(spark, d):
+    return extract.xliff_source(corpus(spark, d, "concat('<xliff><file original=\"', p_brand, '\"><body><trans-unit id=\"a\"><source>', p_name, '</source><note>see</note></trans-unit><trans-unit id=\"b\"><source>', p_type, ' &amp; co</source></trans-unit></body></file></xliff>')", "part", "p_partkey"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, CAST(0 AS INT) AS pos, p_name AS string, p_brand || ' verb' AS context, p_brand || ' verb:' || p_name AS key FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, p_type, p_brand, p_brand || ':' || p_type FROM part")
+def extract_ts_source(spark, d):
+    return extract.ts_source(corpus(spark, d, "concat('<TS><context><name>', p_brand, '</name><message><source>', p_name, '</source><comment>verb</comment></message><message><source>', p_type, '</source></message></context></TS>')", "part", "p_partkey"))
