@@ -111,7 +111,7 @@ def import_status(source: DataFrame, localized: DataFrame) -> DataFrame:
     """
     src = source.groupBy("path", "key").agg(F.min("string").alias("source"), F.count("*").alias("n_source"))
     known = source.select("path").distinct().withColumn("has_file", F.lit(1))
-    w = Window.partitionBy("path", "language", "key").orderBy("pos")
+    w = Window.partitionBy("path", "language", "key").orderBy("pos", "target")
     loc = localized.withColumn("nth", F.row_number().over(w)).withColumn("before", F.lag("target").over(w))
     x = loc.join(known, "path", "left").join(src, ["path", "key"], "left")
     say = lambda severity, status: F.struct(F.lit(severity).alias("severity"), F.lit(status).alias("status"))

@@ -245,11 +245,11 @@ def render_localized(spark, d):
     return extract.render_lines(files, form, keys.crossJoin(F.broadcast(langs)).withColumn("target", F.concat("language", F.lit("!"))))
 
 
-@query("SELECT doc_id, CASE WHEN lang='en' THEN upper(text) ELSE text END AS text FROM documents WHERE lang IN ('en','fr') AND n_chars>100")
+@query("SELECT doc_id, CASE WHEN lang='en' THEN translate(text,'abcdefghijklmnopqrstuvwxyz','ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text FROM documents WHERE lang IN ('en','fr') AND n_chars>100")
 def hooks(spark, d):
     """Column-level hooks: a filter on files, a filter on units, and a rewrite."""
     x = spark.read.parquet(f"{d}/documents.parquet")
-    filters, rewrite = [F.col("lang").isin("en", "fr"), F.col("n_chars") > 100], F.when(F.col("lang") == "en", F.upper("text")).otherwise(F.col("text"))
+    filters, rewrite = [F.col("lang").isin("en", "fr"), F.col("n_chars") > 100], F.when(F.col("lang") == "en", F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.col("text"))
     for f in filters:
         x = x.where(f)
     return x.withColumn("text", rewrite).select("doc_id", "text")

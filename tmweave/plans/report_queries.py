@@ -128,7 +128,7 @@ UNION ALL SELECT 'f' || (o_orderkey%50), 'k' || o_orderkey, o_orderpriority FROM
 loc AS (SELECT 'f' || (o_orderkey%52) AS path, CASE WHEN o_orderkey%2=0 THEN 'de' ELSE 'fr' END AS language, 'k' || o_orderkey AS key, l_linenumber AS pos,
 CASE WHEN o_orderkey%5=0 THEN '' WHEN o_orderkey%7=0 THEN o_orderpriority WHEN o_orderkey%11=0 THEN l_returnflag ELSE 'x' || o_orderpriority END AS target FROM orders JOIN lineitem ON l_orderkey=o_orderkey WHERE l_linenumber<=1+o_orderkey%2)"""
 STATUS = f"""{IMPORT}, s AS (SELECT path, key, min(string) AS source, count(*) AS n_source FROM src GROUP BY ALL),
-x AS (SELECT l.*, s.source, s.n_source, l.path IN (SELECT path FROM src) AS has_file, row_number() OVER w AS nth, lag(l.target) OVER w AS before FROM loc l LEFT JOIN s ON s.path=l.path AND s.key=l.key WINDOW w AS (PARTITION BY l.path, l.language, l.key ORDER BY l.pos)),
+x AS (SELECT l.*, s.source, s.n_source, l.path IN (SELECT path FROM src) AS has_file, row_number() OVER w AS nth, lag(l.target) OVER w AS before FROM loc l LEFT JOIN s ON s.path=l.path AND s.key=l.key WINDOW w AS (PARTITION BY l.path, l.language, l.key ORDER BY l.pos, l.target)),
 st AS (SELECT path, language, key, pos, source, target, CASE WHEN NOT has_file THEN 'FILE_MISSING' WHEN source IS NULL THEN 'UNKNOWN_KEY' WHEN n_source>1 THEN 'DUPLICATE_KEY' WHEN source='' THEN 'EMPTY_SOURCE' WHEN nth>1 AND before=target THEN 'DUPLICATE_KEY_W' WHEN nth>1 THEN 'MULTIPLE_TRANSLATIONS' WHEN target='' THEN 'EMPTY_TRANSLATION' WHEN source=target THEN 'SAME_TRANSLATION' ELSE 'OK' END AS st FROM x),
 fin AS (SELECT path, language, key, pos, source, target, replace(st,'_W','') AS status, CASE WHEN st IN ('DUPLICATE_KEY_W','EMPTY_TRANSLATION') THEN 'warning' WHEN st='SAME_TRANSLATION' THEN 'notice' WHEN st='OK' THEN 'ok' ELSE 'error' END AS severity FROM st)"""
 
