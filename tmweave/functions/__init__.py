@@ -1 +1 @@
-"""See the package README."""
+"""Functions on columns."""

@@ -1 +1 @@
-"""See the package README."""
+"""Operators on the memory and on corpora, from DataFrames to DataFrames."""
