@@ -4,7 +4,7 @@ Documents are sets of word-shingle hashes; two link if their Jaccard likeness re
 in one order, rare ones first (by a table of counts over all documents). A document's prefix for l matches
 holds so many of its first shingles that any document linked with it shares at least l of them; each document takes the l whose
 estimated cost (candidates met by its prefix, and those left to verify) is least. Candidates share at
-least the smaller l of the two, pass the bounds of size and position, and are verified on whole sets.
+least the smaller l of the two, pass the bounds of size, position and parts, and are verified on whole sets.
 
 Equal sets are one class from the start. So that dense groups don't yield all their pairs, each prefix shingle's documents are first
 compared with its most central one; what that links is one component, and then only pairs across components are looked for.
@@ -29,6 +29,8 @@ WORDS, NUM, DEN = 5, 80, 100
 MATCHES, VERIFY = 4, 8.0
 #: Shingle counts are kept in so many cells, dealt out in parts; a filter of wanted classes has so many bits.
 CELLS, PARTS, BITS = 1 << 22, 64, 1 << 24
+#: Parts of a set that are counted for a bound on what two sets share; 255 stands for more.
+HIST = 256
 
 
 def encoded(column: pa.Array) -> list[bytes]:
@@ -88,7 +90,7 @@ def prefix(others: np.ndarray, n: int, num: int, den: int) -> tuple[int, int, in
 
 
 def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, need, short, cent, toks of each document: its prefix in the common order."""
+    """doc_id, n, cls, need, short, cent, hist, toks of each document: its prefix in the common order, and how many of its shingles fall in each of HIST parts."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +106,8 @@ def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: in
                 tok, extra = h[order].view(np.int64), guess[lv[order]]
                 sums = np.concatenate([[0], np.cumsum(lv.astype(np.int64))])
                 cent = np.where(n > 0, (sums[ends] - sums[ends - n]) * 64 // np.maximum(n, 1), 0)
+                hist = np.bincount(doc * HIST + (h >> np.uint64(34) & np.uint64(HIST - 1)).astype(np.int64), minlength=(hi - lo) * HIST)
+                hist = np.minimum(hist, 255).astype(np.uint8).reshape(-1, HIST)
                 need, short, toks = [], [], []
                 for e, size in zip(ends.tolist(), n.tolist(), strict=True):
                     if not size:
@@ -112,18 +116,43 @@ def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: in
                     m, long, index = prefix(extra[e - size : e], size, num, den)
                     need.append(m), short.append(index), toks.append(tok[e - size : e - size + long])
                 at = np.concatenate([[0], np.cumsum([len(t) for t in toks])])
-                arrays = [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(classes_of(h, ends), mask=n == 0), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "need", "short", "cent", "toks"])
+                arrays = [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(classes_of(h, ends), mask=n == 0), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.array([x.tobytes() for x in hist], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "need", "short", "cent", "hist", "toks"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, need int, short int, cent bigint, toks array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, need int, short int, cent bigint, hist binary, toks array<bigint>")
 
 
 def feasible(a: str, b: str, num: int, den: int) -> Column:
-    """Whether documents that share a shingle at their positions can reach the threshold: bounds of size, and of position for one of the first matches."""
+    """Whether a shingle at these positions can be the first that two documents share and they still reach the threshold: bounds of size and position."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     share = F.ceil((n + m) * num / (den + num) - 1e-9)
-    left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (left + F.least(F.col(f"{a}.need"), F.col(f"{b}.need")) - 1 >= share)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= share)
+
+
+def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose prefixes share as many shingles as the one with fewer matches to make needs."""
+    of = lambda k, v: classes.select(F.col("cls").alias(k), F.struct("n", "cls", "need", "short", "toks").alias(v))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))
+    part = lambda v, short: F.when(short, F.slice(F.col(f"{v}.toks"), F.lit(1), F.col(f"{v}.short"))).otherwise(F.col(f"{v}.toks"))
+    shared = F.size(F.array_intersect(part("x", smaller), part("y", ~smaller)))
+    return both.where(shared >= F.least("x.need", "y.need")).select("a", "b")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of classes (a, b) that can still reach the threshold by their sizes and by the parts that their shingles fall in: they share at most the smaller count of each part."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, HIST).astype(np.float32) for c in ("hx", "hy"))
+            x[x == 255], y[y == 255] = np.inf, np.inf
+            n = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            keep = np.minimum(x, y).sum(1) * (den + num) >= n * num
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
+
+    of = lambda k, v: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{v}"), F.col("hist").alias(f"h{v}"))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
+    return both.select("a", "b", "nx", "ny", "hx", "hy").mapInArrow(check, "a bigint, b bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -181,19 +210,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stage(signatures(docs, levels(docs, words), words, num, den), "join-signatures")
-    members = ["n", "need", "short", "cent", "toks"]
+    members = ["n", "need", "short", "cent", "hist", "toks"]
     classes = stage(rows.where("n > 0").groupBy("cls").agg(F.first(F.struct(*members)).alias("s")).select("cls", "s.*"), "join-classes")
-    post = classes.select("cls", "n", "need", "short", "cent", F.posexplode("toks").alias("pos", "tok"))
-    lists = post.groupBy("tok").agg(F.count("*").alias("c"), F.max(F.struct("cent", "cls", "n", "need", "pos")).alias("p")).where("c > 1").select("tok", "p")
-    met = post.alias("x").join(lists, "tok").select("tok", "x.cls", "n", "need", "short", "pos", "p")
-    met = stage(met, "join-postings")
-    star = met.withColumn("x", F.struct("cls", "n", "need", "pos")).where(F.col("x.cls") != F.col("p.cls")).where(feasible("x", "p", num, den))
-    star = stage(star.select(F.least("x.cls", "p.cls").alias("a"), F.greatest("x.cls", "p.cls").alias("b")).distinct(), "join-stars")
+    post = classes.select("cls", "n", "short", "cent", F.posexplode("toks").alias("pos", "tok"))
+    lists = post.groupBy("tok").agg(F.count("*").alias("c"), F.max_by("cls", "cent").alias("p")).where("c > 1").select("tok", "p")
+    met = stage(post.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "p"), "join-postings")
+    star = met.where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+    star = stage(likely(star, classes, num, den), "join-stars")
     links = verified(docs, star, words, num, den)
     roots = components(links)
     named = met.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.join(roots.select(F.col("v").alias("_p"), F.col("root").alias("p_root")), F.col("p.cls") == F.col("_p"), "left")
-    named = stage(named.select("tok", "cls", "n", "need", "short", "pos", "root", (F.col("root") != F.coalesce("p_root", "p.cls")).alias("other")), "join-named")
+    named = named.join(roots.select(F.col("v").alias("p"), F.col("root").alias("p_root")), "p", "left")
+    named = stage(named.select("tok", "cls", "n", "short", "pos", "root", (F.col("root") != F.coalesce("p_root", "p")).alias("other")), "join-named")
     mixed_lists = named.where("other").select("tok").distinct()
     y = named.join(mixed_lists, "tok", "left_semi").alias("y")
     x = named.where("other").alias("x")
@@ -201,9 +229,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = ~F.col("y.other") | (F.col("x.cls") < F.col("y.cls"))
     index = F.when(smaller, F.col("x.pos") < F.col("x.short")).otherwise(F.col("y.pos") < F.col("y.short"))
     hits = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.root") != F.col("y.root")) & once & index & feasible("x", "y", num, den))
-    hits = hits.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.need", "y.need").alias("need"))
-    rest = hits.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("need").alias("need")).where("k >= need").select("a", "b")
-    rest = stage(rest.join(star, ["a", "b"], "left_anti"), "join-rest")
+    rest = hits.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+    rest = stage(likely(rest.join(star, ["a", "b"], "left_anti"), classes, num, den), "join-rest")
+    rest = stage(matching(rest, classes), "join-matching")
     more = verified(docs, rest, words, num, den)
     roots = components(links.union(more))
     rows = rows.select("doc_id", "n", "cls").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
