@@ -20,16 +20,22 @@ from pyspark.sql import functions as F
 
 from .common import new_path, ship, stage
 from .files import Ranges, Writer
+from .parts import Parts
 
 END_ID = 2
-#: Entries that a worker keeps of words and their ids; the dictionary starts anew when it is full.
-CACHE = 400_000
+#: Parts of texts, and pre-tokens, that a worker remembers with their ids (of pre-tokens: a newer and an older set of so many).
+PARTS, WORDS = 2_500_000, 150_000
 #: The reflected CRC-32C polynomial and the constant that masks checksums in this record format.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 STEP = 64
 #: How byte-level BPE splits a text before its merges.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Marks of which a run is a pre-token of its own after a word.
+MARKS = ",.;:!?#$%&*"
+#: White space that isn't ASCII.
+RARE_SPACE = r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 _state: dict[str, object] = {}
 
 
@@ -113,10 +119,10 @@ def unframed(data: list[bytes]) -> list[bytes]:
 
 
 class Encoder:
-    """A byte-level BPE vocabulary of the tokenizers library, each distinct word encoded once while it is remembered.
+    """A byte-level BPE vocabulary of the tokenizers library, each distinct part of texts encoded once while it is remembered.
 
-    A space between two non-white-space characters always starts a pre-token, so texts are cut there, and each
-    part's ids are looked up; parts not seen before are split into pre-tokens, and the library's model encodes those.
+    A space between two non-white-space characters always starts a pre-token, so texts are cut there. Parts not
+    seen before are split into pre-tokens, and the library's model encodes those.
     """
 
     def __init__(self, path: str):
@@ -127,48 +133,48 @@ class Encoder:
         self.whole, self.model, self.size = t, t.model, t.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.find = regex.compile(PRETOKEN).findall
-        self.odd = re.compile(r"(?<=\S) (?=\S)")
+        self.rare = re.compile(RARE_SPACE).search
         self.special = [x.content for x in t.get_added_tokens_decoder().values()]
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(b) for b in keep} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in keep)}
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.plain = {ord(k): v for k, v in ((chr(b), self.letters[b]) for b in range(128))}
+        self.words: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.parts = Parts(self.kind, lambda new: [self.part(x) for x in new], PARTS)
 
-    def word(self, w: str) -> bytes:
+    def word(self, w: str) -> list[int]:
+        """Ids of a pre-token."""
         if (got := self.words.get(w)) is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            s = w.translate(self.plain) if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
-            got = self.words[w] = np.array([x.id for x in self.model.tokenize(s)], self.kind).tobytes()
-        return got
-
-    def part(self, p: str) -> bytes:
-        words = self.find(p)
-        got = self.word(words[0]) if len(words) == 1 else b"".join(map(self.word, words))
-        if len(p) < 40:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            self.parts[p] = got
+            if (got := self.older.get(w)) is None:
+                if w.isascii() and w.isprintable():
+                    s = w.replace(" ", self.letters[32])
+                else:
+                    s = "".join(map(self.letters.__getitem__, w.encode()))
+                got = [x.id for x in self.model.tokenize(s)]
+            self.words[w] = got
+            if len(self.words) >= WORDS:
+                self.older, self.words = self.words, {}
         return got
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a text, packed. A text that holds a special token's own string goes to the library whole."""
-        if any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if not text:
-            return b""
-        rough = text.split(" ")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in rough):
-            cut = self.odd.split(text)
+    def part(self, p: bytes) -> np.ndarray:
+        """Ids of a part of a text: a word, a word and a run of marks, or whatever the pattern makes of it."""
+        s = p.decode()
+        word = s.rstrip(MARKS)
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and max(word) < "\u0250":
+            words = [word, s[len(word) :]] if len(word) < len(s) else [word]
         else:
-            cut = rough
-        get, part = self.parts.get, self.part
-        out = [self.part(cut[0])]
-        for x in cut[1:]:
-            x = " " + x
-            out.append(get(x) or part(x))
-        return b"".join(out)
+            words = self.find(s)
+        if len(words) == 1:
+            return np.array(self.word(words[0]), self.kind)
+        return np.array([i for w in words for i in self.word(w)], self.kind)
+
+    def whole_text(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Texts that hold a special token's own string, or white space of other scripts, go to the library whole."""
+        odd = [any(x in t for x in self.special) or not t.isascii() and self.rare(t) is not None for t in texts]
+        plain = iter(self.parts.encode([t.encode() for t, o in zip(texts, odd, strict=True) if not o]))
+        return [self.whole_text(t) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
@@ -194,10 +200,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
         part = TaskContext.get().partitionId()
         for b in batches:
             out = out or Writer(folder, ".records")
-            for lo in range(0, b.num_rows, 500):
-                x = b.slice(lo, 500)
+            for lo in range(0, b.num_rows, 1000):
+                x = b.slice(lo, 1000)
                 ids, texts = x.column("doc_id").to_pylist(), x.column("text").to_pylist()
-                packed = [enc.ids(t) + end for t in texts]
+                packed = [x.tobytes() + end for x in enc.ids(texts)]
                 made = frames([struct.pack("<qB", i, enc.kind().itemsize) + p for i, p in zip(ids, packed, strict=True)])
                 at = [out.write(f) for f in made]
                 n = [len(p) // enc.kind().itemsize for p in packed]
