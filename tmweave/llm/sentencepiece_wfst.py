@@ -3,12 +3,12 @@
 The normaliser (spaces become the space mark, one is put in front), the lexicon of pieces and the byte fallback are
 compiled once (sp_model). Composing an input with them gives a lattice whose arcs are pieces; its tropical shortest path is the
 encoding. Words start at spaces, which no piece holds inside, so the lattice falls apart into words: the distinct
-unseen words of a batch are composed and solved together, by length, and remembered.
+unseen words of a chunk of texts are composed and solved together, by length, and remembered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .parts import Parts
 from .sp_model import RAW, SPACE, START, Lexicon, lexicon
 
-#: Words that a worker remembers with their ids; the dictionary starts anew when it is full. Documents solved together.
-CACHE, TOGETHER = 400_000, 1000
+#: Parts of texts that a worker remembers with their ids, and the power of two of slots for them. Documents solved together.
+PARTS, SLOTS, TOGETHER = 1_200_000, 21, 2000
 #: Words up to this length are solved together with others of about their length.
 LONG = 64
 
@@ -103,39 +104,34 @@ def encode_words(lex: Lexicon, words: list[str]) -> list[bytes]:
     return out
 
 
-class Words:
-    """Splits texts into words and remembers what solve() found for each."""
-
-    def __init__(self, lex: Lexicon, solve):
-        self.lex, self.solve, self.known = lex, solve, {}
-
-    def normal(self, text: str) -> str:
-        text = text.replace(SPACE, " ")
-        if self.lex.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        return " " + text if self.lex.dummy_prefix and text else text
-
-    def split(self, text: str) -> list[str]:
-        """The normalised text cut before each space; several spaces in a row give words that are a space each."""
-        parts = self.normal(text).split(" ")
-        return parts[:1] * bool(parts[0]) + [" " + x for x in parts[1:]]
-
-    def learn(self, texts: list[list[str]]) -> None:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({w for t in texts for w in t if w not in known})
-        if not new:
-            return
-        cut = {w: self.lex.cut(w) for w in new}
-        small = list({x for parts in cut.values() for x in parts if x not in known})
-        known.update(zip(small, self.solve(self.lex, small), strict=True))
-        for w, parts in cut.items():
-            if len(parts) > 1:
-                got = known[parts[0]]
-                for x in parts[1:]:
-                    got = got + known[x]
-                known[w] = got
+def normal(lex: Lexicon, text: str) -> str:
+    """The text as the lexicon sees it: space marks are spaces, and one space is put in front."""
+    text = text.replace(SPACE, " ")
+    if lex.squeeze:
+        text = " ".join(x for x in text.split(" ") if x)
+    return " " + text if lex.dummy_prefix and text else text
+
+
+def by_word(lex: Lexicon, new: list[bytes], solve: Callable[[Lexicon, list[str]], list], joined: Callable) -> list:
+    """Solutions of parts of normalised texts, from those of their distinct words.
+
+    A part is cut before each space, and its words where no piece reaches across (Lexicon.cut); joined(lex, words, found) puts a part together
+    that has several words, which happens where spaces follow each other or stand beside a line feed.
+    """
+    words = []
+    for x in new:
+        parts = x.decode().split(" ")
+        words.append(parts[:1] * bool(parts[0]) + [" " + y for y in parts[1:]])
+    cut = {w: lex.cut(w) for ws in words for w in ws}
+    small = list({x for xs in cut.values() for x in xs})
+    known = dict(zip(small, solve(lex, small), strict=True))
+    for w, xs in cut.items():
+        if len(xs) > 1:
+            got = known[xs[0]]
+            for x in xs[1:]:
+                got = got + known[x]
+            known[w] = got
+    return [known[ws[0]] if len(ws) == 1 and ws[0] != " " else joined(lex, ws, [known[w] for w in ws]) for ws in words]
 
 
 def join_runs(lex: Lexicon, words: list[str], found: list[bytes]) -> bytes:
@@ -157,20 +153,15 @@ def join_runs(lex: Lexicon, words: list[str], found: list[bytes]) -> bytes:
     return b"".join(out)
 
 
-_words: dict[str, Words] = {}
+_parts: dict[str, Parts] = {}
 
 
-def encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    if path not in _words:
-        _words[path] = Words(lexicon(path), encode_words)
-    w = _words[path]
-    split = [w.split(t) for t in texts]
-    w.learn(split)
-    out = []
-    for parts in split:
-        found = [w.known[p] for p in parts]
-        out.append(join_runs(w.lex, parts, found) if " " in parts else b"".join(found))
-    return out
+def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text."""
+    lex = lexicon(path)
+    if path not in _parts:
+        _parts[path] = Parts(np.int32, lambda new: [np.frombuffer(x, np.int32) for x in by_word(lex, new, encode_words, join_runs)], PARTS, SLOTS)
+    return _parts[path].encode([normal(lex, t).encode() for t in texts])
 
 
 _tables: dict[str, list] = {}
@@ -200,11 +191,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for lo in range(0, b.num_rows, TOGETHER):
                 x = b.slice(lo, TOGETHER)
                 texts = x.column("text").to_pylist()
-                packed = encode_texts(model, texts)
-                flat = np.frombuffer(b"".join(packed), np.int32)
-                n = np.array([len(p) // 4 for p in packed], np.int64)
+                found = encode_texts(model, texts)
+                flat = np.concatenate(found)
+                n = np.array([len(p) for p in found], np.int64)
                 ends = np.concatenate([[0], n.cumsum()])
-                same = [decode_ids(model, np.frombuffer(p, np.int32).tolist()) == t.replace(SPACE, " ") for p, t in zip(packed, texts, strict=True)]
+                same = [decode_ids(model, p.tolist()) == t.replace(SPACE, " ") for p, t in zip(found, texts, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
 

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .sentencepiece_wfst import TOGETHER, Words
+from .parts import Parts
+from .sentencepiece_wfst import PARTS, SLOTS, TOGETHER, by_word, normal
 from .sp_model import RAW, START, Lexicon, lexicon
 
 
@@ -120,20 +121,15 @@ def with_runs(lex: Lexicon, parts: list[str], found: list[Count]) -> int:
     return n + (len(lex.run(run)) if run else 0)
 
 
-_words: dict[str, Words] = {}
+_parts: dict[str, Parts] = {}
 
 
 def count_texts(path: str, texts: list[str]) -> list[int]:
-    if path not in _words:
-        _words[path] = Words(lexicon(path), solve)
-    w = _words[path]
-    split = [w.split(t) for t in texts]
-    w.learn(split)
-    out = []
-    for parts in split:
-        found = [w.known[p] for p in parts]
-        out.append(with_runs(w.lex, parts, found) if " " in parts else sum(map(int, found)))
-    return out
+    """Number of pieces of each text."""
+    lex = lexicon(path)
+    if path not in _parts:
+        _parts[path] = Parts(np.int64, lambda new: [np.array([x], np.int64) for x in by_word(lex, new, solve, with_runs)], PARTS, SLOTS)
+    return [int(x.sum()) for x in _parts[path].encode([normal(lex, t).encode() for t in texts])]
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
