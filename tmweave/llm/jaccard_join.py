@@ -33,13 +33,12 @@ CELLS, PARTS, BITS = 1 << 22, 64, 1 << 24
 HIST = 256
 
 
-def encoded(column: pa.Array) -> list[bytes]:
-    return [b"" if t is None else t.encode("utf-8", "replace") for t in column.to_pylist()]
-
-
-def sets_of(texts: list[bytes], words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for lo, hi in chunks([len(t) for t in texts]):
-        yield lo, hi, *shingle_sets(texts[lo:hi], words)
+def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, hashes, ends) for runs of a column's texts; few texts are unpacked at once."""
+    for at in range(0, len(column), 1000):
+        texts = [b"" if t is None else t.encode("utf-8", "replace") for t in column.slice(at, 1000).to_pylist()]
+        for lo, hi in chunks([len(t) for t in texts]):
+            yield at + lo, at + hi, *shingle_sets(texts[lo:hi], words)
 
 
 def classes_of(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -58,8 +57,9 @@ def levels(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int32)
         for b in batches:
-            for _, _, h, _ in sets_of(encoded(b.column("text")), words):
-                cells += np.bincount((h >> np.uint64(42)).astype(np.int64), minlength=CELLS).astype(np.int32)
+            for _, _, h, _ in sets_of(b.column("text"), words):
+                cell, n = np.unique((h >> np.uint64(42)).astype(np.int64), return_counts=True)
+                cells[cell] += n.astype(np.int32)
         parts = cells.reshape(PARTS, -1)
         used = [i for i in range(PARTS) if parts[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary())], names=["part", "counts"])
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: in
         guess = np.concatenate([[0.0], 2.0 ** np.arange(64)])  # documents at each level
         for b in batches:
             ids = b.column("doc_id")
-            for lo, hi, h, ends in sets_of(encoded(b.column("text")), words):
+            for lo, hi, h, ends in sets_of(b.column("text"), words):
                 lv = common[(h >> np.uint64(42)).astype(np.int64)]
                 n = np.diff(ends, prepend=0)
                 doc = np.repeat(np.arange(hi - lo), n)
@@ -168,7 +168,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int)
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
         for b in batches:
-            for _, _, h, ends in sets_of(encoded(b.column("text")), words):
+            for _, _, h, ends in sets_of(b.column("text"), words):
                 cls = classes_of(h, ends)
                 n = np.diff(ends, prepend=0)
                 slot = cls.view(np.uint64) >> np.uint64(40)
