@@ -22,7 +22,7 @@ from .common import ship
 #: Labelled texts that a fit reads in all, and how many of them are landmarks; both are dealt evenly to the languages.
 SAMPLE, LANDMARKS = 640, 128
 #: Symbols: 0 a gap, 1 any other letter, then the most frequent letters of the sample.
-SYMBOLS, ORDER, RIDGE, BATCH = 128, 3, 1e-2, 256
+SYMBOLS, ORDER, RIDGE, BATCH = 128, 3, 1e-2, 128
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 

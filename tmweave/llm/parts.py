@@ -9,7 +9,7 @@ import numpy as np
 from .shingles import STEP, chunks, mixed, powers
 
 #: Bytes of texts put together at once.
-TOGETHER = 3 << 20
+TOGETHER = 1 << 20
 
 _white = np.zeros(256, bool)
 _white[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True

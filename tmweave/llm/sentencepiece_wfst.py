@@ -20,7 +20,7 @@ from .parts import Parts
 from .sp_model import RAW, SPACE, START, Lexicon, lexicon
 
 #: Parts of texts that a worker remembers with their ids, and the power of two of slots for them. Documents solved together.
-PARTS, SLOTS, TOGETHER = 1_200_000, 21, 2000
+PARTS, SLOTS, TOGETHER = 1_200_000, 21, 1000
 #: Words up to this length are solved together with others of about their length.
 LONG = 64
 
@@ -71,7 +71,7 @@ def encode_words(lex: Lexicon, words: list[str]) -> list[bytes]:
     room = np.where(size > LONG, size, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int))
     for length in np.unique(room[size > 0]).tolist():
         which = np.flatnonzero((room == length) & (size > 0))
-        step = max(1, 2_000_000 // (length + 1))
+        step = max(1, 500_000 // (length + 1))
         for lo in range(0, len(which), step):
             w = which[lo : lo + step]
             n = size[w]
@@ -164,6 +164,11 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
     return _parts[path].encode([normal(lex, t).encode() for t in texts])
 
 
+def forget() -> None:
+    """A worker goes on to other tasks, which need its memory."""
+    _parts.clear()
+
+
 _tables: dict[str, list] = {}
 
 
@@ -198,6 +203,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 same = [decode_ids(model, p.tolist()) == t.replace(SPACE, " ") for p, t in zip(found, texts, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
+        forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids array<int>, round_trip boolean")
 

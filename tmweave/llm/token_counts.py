@@ -132,6 +132,11 @@ def count_texts(path: str, texts: list[str]) -> list[int]:
     return [int(x.sum()) for x in _parts[path].encode([normal(lex, t).encode() for t in texts])]
 
 
+def forget() -> None:
+    """A worker goes on to other tasks, which need its memory."""
+    _parts.clear()
+
+
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, n_tokens for each row, over the whole text.
 
@@ -148,5 +153,6 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 texts = x.column("text").to_pylist()
                 n = count_texts(model, texts)
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "n_chars", "n_tokens"])
+        forget()
 
     return rows.mapInArrow(run, f"doc_id {kind}, n_chars bigint, n_tokens bigint")
