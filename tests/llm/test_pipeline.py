@@ -1,5 +1,6 @@
 """The pipeline against plain versions of its stages."""
 
+import random
 from collections import Counter
 
 import sentencepiece
@@ -32,3 +33,18 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_language_rejects(spark, sf):
+    """Letter junk and texts in a language or script that wasn't learned go; the table's own documents stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rnd = random.Random(3)
+    junk = [" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(2, 10))) for _ in range(n)) for n in (5, 20, 100, 500)]
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由,在尊严和权利上一律平等。", "มนุษย์ทั้งหลายเกิดมามีอิสระ",
+    ]
+    planted = [(200_000 + i, t, lang, "src0", len(t)) for i, t in enumerate(junk + other) for lang in ("en", None)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame([(i * 2 + (k is None), t, k, s, n) for i, t, k, s, n in planted], docs.schema)), sf).select("doc_id").collect()}
+    assert not {i for i in kept if i >= 200_000}
+    assert {r.doc_id for r in docs.select("doc_id").collect()} <= kept

@@ -4,12 +4,16 @@ Two texts' kernel is the number of character n-grams (1 to 3, over letters and g
 product of their own numbers: a blended-spectrum presence kernel. Landmark texts span a Nyström map of it,
 and one ridge regression per language (one against the rest) is solved in that map. Scoring is two products per batch:
 presence rows with the landmarks' rows, then the kernel rows with the coefficients.
+
+Scores only rank the languages: the targets of a row sum to 2 - L, so the best of L scores is never below 1/L, whatever the
+text. Whether a text is in its language at all is said by its evidence: the part of its n-grams of length 3 (all
+occurrences with a letter) that the language's landmarks hold, against a cut found on labelled rows (calibrate).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +50,8 @@ class Model:
     landmarks: np.ndarray  # columns x landmarks, each landmark divided by its norm
     coef: np.ndarray
     bias: np.ndarray
+    known: np.ndarray  # languages x (columns + 1): 1 where a landmark of the language holds the n-gram; n-grams without a column: 0
+    cut: np.ndarray | None = None  # least evidence of each language, see calibrate
 
     def presence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """A row of 0 and 1 for each text, and whether the text has letters."""
@@ -66,26 +72,46 @@ class Model:
                 row[self.column[n][g]] = 1
         return out[:, :width], has
 
+    def evidence(self, s: np.ndarray) -> np.ndarray:
+        """Of a text's symbols, some of them letters: for each language the part of the occurrences of n-grams that its landmarks hold."""
+        g = s = np.concatenate(([0], s, [0])).astype(np.int32)
+        for n in range(1, ORDER):
+            g = g[:-1] * SYMBOLS + s[n:]
+        g = g[g > 0]
+        return self.known @ np.bincount(self.column[-1][g], minlength=self.known.shape[1]) / len(g)
+
+    def recognised(self, texts: list[str | None], best: np.ndarray, has: np.ndarray) -> list[bool]:
+        """Whether each text has as much evidence as its best language asks for."""
+        return [bool(h) and bool(self.evidence(self.symbol[points(t)])[i] >= self.cut[i]) for t, i, h in zip(texts, best.tolist(), has.tolist(), strict=True)]
+
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         x, has = self.presence(texts)
         norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None]
         return ((x @ self.landmarks) / norm).astype(np.float64) @ self.coef + self.bias, has
 
 
-def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> list:
-    """lang and distinct packed n-grams of up to sample texts, evenly by language, chosen by a hash of the id over all of them."""
+def choose(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> tuple[DataFrame, dict] | None:
+    """Rows (lang, h, text) of up to sample texts, evenly by language, chosen by a hash of the id over all of them, and the number of each (lang, h)."""
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     counts = rows.groupBy("lang").count()
     langs = {r["lang"]: r["count"] for r in counts.collect()}
     if not langs:
-        return []
+        return None
     each = max(2, sample // len(langs))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 3.0 * each / n + 64 / n))) for k, n in sorted(langs.items())])
     picked = rows.withColumn("h", F.xxhash64("id", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     best = picked.select("lang", "id", "h").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nth") <= each)
     ids = best.select("lang", "h", "nth").collect()
     want = {(r["lang"], r["h"]): r["nth"] for r in ids}
-    chosen = picked.where(F.col("h").isin([h for _, h in want]))
+    return picked.where(F.col("h").isin([h for _, h in want])).select("lang", "h", "text"), want
+
+
+def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> list:
+    """lang and distinct packed n-grams of the chosen texts."""
+    picked = choose(docs, use, id_col, lang_col, text_col, sample, seed)
+    if picked is None:
+        return []
+    chosen, want = picked
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_letter = letters()
@@ -100,7 +126,7 @@ def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_
                 out.append(b"".join(np.append(u := np.unique(x), len(u)).astype(np.uint64).tobytes() for x in parts))
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(out, pa.binary())], names=["lang", "h", "grams"])
 
-    got = chosen.select("lang", "h", "text").mapInArrow(grams, "lang string, h bigint, grams binary").collect()
+    got = chosen.mapInArrow(grams, "lang string, h bigint, grams binary").collect()
     found, seen = [], set()
     for r in sorted(got, key=lambda r: (r["lang"], want.get((r["lang"], r["h"]), 0))):
         key = (r["lang"], r["h"])
@@ -131,11 +157,12 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "l
     langs = sorted({k for k, _ in rows})
     each = max(1, landmarks // len(langs))
     nth: dict[str, int] = {}
-    marks = []
+    marks, mark_langs = [], []
     for k, g in rows:
         nth[k] = nth.get(k, 0) + 1
         if nth[k] <= each:
             marks.append(g)
+            mark_langs.append(k)
     ones, counts = np.unique(np.concatenate([g[0] for _, g in rows]), return_counts=True)
     top = ones[np.lexsort((ones, -counts))]
     top = top[top > 0][: SYMBOLS - 2]
@@ -184,13 +211,47 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "l
     mean_phi, mean_y = phi.mean(0), y.mean(0)
     a, b = phi - mean_phi, y - mean_y
     beta = np.linalg.solve(a.T @ a + ridge * len(rows) / len(marks) * np.eye(a.shape[1]), a.T @ b)
-    return Model(langs, symbol, column, np.ascontiguousarray(z.T), nystrom @ beta, mean_y - mean_phi @ beta)
+    known = np.zeros((len(langs), len(vocab) + 1), np.float32)
+    for k, row in zip(mark_langs, z, strict=True):
+        np.maximum(known[langs.index(k), :-1], row > 0, out=known[langs.index(k), :-1])
+    return Model(langs, symbol, column, np.ascontiguousarray(z.T), nystrom @ beta, mean_y - mean_phi @ beta, known)
+
+
+def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, seed: int = 6) -> Model | None:
+    """The model with each language's least evidence, found on labelled rows where use holds (a bounded sample).
+
+    The cut lies halfway between the median evidence of the language's texts and that of the same texts with their letters
+    shuffled, which keeps letters and lengths but is in no language. A language without such rows takes the cut of all
+    together; if there are none, the rows of docs that use leaves out serve.
+    """
+    if model is None:
+        return None
+    spark = docs.sparkSession
+    picked = choose(docs, use & F.col(lang_col).cast("string").isin(model.langs), id_col, lang_col, text_col, sample, seed) or choose(docs, F.col(lang_col).cast("string").isin(model.langs), id_col, lang_col, text_col, sample, seed)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            own, junk = [], []
+            for lang, h, t in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+                s = m.symbol[points(t)]
+                own.append(float(m.evidence(s)[m.langs.index(lang)]) if s.any() else None)
+                s[s > 0] = np.random.default_rng(h % (1 << 63)).permutation(s[s > 0])
+                junk.append(float(m.evidence(s).max()) if s.any() else None)
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(own, pa.float64()), pa.array(junk, pa.float64())], names=["lang", "h", "own", "junk"])
+
+    chosen, want = picked
+    got = [r for r in chosen.mapInArrow(run, "lang string, h bigint, own double, junk double").collect() if (r["lang"], r["h"]) in want and r["own"] is not None]
+    middle = lambda rows: (np.median([r["own"] for r in rows]) + np.median([r["junk"] for r in rows])) / 2
+    return replace(model, cut=np.array([middle([r for r in got if r["lang"] == k] or got) for k in model.langs]))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns keep of docs, with lang_pred and score. Map-only; whole texts.
 
-    A text that is null, empty or without letters, or any text if nothing could be learned: und, with score 0. Ties go to
+    A text that is null, empty or without letters, or any text if nothing could be learned: und, with score 0. With a
+    calibrated model so is a text with less evidence than its language asks for. Ties go to
     the language that comes first by name. keep must not hold lang_pred or score.
     """
     spark = docs.sparkSession
@@ -206,8 +267,11 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
                 n = x.num_rows
                 names, score = [UNKNOWN] * n, np.zeros(n)
                 if m is not None:
-                    f, has = m.scores(x.column("_text").to_pylist())
+                    texts = x.column("_text").to_pylist()
+                    f, has = m.scores(texts)
                     best = f.argmax(1)
+                    if m.cut is not None:
+                        has = np.array(m.recognised(texts, best, has), bool)
                     names = [m.langs[i] if h else UNKNOWN for i, h in zip(best.tolist(), has.tolist(), strict=True)]
                     score = np.where(has, np.clip((1 + f.max(1)) / 2, 0, 1), 0)
                 yield pa.RecordBatch.from_arrays([*(x.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
