@@ -86,6 +86,15 @@ def test_jaccard_keeps_one(spark, odd):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([1, 3, 4, 5, 6, -8, 9, None, 11], key=str)
 
 
+def test_jaccard_keeps_one_by_row(spark):
+    """One id on two texts: only the copy goes; copies without an id leave one row."""
+    t = {c: " ".join(f"{c}{i}" for i in range(20)) for c in "abcd"}
+    rows = [(1, t["a"]), (2, t["a"]), (2, t["b"]), (3, t["b"] + " more"), (4, t["c"]), (4, t["d"]), (4, t["d"]), (None, t["c"] + " x"), (None, "n1 n2 n3 n4"), (None, "n1 n2 n3 n4"), (None, ""), (None, "")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), words=3, num=80)
+    want = [(1, t["a"]), (2, t["b"]), (4, t["c"]), (4, t["d"]), (None, "n1 n2 n3 n4"), (None, ""), (None, "")]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(want)
+
+
 def test_language(spark, docs, odd):
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
     assert len(rows) == docs.count()

@@ -89,8 +89,8 @@ def prefix(others: np.ndarray, n: int, num: int, den: int) -> tuple[int, int, in
     return best, n - least + best, n - same + min(best, same)
 
 
-def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, cls, need, short, cent, hist, toks of each document: its prefix in the common order, and how many of its shingles fall in each of HIST parts."""
+def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, cls, need, short, cent, hist, toks of each document: its prefix in the common order, and how many of its shingles fall in each of HIST parts. keep: long columns of docs that come along."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +116,10 @@ def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: in
                     m, long, index = prefix(extra[e - size : e], size, num, den)
                     need.append(m), short.append(index), toks.append(tok[e - size : e - size + long])
                 at = np.concatenate([[0], np.cumsum([len(t) for t in toks])])
-                arrays = [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(classes_of(h, ends), mask=n == 0), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.array([x.tobytes() for x in hist], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "need", "short", "cent", "hist", "toks"])
+                arrays = [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(classes_of(h, ends), mask=n == 0), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.array([x.tobytes() for x in hist], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64())), *(b.column(c).slice(lo, hi - lo) for c in keep)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "need", "short", "cent", "hist", "toks", *keep])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, need int, short int, cent bigint, hist binary, toks array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, need int, short int, cent bigint, hist binary, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
 
 
 def feasible(a: str, b: str, num: int, den: int) -> Column:
@@ -206,10 +206,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id take part, but give no component its name; a group of such rows only has a null. Rows that repeat an id are each a row
     of the result, and each stands in the group of its own text. No rows: no rows. Other columns don't come through.
     """
+    rows, roots = linked(docs, id_col, text_col, words, num, den)
+    rows = rows.select("doc_id", "n", "cls").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return rows.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures (doc_id, n, cls, ..., and the columns keep of docs), and the roots (v, root) of the classes that link with another one."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(signatures(docs, levels(docs, words), words, num, den), "join-signatures")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    rows = stage(signatures(docs, levels(docs, words), words, num, den, keep), "join-signatures")
     members = ["n", "need", "short", "cent", "hist", "toks"]
     classes = stage(rows.where("n > 0").groupBy("cls").agg(F.first(F.struct(*members)).alias("s")).select("cls", "s.*"), "join-classes")
     post = classes.select("cls", "n", "short", "cent", F.posexplode("toks").alias("pos", "tok"))
@@ -234,18 +242,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = stage(matching(rest, classes), "join-matching")
     more = verified(docs, rest, words, num, den)
     roots = components(links.union(more))
-    rows = rows.select("doc_id", "n", "cls").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return rows, roots
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the near copies: of each group the document with the smallest id stays, once; documents without an id or without words stay."""
-    groups = stage(similar_groups(docs, id_col, **how), "join-groups")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    repeated = groups.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if repeated:
-        known, no_id = kept.where(F.col(id_col).isNotNull()), kept.where(F.col(id_col).isNull())
-        kept = known.dropDuplicates([id_col]).union(no_id)
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """docs without the near copies: of each group one row stays, that of the smallest id (null ids come last; one id on several texts: the smallest hash of the text).
+
+    Rows are told apart by id and text, so an id that stands on different texts loses only those that are copies. Rows without words stay.
+    """
+    key = [F.col(id_col), F.xxhash64(text_col)]
+    rows, roots = linked(docs.withColumn("_h", key[1]), id_col, text_col, words, num, den, ("_h",))
+    rows = rows.where("n > 0").select("doc_id", "_h", "cls").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    groups = stage(rows.groupBy("root", "doc_id", "_h").agg(F.count("*").alias("times")), "join-groups")
+    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
+    first = groups.groupBy("root").agg(F.min(mine).alias("first"))
+    gone = groups.join(first, "root").where(mine != F.col("first")).select(F.col("doc_id").alias("_id"), "_h")
+    same = key[0].cast("long").eqNullSafe(F.col("_id")) & key[1].eqNullSafe(F.col("_h"))
+    kept = docs.join(gone, same, "left_anti").select(*docs.columns)
+    again = groups.where("times > 1").select(F.col("doc_id").alias("_id"), "_h")
+    if again.limit(1).count():
+        twice = kept.join(again, same, "left_semi").withColumn("_h", key[1]).dropDuplicates([id_col, "_h"])
+        kept = kept.join(again, same, "left_anti").union(twice.select(*docs.columns))
     return kept
