@@ -304,3 +304,18 @@ def test_html_odd():
     assert f(f"<div class='cookie-notice'>We use cookies</div><main><h1>T</h1>{body}<div class=ad>Buy</div><p>a<br>b\n  c</p></main>") == "T\n\n" + want + "\n\na b c"
     assert f("just text &lt;b&gt;") == "just text <b>"
     assert f("<p>One<p>Two<ul><li>a<li>b</ul>") == "One\n\nTwo\n\na\n\nb"
+
+
+def test_html_wrappers_and_sections():
+    f = html_extract.main_text
+    para = [f"Paragraph {i} has enough words to be the article of this page, and some more." for i in range(8)]
+    body, nav = "".join(f"<p>{x}</p>" for x in para), "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(12)) + "</ul>"
+    for name in ("content has-sidebar", "no-ads", "with-comments", "search-results", "sidebar", "widget"):
+        assert f(f"<body><nav>{nav}</nav><div class='{name}'><div class=entry-header><h1>Title</h1></div>{body}<div class='ad-box'>Buy this</div></div></body>") == "\n\n".join(["Title", *para])
+    assert f(f"<body><main>{body}</main><div class=comments>{body * 3}</div></body>") == "\n\n".join(para)
+    assert f(f"<body><main><p>{para[0]} <span class=ad>Buy</span></p></main></body>") == para[0]
+    long = " ".join(para * 20)
+    for inner in (f"<blockquote><p>Said:</p><p>{long}</p></blockquote>", f"<div><h2>Said:</h2><p>{long}</p></div>"):
+        for menu in (f"<div>{nav}</div>", ""):
+            page = f"<body>{menu}<div><div><h2>First</h2>{body}</div>{inner}<div><h2>Last</h2>{body}</div></div></body>"
+            assert f(page) == "\n\n".join(["First", *para, "Said:", long, "Last", *para])

@@ -28,23 +28,28 @@ CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words in class, id or role that mark what isn't the article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side-bar widget menu nav navbar navigation breadcrumb breadcrumbs toolbar pager pagination footer header masthead comment comments commentlist reply replies respond disqus discussion related recommended share sharing social login search skip".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side-bar widget menu nav navbar navigation breadcrumb breadcrumbs toolbar pager pagination footer header masthead comment comments commentlist reply replies respond disqus discussion related recommended share sharing social login search skip post-comments left-sidebar right-sidebar".split())
+#: Beginnings of words that mark the same; other parts of words with hyphens say nothing (has-sidebar, no-ads, entry-header).
+PREFIXES = ("ad-", "ads-", "advert-", "advertisement-", "sponsored-", "promo-", "cookie-", "consent-", "gdpr-", "newsletter-", "nav-", "navbar-", "breadcrumb-", "comment-", "comments-", "disqus-", "related-", "share-", "sharing-", "social-", "sidebar-", "site-header", "site-footer", "page-footer", "main-nav", "site-nav", "main-menu")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: The part of the page's text beyond which class or id alone don't drop an element; the part of the text around the region that must be content for the region to grow; characters per tag that are prose on any page.
+HELD, NEAR, PROSE = 0.5, 0.5, 20
 #: Width of the smoothing in lines; the part of the content's text that an article or main element, or any other element, must hold to be the region.
 SIGMA, SHARE, MOST = 1.0, 0.5, 0.8
 _SPACE = re.compile(r"\s+")
-_SPLIT = re.compile(r"[\s_]+")
 
 
-def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether a word of class or id marks what isn't the article."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    return any(w in MARKS or w.startswith(PREFIXES) for k, v in attrs if k in ("class", "id") for w in _SPACE.split((v or "").lower().replace("_", "-")))
+
+
+def marked(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether role, hidden or style marks it."""
     for k, v in attrs:
-        if k in ("class", "id"):
-            if tag in ("html", "body", "article", "main"):
-                continue
-            for w in _SPLIT.split((v or "").lower()):
-                if w in MARKS or any(x in MARKS for x in w.split("-")):
-                    return True
-        elif k == "role" and (v or "").lower() in ROLES:
+        if k == "role" and (v or "").lower() in ROLES:
             return True
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", ""):
             return True
@@ -52,20 +57,21 @@ def marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """lines: (text, number of tags, ids of the elements around it); skip: elements that never hold the article."""
+    """lines: (text, number of tags, ids of the elements around it); skip: elements that never hold the article; named: elements that class or id speak against."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.stack: list[tuple[str, int, bool]] = []
         self.articles: list[int] = []
+        self.named: set[int] = set()
         self.skipping, self.n, self.tags, self.text = 0, 0, 0, []
 
     def flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, self.tags, tuple(i for t, i, _ in self.stack if t not in INLINE)))
+                self.lines.append((text, self.tags, tuple(i for t, i, _ in self.stack if t not in INLINE or i in self.named)))
             self.text = []
         self.tags = 0
 
@@ -96,10 +102,13 @@ class Lines(HTMLParser):
                 self.close_open(CLOSED_BY[tag], BARRIER.get(tag, set()))
         if tag not in VOID:
             inside = any(t in ("article", "main") for t, _, _ in self.stack)
-            skip = tag in NEVER or tag == "header" and not inside or marked(tag, attrs)
-            if skip and tag in INLINE:
+            skip = tag in NEVER or tag == "header" and not inside or marked(attrs)
+            soft = named(tag, attrs)
+            if (skip or soft) and tag in INLINE:
                 self.flush()
             self.n += 1
+            if soft:
+                self.named.add(self.n)
             if tag in ("article", "main"):
                 self.articles.append(self.n)
             self.stack.append((tag, self.n, skip))
@@ -115,15 +124,30 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self.flush()
         for d in range(len(self.stack) - 1, -1, -1):
-            t, _, skip = self.stack[d]
+            t, i, skip = self.stack[d]
             if t == tag:
                 if skip and tag in INLINE:
                     self.text = []
+                elif i in self.named and tag in INLINE:
+                    self.flush()
                 self.pop_to(d)
                 return
             if tag in INLINE and t not in INLINE:
                 return  # a stray end of an inline element doesn't close blocks
 
+    def unnamed(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """The lines outside named elements. One that holds most of the page's text counts as unnamed, unless an article or main element has text elsewhere."""
+        held: dict[int, int] = {}
+        for text, _, path in self.lines:
+            for i in path:
+                held[i] = held.get(i, 0) + len(text)
+        total, articles = sum(len(text) for text, _, _ in self.lines), set(self.articles)
+        against = set(self.named)
+        for i in sorted(self.named):
+            if held.get(i, 0) > HELD * total and not any(i not in path and articles.intersection(path) and not against.intersection(path) for _, _, path in self.lines):
+                against.discard(i)
+        return [x for x in self.lines if not against.intersection(x[2])]
+
     def handle_data(self, data):
         if not self.skipping:
             self.text.append(data)
@@ -154,19 +178,35 @@ def threshold(x: list[float]) -> float:
     return (lo + hi) / 2
 
 
+def grown(region: int, lines: list[tuple[str, int, tuple[int, ...]]], ratio: list[float]) -> int:
+    """The widest element around the region to which the text that each step adds is content for the most part.
+
+    Content is what lies above the two-means cut of the ratios' logarithms, which one very long paragraph hardly moves, or is prose by itself.
+    """
+    least = min(PROSE, math.exp(threshold([math.log(max(r, 1e-9)) for r in ratio])))
+    around = next(path for _, _, path in lines if region in path)
+    for up in reversed(around[: around.index(region)]):
+        added = [(len(t), r) for (t, _, path), r in zip(lines, ratio, strict=True) if up in path and region not in path]
+        if sum(n for n, r in added if r >= least) < NEAR * sum(n for n, _ in added):
+            break
+        region = up
+    return region
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the article, joined by two line feeds. Null, empty or nothing but boilerplate: an empty string."""
     p = Lines()
     p.feed(html or "")
     p.close()
     p.flush()
-    if not p.lines:
+    lines = p.unnamed()
+    if not lines:
         return ""
-    ratio = smoothed([len(t) / (n + 1) for t, n, _ in p.lines])
+    ratio = smoothed([len(t) / (n + 1) for t, n, _ in lines])
     cut = threshold(ratio)
     mass: dict[int, int] = {}
     total = 0
-    for (text, _, path), r in zip(p.lines, ratio, strict=True):
+    for (text, _, path), r in zip(lines, ratio, strict=True):
         if r >= cut:
             total += len(text)
             for i in path:
@@ -174,8 +214,10 @@ def main_text(html: str | None) -> str:
     # elements are numbered in page order, so the last one with enough of the content is the innermost
     region = max((i for i in p.articles if mass.get(i, 0) > SHARE * total), default=None)
     if region is None:
-        region = max((i for i, m in mass.items() if m >= MOST * total and sum(i in path for _, _, path in p.lines) > 1), default=None)
-    return "\n\n".join(t for t, _, path in p.lines if region is None or region in path)
+        region = max((i for i, m in mass.items() if m >= MOST * total and sum(i in path for _, _, path in lines) > 1), default=None)
+        if region is not None:
+            region = grown(region, lines, [len(t) / (n + 1) for t, n, _ in lines])
+    return "\n\n".join(t for t, _, path in lines if region is None or region in path)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
