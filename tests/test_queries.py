@@ -1,6 +1,7 @@
 """Every registered query of the library beside its SQL in DuckDB, on the smallest tables; and facts and laws of the operators."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tmweave.functions import text as fx
 from tmweave.operators import extract, reuse, rules
 from tmweave.plans import registry
+from tmweave.streaming import incremental
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -104,3 +106,26 @@ def test_empty_tables(spark):
     for f in (extract.keyvalue, extract.properties, extract.strings, extract.rc, extract.master, extract.json_leaves, extract.html_blocks, extract.po_units):
         assert f(files).count() == 0
     assert extract.keyvalue(spark.createDataFrame([("a", None), ("b", "")], "path string, content string")).count() == 0
+
+
+def test_stream_batches(spark, tmp_path):
+    """Results over several batches lie in Parquet, not in the memory sink; a key's row is that of the last batch that changed it."""
+    schema = "item_id long, language string, usn long, string string, fuzzy int"
+    for i, rows in enumerate([[(1, "de", 1, "a", 0), (2, "de", 2, "b", 0)], [(1, "de", 5, "c", 1)], [(1, "de", 3, "d", 0), (3, None, 4, "e", 0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = incremental.run(incremental.latest(read()), f"{tmp_path}/latest", "update", f"{tmp_path}/c1", ["item_id", "language"])
+    assert {tuple(r) for r in got.collect()} == {(1, "de", 5, "c", 1), (2, "de", 2, "b", 0), (3, None, 4, "e", 0)} and got.count() == 3
+    assert len(os.listdir(tmp_path / "latest")) == 3
+    got = incremental.run(read(), f"{tmp_path}/all", "append", f"{tmp_path}/c2")
+    assert got.count() == 5 and all("/all/batch=" in f for f in got.inputFiles())
+
+
+def test_exchange_parts(spark):
+    """A large file goes out in numbered parts of bounded size, and all of it comes back."""
+    rows = [("f", "de", i, f"source {i}", None, f"target {i}", None, 0) for i in range(250)]
+    units = spark.createDataFrame(rows, "path string, language string, pos long, source string, context string, target string, comment string, fuzzy int")
+    for write, read in ((extract.po_text, extract.po_units), (extract.xliff_text, extract.xliff_units)):
+        files = write(units, size=100)
+        assert {r.path for r in files.collect()} == {"f.0", "f.1", "f.2"} and write(units).count() == 1
+        assert {(r.source, r.target) for r in read(files).collect()} == {(r[3], r[5]) for r in rows}

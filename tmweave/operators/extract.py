@@ -260,8 +260,19 @@ def po_units(files: DataFrame) -> DataFrame:
     return rows.withColumn("fuzzy", F.when(F.col("target") == "", 0).otherwise(F.col("fuzzy")))
 
 
-def po_text(units: DataFrame) -> DataFrame:
-    """PO files of units (path, language, pos, source, context, target, comment, fuzzy): a header and blocks in order."""
+def in_parts(units: DataFrame, size: int | None) -> DataFrame:
+    """units with paths numbered by ranges of size positions (path.0, path.1, ...), so that no file holds more of them than its range; without a size as they are."""
+    if size is None:
+        return units
+    return units.withColumn("path", F.concat_ws(".", "path", F.floor(F.col("pos") / size).cast("string")))
+
+
+def po_text(units: DataFrame, size: int | None = None) -> DataFrame:
+    """PO files of units (path, language, pos, source, context, target, comment, fuzzy): a header and blocks in order.
+
+    A file is made whole in one task; size splits large ones into numbered parts (in_parts).
+    """
+    units = in_parts(units, size)
     line = lambda name, c: F.concat(F.lit(f'{name} "'), fx.po_escape(c), F.lit('"'))
     block = F.concat_ws(
         "\n", F.when(fx.blank(F.col("comment")) != "", F.concat(F.lit("# "), "comment")), F.concat(F.lit("#: ID: "), fx.string_key(F.col("source"), F.col("context"))), F.when(F.col("fuzzy") == 1, "#, fuzzy"),
@@ -272,8 +283,9 @@ def po_text(units: DataFrame) -> DataFrame:
     return parts.select("path", "language", F.concat(head, F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("content"))
 
 
-def xliff_text(units: DataFrame) -> DataFrame:
-    """trans-unit elements of units, in order, one file each."""
+def xliff_text(units: DataFrame, size: int | None = None) -> DataFrame:
+    """trans-unit elements of units, in order, one file each; size splits large files as in po_text."""
+    units = in_parts(units, size)
     unit = F.concat(
         F.lit('<trans-unit id="'), fx.string_key(F.col("source"), F.col("context")), F.lit('" approved="'), F.when(F.col("fuzzy") == 1, "no").otherwise("yes"), F.lit('"><source>'), fx.xml_escape(F.col("source"), False),
         F.lit('</source><target state="'), F.when(fx.blank(F.col("target")) == "", "new").otherwise("translated"), F.lit('">'), fx.xml_escape(fx.blank(F.col("target")), False), F.lit("</target></trans-unit>"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -266,9 +265,8 @@ def stream(spark, d, table):
     return spark.readStream.schema(spark.read.parquet(f"{d}/{table}.parquet").schema).parquet(f"{d}/{table}.parque[t]")
 
 
-def finished(spark, df, mode):
-    name = f"s{uuid.uuid4().hex}"
-    return incremental.run(df, name, mode, folders.new_path(spark, "stream"))
+def finished(spark, df, mode, keys=None):
+    return incremental.run(df, folders.new_path(spark, "stream-result"), mode, folders.new_path(spark, "stream"), keys)
 
 
 WRITES = "l_partkey AS item_id, l_returnflag AS language, CAST(l_orderkey*10+l_linenumber AS BIGINT) AS usn, l_linestatus AS string, CAST(l_linenumber%2 AS INT) AS fuzzy"
@@ -276,19 +274,19 @@ WRITES = "l_partkey AS item_id, l_returnflag AS language, CAST(l_orderkey*10+l_l
 
 @query(f"SELECT item_id, language, usn, string, fuzzy FROM (SELECT *, row_number() OVER (PARTITION BY item_id, language ORDER BY usn DESC, string DESC, fuzzy DESC) AS n FROM (SELECT {WRITES} FROM lineitem)) WHERE n=1")
 def latest_translation_stream(spark, d):
-    return finished(spark, incremental.latest(stream(spark, d, "lineitem").selectExpr(*[x.strip() for x in WRITES.replace("BIGINT", "LONG").split(", ")])), "complete")
+    return finished(spark, incremental.latest(stream(spark, d, "lineitem").selectExpr(*[x.strip() for x in WRITES.replace("BIGINT", "LONG").split(", ")])), "update", ["item_id", "language"])
 
 
 @query("SELECT l_suppkey AS file_id, l_returnflag AS language, max(CAST(l_orderkey*10+l_linenumber AS BIGINT)) AS usn FROM lineitem GROUP BY ALL")
 def usn_highwater_stream(spark, d):
-    return finished(spark, incremental.high_water(stream(spark, d, "lineitem").selectExpr("l_suppkey AS file_id", "l_returnflag AS language", "CAST(l_orderkey*10+l_linenumber AS LONG) AS usn")), "complete")
+    return finished(spark, incremental.high_water(stream(spark, d, "lineitem").selectExpr("l_suppkey AS file_id", "l_returnflag AS language", "CAST(l_orderkey*10+l_linenumber AS LONG) AS usn")), "update", ["file_id", "language"])
 
 
 @query("SELECT l_suppkey AS file_id, l_returnflag AS language, count(*) AS translated, 1000 AS total, count(*)/1000.0::DOUBLE AS ratio FROM lineitem WHERE l_linenumber%2=0 GROUP BY ALL")
 def completeness_stream(spark, d):
     totals = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("file_id"), F.lit(1000).alias("total"))
     done = stream(spark, d, "lineitem").where("l_linenumber % 2 = 0").selectExpr("l_suppkey AS file_id", "l_returnflag AS language")
-    return finished(spark, incremental.completeness(done, totals), "complete")
+    return finished(spark, incremental.completeness(done, totals), "update", ["file_id", "language"])
 
 
 @query("SELECT o_orderkey AS item_id, o_orderpriority AS source, 'de' AS language, 'de:' || o_orderpriority AS target FROM orders")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
@@ -42,11 +43,35 @@ def reuse(units: DataFrame, best: DataFrame) -> DataFrame:
     return units.join(best, ["source", "language"])
 
 
-def run(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its result table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run(stream: DataFrame, folder: str, mode: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and gives its result table, which lies as Parquet in folder, one part for each batch.
+
+    append: all batches' rows; a batch that is run again replaces its part. update: each batch holds the rows that it changed, and the last
+    batch that wrote a key (keys) gives its row. Results never pass through the driver.
+    """
+    if mode not in ("append", "update") or mode == "update" and not keys:
+        raise ValueError("append, or update with keys")
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = StructType([*(StructField(f.name, f.dataType) for f in stream.schema), StructField("batch", LongType())])
+    if not any_batch(spark, folder):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(schema).parquet(folder)
+    if mode == "append":
+        return rows.select(*stream.columns)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r"))
+    return last.select("r.*")
+
+
+def any_batch(spark: SparkSession, folder: str) -> bool:
+    """Whether a batch has been written to folder, in this run of the stream or an earlier one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def any_reason(rows: DataFrame, reasons: list[str]) -> DataFrame:
