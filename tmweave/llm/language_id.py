@@ -74,7 +74,7 @@ class Model:
 
     def evidence(self, s: np.ndarray) -> np.ndarray:
         """Of a text's symbols, some of them letters: for each language the part of the occurrences of n-grams that its landmarks hold."""
-        g = s = np.concatenate(([0], s, [0])).astype(np.int32)
+        g = s = np.pad(s, 1).astype(np.int32)
         for n in range(1, ORDER):
             g = g[:-1] * SYMBOLS + s[n:]
         g = g[g > 0]
@@ -243,6 +243,7 @@ def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "
 
     chosen, want = picked
     got = [r for r in chosen.mapInArrow(run, "lang string, h bigint, own double, junk double").collect() if (r["lang"], r["h"]) in want and r["own"] is not None]
+    shared.destroy()
     middle = lambda rows: (np.median([r["own"] for r in rows]) + np.median([r["junk"] for r in rows])) / 2
     return replace(model, cut=np.array([middle([r for r in got if r["lang"] == k] or got) for k in model.langs]))
 
@@ -275,6 +276,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
                     names = [m.langs[i] if h else UNKNOWN for i, h in zip(best.tolist(), has.tolist(), strict=True)]
                     score = np.where(has, np.clip((1 + f.max(1)) / 2, 0, 1), 0)
                 yield pa.RecordBatch.from_arrays([*(x.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+        pa.default_memory_pool().release_unused()
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
