@@ -129,3 +129,13 @@ def test_exchange_parts(spark):
         files = write(units, size=100)
         assert {r.path for r in files.collect()} == {"f.0", "f.1", "f.2"} and write(units).count() == 1
         assert {(r.source, r.target) for r in read(files).collect()} == {(r[3], r[5]) for r in rows}
+
+
+def test_json_depth(spark):
+    """Strings are found however deep they lie."""
+    deep = '"x"'
+    for i in range(12):
+        deep = f'{{"k": {deep}, "n": "at {i}"}}' if i % 2 else f"[{deep}, 1]"
+    got = {(r.key, r.string) for r in extract.json_leaves(spark.createDataFrame([("f", deep), ("g", '{"a": "b"}'), ("h", "no json")], "path string, content string")).collect()}
+    assert ("/k[0]" * 6, "x") in got and ("/a", "b") in got and len(got) == 8
+    assert ("/k[0]" * 3 + "/n", "at 5") in got

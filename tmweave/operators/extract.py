@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmweave.functions import text as fx
+from tmweave.sources import folders
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -115,15 +116,21 @@ def master(files: DataFrame) -> DataFrame:
     return rows.select("path", "pos", part(0).alias("string"), part(1).alias("context"), part(2).alias("hint"))
 
 
-def json_leaves(files: DataFrame, depth: int = 4, matches: str | None = None) -> DataFrame:
-    """String leaves of JSON with their path (/a/b[0]) as key; up to depth levels."""
+def json_leaves(files: DataFrame, depth: int | None = None, matches: str | None = None) -> DataFrame:
+    """String leaves of JSON with their path (/a/b[0]) as key, of all levels, or of the first depth ones. Each level is written to the shared folder, to see whether there is a next one."""
+    spark = files.sparkSession
     level = files.select("path", F.lit("").alias("key"), F.try_parse_json("content").alias("v"))
     found = []
-    for _ in range(depth):
-        level = level.sparkSession.sql("SELECT path, concat(l.key, coalesce(concat('/', e.key), concat('[', e.pos, ']'))) AS key, e.value AS v FROM {level} AS l, LATERAL variant_explode(l.v) AS e", level=level)
+    while depth is None or len(found) < depth:
+        level = spark.sql("SELECT path, concat(l.key, coalesce(concat('/', e.key), concat('[', e.pos, ']'))) AS key, e.value AS v FROM {level} AS l, LATERAL variant_explode(l.v) AS e", level=level)
+        folder = folders.new_path(spark, "json-level")
+        level.write.parquet(folder)
+        level = spark.read.schema(level.schema).parquet(folder)
         kind = F.schema_of_variant("v")
         found.append(level.where(kind == "STRING").select("path", "key", F.try_variant_get("v", "$", "string").alias("string")))
         level = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        if not level.limit(1).count():
+            break
     out = reduce(DataFrame.union, found).where("trim(string) <> ''")
     return out.where(F.col("key").rlike(matches)) if matches else out
 
