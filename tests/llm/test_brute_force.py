@@ -319,3 +319,25 @@ def test_html_wrappers_and_sections():
         for menu in (f"<div>{nav}</div>", ""):
             page = f"<body>{menu}<div><div><h2>First</h2>{body}</div>{inner}<div><h2>Last</h2>{body}</div></div></body>"
             assert f(page) == "\n\n".join(["First", *para, "Said:", long, "Last", *para])
+
+
+def thue_morse():
+    """Two strings of 2048 letters that a polynomial hash modulo 2**64 can't tell apart, whatever its odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_jaccard_tells_words_apart(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, f"one two {a} four"), (4, f"one two {b} four"), (5, f"{a} x"), (6, f"{a} X")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k in (1, 3):
+        assert Counter(tuple(r) for r in jaccard_join.similar_groups(df, words=k, num=90, den=100).collect()) == grouped(rows, k, 90, 100)
+
+
+def test_jaccard_keeps_columns(spark, odd):
+    """Columns of any name come through, and an empty table stays one."""
+    df = odd.select("*", *(F.lit("mine").alias(c) for c in ("k", "h", "n", "row", "k1", "name", "salt", "a.b")))
+    kept = jaccard_join.one_of_each(df, words=3, num=90)
+    assert kept.columns == df.columns and {r["h"] for r in kept.collect()} == {"mine"} and kept.count() == 9
+    assert jaccard_join.one_of_each(df.limit(0)).count() == jaccard_join.similar_groups(df.limit(0)).count() == 0

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import discard, ship, stage
 from .components import components
-from .shingles import STEP, chunks, mixed, shingle_sets
+from .shingles import M1, STEP, chunks, mixed, shared_shingles, shingle_sets, words_of
 
 WORDS, NUM, DEN = 5, 80, 100
 #: Prefixes are made for up to so many matches; verifying a candidate costs as much as meeting so many.
@@ -31,6 +32,8 @@ MATCHES, VERIFY = 4, 8.0
 CELLS, PARTS, BITS = 1 << 22, 64, 1 << 24
 #: Parts of a set that are counted for a bound on what two sets share; 255 stands for more.
 HIST = 256
+#: A class's rows are named in so many parts.
+SALTS = 16
 
 
 def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -41,11 +44,13 @@ def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray
             yield at + lo, at + hi, *shingle_sets(texts[lo:hi], words)
 
 
-def classes_of(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each set, alike for equal sets; the sum of mixed hashes makes two sets meet by chance once in 2**64."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(h + STEP))])
-    begin = np.concatenate([[0], ends[:-1]])
-    return mixed((total[ends] - total[begin]) ^ mixed((ends - begin).astype(np.uint64))).view(np.int64)
+def keys_of(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set, alike for equal sets: two sums of differently mixed hashes."""
+    out, begin = [], np.concatenate([[0], ends[:-1]])
+    for x in (mixed(h + STEP), mixed(h * STEP + M1)):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
+        out.append(mixed((total[ends] - total[begin]) ^ mixed((ends - begin).astype(np.uint64))).view(np.int64))
+    return out[0], out[1]
 
 
 def levels(docs: DataFrame, words: int) -> np.ndarray:
@@ -89,15 +94,14 @@ def prefix(others: np.ndarray, n: int, num: int, den: int) -> tuple[int, int, in
     return best, n - least + best, n - same + min(best, same)
 
 
-def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n, cls, need, short, cent, hist, toks of each document: its prefix in the common order, and how many of its shingles fall in each of HIST parts. keep: long columns of docs that come along."""
+def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """doc_id and h of docs, with n, k1, k2, need, short, cent, hist, toks of each text: size and key of its set, its prefix in the common order, and how many of its shingles fall in each of HIST parts."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         guess = np.concatenate([[0.0], 2.0 ** np.arange(64)])  # documents at each level
         for b in batches:
-            ids = b.column("doc_id")
             for lo, hi, h, ends in sets_of(b.column("text"), words):
                 lv = common[(h >> np.uint64(42)).astype(np.int64)]
                 n = np.diff(ends, prepend=0)
@@ -116,17 +120,17 @@ def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: in
                     m, long, index = prefix(extra[e - size : e], size, num, den)
                     need.append(m), short.append(index), toks.append(tok[e - size : e - size + long])
                 at = np.concatenate([[0], np.cumsum([len(t) for t in toks])])
-                arrays = [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(classes_of(h, ends), mask=n == 0), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.array([x.tobytes() for x in hist], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64())), *(b.column(c).slice(lo, hi - lo) for c in keep)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "cls", "need", "short", "cent", "hist", "toks", *keep])
+                k1, k2 = keys_of(h, ends)
+                arrays = [b.column("doc_id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.array([x.tobytes() for x in hist], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n", "k1", "k2", "need", "short", "cent", "hist", "toks"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, cls bigint, need int, short int, cent bigint, hist binary, toks array<bigint>" + "".join(f", {c} bigint" for c in keep))
+    return docs.mapInArrow(run, "doc_id bigint, h bigint, n bigint, k1 bigint, k2 bigint, need int, short int, cent bigint, hist binary, toks array<bigint>")
 
 
-def feasible(a: str, b: str, num: int, den: int) -> Column:
-    """Whether a shingle at these positions can be the first that two documents share and they still reach the threshold: bounds of size and position."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+def feasible(n: Column, pos: Column, m: Column, at: Column, num: int, den: int) -> Column:
+    """Whether a shingle at these positions of sets of sizes n and m can be the first that the two share and they still reach the threshold: bounds of size and position."""
     share = F.ceil((n + m) * num / (den + num) - 1e-9)
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= share)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - pos, m - at) >= share)
 
 
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -155,112 +159,138 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "nx", "ny", "hx", "hy").mapInArrow(check, "a bigint, b bigint")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Those of the pairs of classes (a, b) that link, staged. Sets come from the texts, for classes in the pairs only (a fixed-size filter lets a few others through)."""
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Those of the pairs of classes (a, b) that link, staged: their texts are compared word by word.
+
+    Texts are read again, for the classes in the pairs only (a filter of fixed size lets others through, and a join drops those), and travel compressed.
+    """
     spark = docs.sparkSession
-    bit = F.shiftrightunsigned("c", 40)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("s"))
-    found = wanted.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("m")).toArrow()
+    wanted = classes.select("cls", "k1", "k2").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
+    wanted = stage(wanted, "join-wanted")
+    bit = F.shiftrightunsigned("k1", 40)
+    found = wanted.select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("s")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("m")).toArrow()
     mask = np.zeros(BITS // 64, np.int64)
     mask[found.column("w").to_numpy()] = found.column("m").to_numpy()
     shared = spark.sparkContext.broadcast(mask.view(np.uint64))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen, pack = shared.value, set(), zstandard.ZstdCompressor(1).compress
         for b in batches:
-            for _, _, h, ends in sets_of(b.column("text"), words):
-                cls = classes_of(h, ends)
-                n = np.diff(ends, prepend=0)
-                slot = cls.view(np.uint64) >> np.uint64(40)
-                hit = (n > 0) & ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0)
+            column = b.column("text")
+            for lo, _, h, ends in sets_of(column, words):
+                k1, k2 = keys_of(h, ends)
+                slot = k1.view(np.uint64) >> np.uint64(40)
+                hit = (np.diff(ends, prepend=0) > 0) & ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0)
                 rows = []
                 for i in np.flatnonzero(hit).tolist():
-                    if (c := int(cls[i])) not in seen:
-                        seen.add(c)
-                        rows.append((c, h[ends[i] - n[i] : ends[i]].tobytes()))
+                    if (key := (int(k1[i]), int(k2[i]))) not in seen:
+                        seen.add(key)
+                        rows.append((*key, pack(b" ".join(words_of(column[lo + i].as_py().encode())))))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["c", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k1", "k2", "words"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([p, q])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(inter * den >= num * (len(both) - inter))
+                both, together = shared_shingles(unpack(x.as_py()), unpack(y.as_py()), words)
+                keep.append(both * den >= num * together)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    all_sets = docs.select("text").mapInArrow(sets, "c bigint, members binary").join(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c").groupBy("c").agg(F.first("members").alias("members"))
-    all_sets = stage(all_sets, "join-sets")
-    left = pairs.join(all_sets.select(F.col("c").alias("a"), F.col("members").alias("x")), "a")
-    both = left.join(all_sets.select(F.col("c").alias("b"), F.col("members").alias("y")), "b")
-    return stage(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "join-links")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: the smallest id that links reach. Two texts link if den * |common| >= num * |all| of their shingles.
-
-    Null and empty texts, or texts without words, have no shingles and link with nothing: component_id is their own id. Rows of a null
-    id take part, but give no component its name; a group of such rows only has a null. Rows that repeat an id are each a row
-    of the result, and each stands in the group of its own text. No rows: no rows. Other columns don't come through.
-    """
-    rows, roots = linked(docs, id_col, text_col, words, num, den)
-    rows = rows.select("doc_id", "n", "cls").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    names = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(names, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    # a batch holds one text of a class at most, and a class that many batches hold is thinned out before the shuffle
+    got = docs.select("text").mapInArrow(texts, "k1 bigint, k2 bigint, words binary").groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    got = stage(got.join(wanted, ["k1", "k2"]).select("cls", "words"), "join-texts")
+    left = pairs.join(got.select(F.col("cls").alias("a"), F.col("words").alias("x")), "a")
+    both = left.join(got.select(F.col("cls").alias("b"), F.col("words").alias("y")), "b")
+    links = stage(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "join-links")
+    discard(got, wanted)
+    return links
 
 
-def linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The rows' signatures (doc_id, n, cls, ..., and the columns keep of docs), and the roots (v, root) of the classes that link with another one."""
+def linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, h (hash of the text), n, k1, k2 of each row. named: k1, k2, name (none, doc_id, h, node) of the classes that link or have several rows; name is the least of the component's rows. Both staged."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    rows = stage(signatures(docs, levels(docs, words), words, num, den, keep), "join-signatures")
-    members = ["n", "need", "short", "cent", "hist", "toks"]
-    classes = stage(rows.where("n > 0").groupBy("cls").agg(F.first(F.struct(*members)).alias("s")).select("cls", "s.*"), "join-classes")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    sig = stage(signatures(docs, levels(docs, words), words, num, den), "join-signatures")
+    rows = stage(sig.select("doc_id", "h", "n", "k1", "k2"), "join-rows")
+    mine = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("mine")
+    classes = sig.where("n > 0").groupBy("k1", "k2").agg(F.first(F.struct("n", "need", "short", "cent", "hist", "toks")).alias("s"), mine, F.count("*").alias("times"))
+    classes = classes.withColumn("cls", F.monotonically_increasing_id())
+    classes = stage(classes.select("cls", "k1", "k2", "times", F.struct("mine.none", "mine.doc_id", "mine.h", F.col("cls").alias("node")).alias("name"), "s.*"), "join-classes")
+    discard(sig)
+    names = classes.select(F.col("cls").alias("v"), "name")
+    half = 1 << 31  # sets and positions are smaller: an array's length is an int
     post = classes.select("cls", "n", "short", "cent", F.posexplode("toks").alias("pos", "tok"))
-    lists = post.groupBy("tok").agg(F.count("*").alias("c"), F.max_by("cls", "cent").alias("p")).where("c > 1").select("tok", "p")
-    met = stage(post.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "p"), "join-postings")
-    star = met.where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+    lists = post.groupBy("tok").agg(F.count("*").alias("c"), F.max_by("cls", "cent").alias("p"), F.max_by(F.col("n") * half + F.col("pos"), "cent").alias("at")).where("c > 1").select("tok", "p", "at")
+    met = stage(post.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "p", "at"), "join-postings")
+    near = feasible(F.col("n"), F.col("pos"), F.shiftright("at", 31), F.col("at") % half, num, den)
+    star = met.where((F.col("cls") != F.col("p")) & near).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
     star = stage(likely(star, classes, num, den), "join-stars")
-    links = verified(docs, star, words, num, den)
-    roots = components(links)
-    named = met.join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.join(roots.select(F.col("v").alias("p"), F.col("root").alias("p_root")), "p", "left")
+    links = verified(docs, star, classes, words, num, den)
+    roots = components(links, names)
+    node = roots.select("v", F.col("name.node").alias("root"))
+    named = met.join(node.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = named.join(node.select(F.col("v").alias("p"), F.col("root").alias("p_root")), "p", "left")
     named = stage(named.select("tok", "cls", "n", "short", "pos", "root", (F.col("root") != F.coalesce("p_root", "p")).alias("other")), "join-named")
+    discard(met, roots)
     mixed_lists = named.where("other").select("tok").distinct()
     y = named.join(mixed_lists, "tok", "left_semi").alias("y")
     x = named.where("other").alias("x")
     smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))
     once = ~F.col("y.other") | (F.col("x.cls") < F.col("y.cls"))
     index = F.when(smaller, F.col("x.pos") < F.col("x.short")).otherwise(F.col("y.pos") < F.col("y.short"))
-    hits = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.root") != F.col("y.root")) & once & index & feasible("x", "y", num, den))
+    first = feasible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
+    hits = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.root") != F.col("y.root")) & once & index & first)
     rest = hits.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
     rest = stage(likely(rest.join(star, ["a", "b"], "left_anti"), classes, num, den), "join-rest")
-    rest = stage(matching(rest, classes), "join-matching")
-    more = verified(docs, rest, words, num, den)
-    roots = components(links.union(more))
-    return rows, roots
+    discard(named, star)
+    match = stage(matching(rest, classes), "join-matching")
+    more = verified(docs, match, classes, words, num, den)
+    discard(rest, match)
+    roots = components(links.union(more), names)
+    found = classes.select(F.col("cls").alias("v"), "k1", "k2", "times", F.col("name").alias("own")).join(roots, "v", "left")
+    found = stage(found.where("times > 1 or name is not null").select("k1", "k2", F.coalesce("name", "own").alias("name")), "join-names")
+    discard(links, more, roots, classes)
+    return rows, found
+
+
+def with_names(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """rows with the name of their component, null for those that stand alone. Names are copied SALTS times, so that a class of very many rows is joined in as many tasks."""
+    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SALTS)).cast("int")).join(salted, ["k1", "k2", "salt"], "left")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row: the smallest id that links reach. Two texts link if den * |common| >= num * |all| of their shingles.
+
+    Null and empty texts, or texts without words, have no shingles and link with nothing: component_id is their own id. Rows of a null
+    id take part, but give no component its name; a group of such rows only has a null. Rows that repeat an id are each a row
+    of the result, and each stands in the group of its own text. No rows: no rows. Other columns don't come through.
+    Texts of any length are read whole; candidates are compared by their words, and equal sets are known by 128 bits of keyed hashes.
+    """
+    rows, named = linked(docs, id_col, text_col, words, num, den)
+    return with_names(rows, named).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs without the near copies: of each group one row stays, that of the smallest id (null ids come last; one id on several texts: the smallest hash of the text).
 
     Rows are told apart by id and text, so an id that stands on different texts loses only those that are copies. Rows without words stay.
+    No rows: no rows. All columns of docs come through as they are, whatever their names.
     """
-    key = [F.col(id_col), F.xxhash64(text_col)]
-    rows, roots = linked(docs.withColumn("_h", key[1]), id_col, text_col, words, num, den, ("_h",))
-    rows = rows.where("n > 0").select("doc_id", "_h", "cls").join(roots.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    groups = stage(rows.groupBy("root", "doc_id", "_h").agg(F.count("*").alias("times")), "join-groups")
-    mine = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")
-    first = groups.groupBy("root").agg(F.min(mine).alias("first"))
-    gone = groups.join(first, "root").where(mine != F.col("first")).select(F.col("doc_id").alias("_id"), "_h")
-    same = key[0].cast("long").eqNullSafe(F.col("_id")) & key[1].eqNullSafe(F.col("_h"))
-    kept = docs.join(gone, same, "left_anti").select(*docs.columns)
-    again = groups.where("times > 1").select(F.col("doc_id").alias("_id"), "_h")
+    rows, named = linked(docs, id_col, text_col, words, num, den)
+    both = with_names(rows, named)
+    first = F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("h") == F.col("name.h"))
+    gone = stage(both.where(F.col("name").isNotNull() & ~first).select(F.col("doc_id").alias("k"), "h").distinct(), "join-gone")
+    again = stage(rows.where("n > 0").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("k"), "h"), "join-again")
+    discard(rows, named)
+    row = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    on = lambda t: row["k"].eqNullSafe(t["k"]) & row["h"].eqNullSafe(t["h"])
+    kept = row.join(gone, on(gone), "left_anti")
     if again.limit(1).count():
-        twice = kept.join(again, same, "left_semi").withColumn("_h", key[1]).dropDuplicates([id_col, "_h"])
-        kept = kept.join(again, same, "left_anti").union(twice.select(*docs.columns))
-    return kept
+        # rows of one id and text: all but one of them go
+        many = kept.join(again, on(again), "left_semi").groupBy("k", "h").agg(F.first("row").alias("row"))
+        kept = kept.join(again, on(again), "left_anti").select("row").union(many.select("row"))
+    return kept.select("row.*")

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+from pandas.util import hash_array
 
-#: Mixing constants of a 64-bit finaliser, and an odd base of the words' polynomial with its inverse modulo 2**64.
+#: Mixing constants of a 64-bit finaliser, and an odd base of a polynomial with its inverse modulo 2**64.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
+#: The key of the words' hashes; any 16 bytes serve.
+KEY = "tmweave-shingles"
 #: Bytes of text hashed together; a longer text is hashed alone.
 CHUNK = 1 << 20
 
-_lower = np.arange(256, dtype=np.uint8)
-_lower[65:91] += 32
-_space = np.zeros(256, bool)
-_space[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = []
 
 
@@ -52,26 +51,28 @@ def chunks(sizes: list[int], most: int = CHUNK):
         yield lo, len(sizes)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """SipHash of each word, keyed: no pattern of bytes makes two words meet more often than chance."""
+    out = np.empty(len(words), object)
+    out[:] = words
+    return hash_array(out, hash_key=KEY, categorize=False)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of anything but the six ASCII white-space characters, A to Z in lower case: what bytes' own methods do."""
+    return text.lower().split()
+
+
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """hashes, ends: each text's distinct shingle hashes in ascending order, end to end, and where each text's end.
 
-    Words are runs of anything but the six ASCII white-space characters, A to Z in lower case; a text of fewer than k words has its
-    whole sequence as one shingle, a text without words none.
+    A text of fewer than k words has its whole sequence as one shingle, a text without words none.
     """
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    low = _lower[data]
-    word = np.concatenate([[False], ~_space[data]])
-    edge = np.flatnonzero(word[1:] != word[:-1])
-    if not word[-1]:
-        start, end = edge[0::2], edge[1::2]
-    else:
-        start, end = edge[0::2], np.append(edge[1::2], len(data))
-    up, down = powers(len(data) + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(low.astype(np.uint64) * up[: len(data)])])
-    h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * STEP)
-    first = np.cumsum([0] + [len(t) + 1 for t in texts])
-    doc = np.searchsorted(first, start, "right") - 1
-    count = np.bincount(doc, minlength=len(texts))
+    words = [words_of(t) for t in texts]
+    count = np.array([len(w) for w in words], np.int64)
+    h = word_hashes([x for w in words for x in w])
+    del words
+    doc = np.repeat(np.arange(len(texts)), count)
     at = np.concatenate([[0], np.cumsum(count)])
     out_doc, out_hash = [], []
     if len(h) >= k:
@@ -91,6 +92,17 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[keep], np.cumsum(np.bincount(doc[keep], minlength=len(texts)))
 
 
+def shared_shingles(a: bytes, b: bytes, k: int) -> tuple[int, int]:
+    """How many distinct shingles two texts share, and how many they have together; by the words themselves, no hashes."""
+    number: dict[bytes, int] = {}
+    sets = []
+    for t in (a, b):
+        ids = [number.setdefault(w, len(number)) for w in words_of(t)]
+        sets.append(set(zip(*(ids[i:] for i in range(k)), strict=False)) if len(ids) >= k else {tuple(ids)} if ids else set())
+    both = len(sets[0] & sets[1])
+    return both, len(sets[0]) + len(sets[1]) - both
+
+
 def chain(h: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     x = np.full(len(i), k, np.uint64)
     for j in range(k):
