@@ -16,10 +16,10 @@ _white[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 class Parts:
-    """A hash table from parts' 64-bit hashes to their ids, which lie end to end in one array.
+    """A hash table from parts' 64-bit hashes to their bytes and ids, which lie end to end in two arrays.
 
-    A part is known by its hash and length, so that two different parts of one length are taken for each other once in 2**64
-    cases. When the table has most entries it starts anew.
+    The hash only finds an entry; a part is taken for it if all their bytes agree, and is solved anew otherwise. When the
+    table has most entries it starts anew.
     """
 
     def __init__(self, kind: type, solve: Callable[[list[bytes]], list[np.ndarray]], most: int, bits: int = 22):
@@ -31,6 +31,7 @@ class Parts:
         self.entry = np.zeros(1 << self.bits, np.int32)
         self.at, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.flat, self.used, self.size = np.zeros(1 << 18, self.kind), 0, 0
+        self.text, self.text_at, self.text_used = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entries of hashes; -1 for those not there."""
@@ -45,19 +46,26 @@ class Parts:
             left, slot = left[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
-        """h: distinct hashes that aren't there."""
+    def keep(self, parts: list[bytes]) -> np.ndarray:
+        """Solves parts and stores them; gives their entries, which no hash leads to yet."""
+        ids = self.solve(parts)
         n = np.array([len(x) for x in ids], np.int64)
-        while self.size + len(h) > len(self.at):
-            self.at, self.n = np.concatenate([self.at, self.at * 0]), np.concatenate([self.n, self.n * 0])
-        total = int(n.sum())
-        while self.used + total > len(self.flat):
+        size = np.array([len(x) for x in parts], np.int64)
+        while self.size + len(parts) > len(self.at):
+            self.at, self.n, self.text_at = (np.concatenate([x, x * 0]) for x in (self.at, self.n, self.text_at))
+        while self.used + int(n.sum()) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(ids)
-        new = np.arange(self.size, self.size + len(h), dtype=np.int32)
-        self.at[new], self.n[new] = self.used + np.cumsum(n) - n, n
-        self.used, self.size = self.used + total, self.size + len(h)
+        while self.text_used + int(size.sum()) > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        new = np.arange(self.size, self.size + len(parts), dtype=np.int32)
+        self.flat[self.used : self.used + int(n.sum())] = np.concatenate([*ids, self.flat[:0]])
+        self.text[self.text_used : self.text_used + int(size.sum())] = np.frombuffer(b"".join(parts), np.uint8)
+        self.at[new], self.n[new], self.text_at[new] = self.used + np.cumsum(n) - n, n, self.text_used + np.cumsum(size) - size
+        self.used, self.text_used, self.size = self.used + int(n.sum()), self.text_used + int(size.sum()), self.size + len(parts)
+        return new
+
+    def add(self, h: np.ndarray, new: np.ndarray) -> None:
+        """Lets distinct hashes that aren't there lead to entries."""
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(h):
             free = np.flatnonzero(self.keys[slot] == 0)
@@ -68,6 +76,18 @@ class Parts:
             rest[first] = False
             h, new, slot = h[rest], new[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
+    def others(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Which parts of data aren't, byte by byte, those of their entries. A part's hash has its length in it, but that proves nothing either."""
+        begin = self.text_at[entry]
+        stored = np.append(self.text_at[1 : self.size], self.text_used)[entry] - begin
+        bad = stored != size
+        n = np.where(bad, 0, size)
+        ends = np.cumsum(n)
+        step = np.arange(int(n.sum())) - np.repeat(ends - n, n)
+        differ = np.flatnonzero(data[np.repeat(start, n) + step] != self.text[np.repeat(begin, n) + step])
+        bad[np.searchsorted(ends, differ, "right")] = True
+        return np.flatnonzero(bad)
+
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; texts of about a chunk together."""
         out: list[np.ndarray] = []
@@ -97,8 +117,12 @@ class Parts:
                 new = np.arange(len(h))
             fresh, where = np.unique(h[new], return_index=True)
             where = new[where]
-            self.add(fresh, self.solve([whole[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]))
+            self.add(fresh, self.keep([whole[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]))
             entry = self.find(h)
+        if len(bad := self.others(data, start, end - start, entry)):
+            parts = [whole[a:b] for a, b in zip(start[bad].tolist(), end[bad].tolist(), strict=True)]
+            number = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+            entry[bad] = self.keep(list(number))[[number[p] for p in parts]]
         n = self.n[entry].astype(np.int64)
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[entry] - (ends - n), n) + np.arange(int(n.sum()))]

@@ -21,8 +21,8 @@ from .sp_model import RAW, SPACE, START, Lexicon, lexicon
 
 #: Parts of texts that a worker remembers with their ids, and the power of two of slots for them. Documents solved together.
 PARTS, SLOTS, TOGETHER = 1_200_000, 21, 1000
-#: Words up to this length are solved together with others of about their length.
-LONG = 64
+#: Words up to this length are solved together with others of about their length; longer ones end to end, so many characters at once.
+LONG, BLOCK = 64, 4096
 
 
 def shortest_paths(lex: Lexicon, chars: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +61,78 @@ def arcs(lex: Lexicon, dist: np.ndarray, last: np.ndarray, back: np.ndarray, lan
     dist[at, s + k], last[at, s + k], back[at, s + k] = new[better], piece[better], k
 
 
+def long_paths(lex: Lexicon, codes: list[np.ndarray]) -> list[tuple[list[int], list[int]]]:
+    """Pieces of each word's best path (RAW: a character written as bytes) and where they end.
+
+    The words stand end to end with a gap between them. Arcs are found from all starts of a block at once, and so are the barred pairs of
+    arcs that meet in it; then each position's best arc is taken in order. Time and memory grow with the words' length only.
+    """
+    gap = np.zeros(1, np.int32)
+    seq = np.concatenate([x for c in codes for x in (c, gap)])
+    ends = np.cumsum([len(c) + 1 for c in codes]) - 1  # of each word: the place of its gap
+    real = np.ones(len(seq), bool)
+    real[ends] = False
+    dist, last, back = [np.inf] * (len(seq) + 1), [START] * (len(seq) + 1), [0] * (len(seq) + 1)
+    for s in [0, *(ends[:-1] + 1).tolist()]:
+        dist[s] = 0.0
+    over = [np.zeros(0, np.int64), np.zeros(0, np.int64)]  # arcs that end beyond the blocks so far: end, piece
+    for lo in range(0, len(seq), BLOCK):
+        hi = min(lo + BLOCK, len(seq))
+        start = lo + np.flatnonzero(real[lo:hi])
+        node = np.zeros(len(start), np.int32)
+        found = []
+        for k in range(1, lex.deepest + 1):
+            fits = start + k <= len(seq)
+            start, node = start[fits], node[fits]
+            node = lex.step(node, seq[start + k - 1])
+            piece = lex.term[node]
+            if k == 1:
+                found.append((start[piece < 0], np.full(int((piece < 0).sum()), 1), np.full(int((piece < 0).sum()), RAW)))
+            hit = piece >= 0
+            found.append((start[hit], np.full(int(hit.sum()), k), piece[hit]))
+            start, node = start[node >= 0], node[node >= 0]
+            if not len(start):
+                break
+        begin, size, piece = (np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True))
+        order = np.lexsort((size, begin))
+        begin, size, piece = begin[order], size[order], piece[order]
+        at, before = np.concatenate([over[0], begin + size]), np.concatenate([over[1], piece])
+        by_end = np.argsort(at, kind="stable")
+        at, before = at[by_end], before[by_end]
+        first, n = np.searchsorted(at, begin), np.searchsorted(at, begin, "right") - np.searchsorted(at, begin)
+        which = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        u, v = before[which], np.repeat(piece, n)
+        pairs = np.unique((u << 20 | v)[(u >= 0) & (v >= 0)])
+        bad = set(pairs[lex.barred(pairs >> 20, pairs & 0xFFFFF)].tolist())
+        cost = np.where(piece >= 0, lex.cost[np.maximum(piece, 0)], lex.raw_cost)
+        for s, k, p, c in zip(begin.tolist(), size.tolist(), piece.tolist(), cost.tolist(), strict=True):
+            d = dist[s] + c
+            if d < dist[s + k] and not (p >= 0 and last[s] >= 0 and last[s] << 20 | p in bad):
+                dist[s + k], last[s + k], back[s + k] = d, p, k
+        over = [at[at >= hi], before[at >= hi]]
+    out = []
+    for end, c in zip(ends.tolist(), codes, strict=True):
+        path, at = [], end
+        while at > end - len(c):
+            path.append((last[at], at - end + len(c)))
+            at -= back[at]
+        path.reverse()
+        out.append(([p for p, _ in path], [e for _, e in path]))
+    return out
+
+
 def encode_words(lex: Lexicon, words: list[str]) -> list[bytes]:
     """Ids of each word (no space but at its start), packed as int32."""
     out: list[bytes] = [b""] * len(words)
     size = np.array([len(w) for w in words])
     codes = lex.codes(words)
     start = size.cumsum() - size
-    padded = np.concatenate([codes, np.zeros(int(size.max(initial=0)), codes.dtype)])
-    room = np.where(size > LONG, size, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int))
+    padded = np.concatenate([codes, np.zeros(LONG, codes.dtype)])
+    if len(big := np.flatnonzero(size > LONG)):
+        for i, (ids, ends) in zip(big.tolist(), long_paths(lex, [codes[start[i] : start[i] + size[i]] for i in big.tolist()]), strict=True):
+            out[i] = np.array([y for p, e in zip(ids, ends, strict=True) for y in ([p] if p >= 0 else lex.raw(words[i][e - 1]))], np.int32).tobytes()
+        size = np.where(size > LONG, 0, size)
+    room = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int)
     for length in np.unique(room[size > 0]).tolist():
         which = np.flatnonzero((room == length) & (size > 0))
         step = max(1, 500_000 // (length + 1))
@@ -186,6 +250,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """doc_id, n_pieces, ids, round_trip for each row: the ids of the whole text, and whether decoding them gives it back (space marks in a text come back as spaces).
 
     A null or empty text has no ids. Repeated rows are encoded each. No rows: no rows. Other columns don't come through. Map-only.
+    Long texts, and long texts without a space, are read whole, in time and memory that grow with their length.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import ship
 from .parts import Parts
-from .sentencepiece_wfst import PARTS, SLOTS, TOGETHER, by_word, normal
+from .sentencepiece_wfst import LONG, PARTS, SLOTS, TOGETHER, by_word, long_paths, normal
 from .sp_model import RAW, START, Lexicon, lexicon
 
 
@@ -40,14 +40,14 @@ def count_words(lex: Lexicon, words: list[str]) -> list[Count]:
     start = size.cumsum() - size
     deep = lex.deepest
     # the root: node 0. above[k]: the node k steps up; walk[k]: where the last k characters lead in the lexicon
-    score, last, count, lone = [np.zeros(1)], [np.array([START], np.int32)], [np.zeros(1, np.int64)], [np.zeros(1, bool)]
     above = np.zeros((1, deep + 1), np.int64)
     above[:, 1:] = -1
     walk = np.full((1, deep + 1), -1, np.int32)
     walk[:, 0] = 0
     total, first = 1, 0
     at = np.zeros(len(words), np.int64)
-    all_score, all_last, all_count, all_lone = (np.concatenate(x) for x in (score, last, count, lone))
+    most = 1 + int(size.sum())
+    all_score, all_last, all_count, all_lone = np.zeros(most), np.full(most, START, np.int32), np.zeros(most, np.int64), np.zeros(most, bool)
     space = lex.runs.get(1, -3)
     for d in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > d)
@@ -83,8 +83,8 @@ def count_words(lex: Lexicon, words: list[str]) -> list[Count]:
             best[on], new_last[on] = value, piece
             new_count[on] = all_count[up] + np.where(piece >= 0, 1, wide if lex.byte_fallback else 1)
             new_lone[on] = np.where(up == 0, piece == space, all_lone[up])
-        all_score, all_last = np.concatenate([all_score, best]), np.concatenate([all_last, new_last])
-        all_count, all_lone = np.concatenate([all_count, new_count]), np.concatenate([all_lone, new_lone])
+        made = slice(total, total + len(nodes))
+        all_score[made], all_last[made], all_count[made], all_lone[made] = best, new_last, new_count, new_lone
         at[live] = total + index
         first, total = total, total + len(nodes)
         above, walk = new_above, new_walk
@@ -92,9 +92,14 @@ def count_words(lex: Lexicon, words: list[str]) -> list[Count]:
 
 
 def solve(lex: Lexicon, words: list[str]) -> list[Count]:
-    """Counts of words, at most so many characters together that the trie's tables stay small."""
+    """Counts of words, at most so many characters together that the trie's tables stay small. Long words, which share little, are solved end to end."""
     out: list[Count] = [Count()] * len(words)
-    order = sorted(range(len(words)), key=words.__getitem__)
+    big = [i for i, w in enumerate(words) if len(w) > LONG]
+    if big:
+        space = lex.runs.get(1, -3)
+        for i, (ids, ends) in zip(big, long_paths(lex, [lex.codes([words[i]]) for i in big]), strict=True):
+            out[i] = Count(sum(1 if p >= 0 else len(lex.raw(words[i][e - 1])) for p, e in zip(ids, ends, strict=True)), ids[0] == space)
+    order = sorted((i for i in range(len(words)) if len(words[i]) <= LONG), key=words.__getitem__)
     lo = 0
     while lo < len(order):
         hi, chars = lo, 0
@@ -141,6 +146,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     """doc_id, n_chars, n_tokens for each row, over the whole text.
 
     A null or empty text has 0 tokens. Repeated rows are counted each. No rows: no rows. Other columns don't come through. Map-only.
+    Long texts, and long texts without a space, are read whole, in time and memory that grow with their length.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
