@@ -179,6 +179,31 @@ def test_top_k(spark, sf):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def nearest(rows):
+    """Each distinct query row's ten best, by Python's own integers."""
+    want = Counter()
+    for q, v in {(q, tuple(v)) for q, v in rows if q % 100 == 0}:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q and len(w) == len(v))[:10]
+        want.update((q, n, i, -s) for n, (s, i) in enumerate(best, 1))
+    return want
+
+
+def test_top_k_repeats_and_large(spark, monkeypatch):
+    """Repeated query rows, one id with two vectors, many blocks, components beyond 32 bits and scores beyond 53."""
+    rows = [(i, [math.sin(i * j + j) * (1 + i % 7) for j in range(8)]) for i in range(600)]
+    rows += [rows[100], rows[100], (200, [0.5] * 8), rows[7], (900, [3e5] * 8), (901, [-3e5 + i for i in range(8)]), (1000, [3e5, -1.0] * 4), (1001, [0.0] * 8)]
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "CHUNK", 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(tuple(r) for r in topk.top_k(df.repartition(3)).collect()) == nearest([(i, [math.floor(1024 * x) for x in v]) for i, v in rows])
+    big = [(0, [3e9, 0.0]), (1, [-1.5, 7.0]), (2, [1e15, 5.0]), (100, [0.0, 1e9]), (3, [0.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(big[:2] + big[3:], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>")).collect()
+    assert Counter(tuple(r) for r in got.collect()) == nearest([(i, [math.floor(1024 * x) for x in v]) for i, v in big[:2] + big[3:]])
+
+
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
 
