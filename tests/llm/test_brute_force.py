@@ -366,3 +366,33 @@ def test_jaccard_keeps_columns(spark, odd):
     kept = jaccard_join.one_of_each(df, words=3, num=90)
     assert kept.columns == df.columns and {r["h"] for r in kept.collect()} == {"mine"} and kept.count() == 9
     assert jaccard_join.one_of_each(df.limit(0)).count() == jaccard_join.similar_groups(df.limit(0)).count() == 0
+
+
+def test_html_named_parts_of_articles():
+    """Names of parts that only look like marks, forms around whole pages, scripts without an end, menus outside any region."""
+    f = html_extract.main_text
+    para = [f"Paragraph {i} has enough words to be the article of this page, and some more." for i in range(8)]
+    body = "".join(f"<p>{x}</p>" for x in para)
+    for name in ("article-header", "entry-header", "share-price", "notice-of-meeting", "search-results", "login-guide", "related-work", "footer-note", "ad-hoc"):
+        assert f(f"<body><article><div class='{name}'><h1>Title of it</h1><p>A sentence that belongs to it.</p></div>{body}</article></body>") == "\n\n".join(["Title of it", "A sentence that belongs to it.", *para])
+    for name in ("page-with-sidebar", "job-search", "widget", "search"):
+        assert f(f"<body><div class='{name}'>{body}</div></body>") == "\n\n".join(para)
+    assert f(f"<body><form action=/x><input type=hidden><div>{body}</div></form></body>") == "\n\n".join(para)
+    assert f(f"<body><div class=widget><article>{body}</article><div class=comments>{body * 4}</div></div></body>") == "\n\n".join(para)
+    assert f(f"<body><script>var x = 1;\n<div>{body}</div></body>") == "\n\n".join(para)
+    assert f(f"<body><div><a href=/>Home</a></div><div><a href=/x>News</a></div>{body}<p><a href=/y>More</a></p></body>") == "\n\n".join(para)
+    assert f(f"<body><h1>Short</h1>{body}</body>") == "\n\n".join(["Short", *para])
+
+
+def test_html_long_and_deep():
+    """Time grows with the page's length."""
+    import time
+
+    f = html_extract.main_text
+    start = time.time()
+    assert f("<div>x" * 20000).count("x") == 20000
+    assert f("<div class=widget>x" * 20000).count("x") == 10000  # those that hold half the page or less go
+    assert f("<b>" * 20000 + "<p>y</p>" * 20000).count("y") == 20000
+    assert f("<p>" + "word " * 400_000) == ("word " * 400_000).strip()
+    assert f("<script>" * 20000) == "" and f("<li>z" * 20000).count("z") == 20000
+    assert time.time() - start < 30

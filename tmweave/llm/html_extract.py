@@ -1,10 +1,11 @@
 """Main text of HTML pages.
 
 The standard library's parser streams its events into lines: a line is the text between two block boundaries, with the
-number of tags met in it. Each line's ratio of text to tags is smoothed by a Gaussian over its
-neighbours; a two-means threshold splits the smoothed ratios into content and rest; the content
-lines choose the content region: the innermost element that holds most of their text. All lines of that region
-are kept, short ones as well, but for those in elements that never hold an article (menus, headers, footers, ...).
+number of tags met in it and the element it stands in. Each line's ratio of text to tags is smoothed by a Gaussian over its
+neighbours; a two-means threshold splits the smoothed ratios into content and rest. The content lines choose the content
+region: the innermost article or main element with most of their text, else the innermost element of any kind, widened as long as
+what it gains is content. Of the region's lines those go that stand in an element against which something speaks: its tag, role or style
+(menus, asides, buttons, ...), or, unless it holds most of the page, a word of its class or id.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import ship
 
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea option datalist iframe object svg math canvas audio video dialog menu map".split())
+NEVER = frozenset("head title script style noscript template nav footer aside button select textarea option datalist iframe object svg math canvas audio video dialog menu map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr input".split())
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -30,59 +31,93 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 #: Words in class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side-bar widget menu nav navbar navigation breadcrumb breadcrumbs toolbar pager pagination footer header masthead comment comments commentlist reply replies respond disqus discussion related recommended share sharing social login search skip post-comments left-sidebar right-sidebar".split())
 #: Beginnings of words that mark the same; other parts of words with hyphens say nothing (has-sidebar, no-ads, entry-header).
-PREFIXES = ("ad-", "ads-", "advert-", "advertisement-", "sponsored-", "promo-", "cookie-", "consent-", "gdpr-", "newsletter-", "nav-", "navbar-", "breadcrumb-", "comment-", "comments-", "disqus-", "related-", "share-", "sharing-", "social-", "sidebar-", "site-header", "site-footer", "page-footer", "main-nav", "site-nav", "main-menu")
+PREFIXES = ("ad-box", "ad-slot", "ad-unit", "ad-banner", "ad-container", "ads-", "advert-", "advertisement-", "sponsored-", "promo-", "cookie-", "consent-", "gdpr-", "newsletter-", "nav-", "navbar-", "breadcrumb-", "comment-", "comments-", "disqus-", "related-posts", "related-articles", "related-links", "share-button", "share-links", "share-bar", "sharing-", "social-", "sidebar-", "site-header", "site-footer", "page-footer", "main-nav", "site-nav", "main-menu")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: The part of the page's text beyond which class or id alone don't drop an element; the part of the text around the region that must be content for the region to grow; characters per tag that are prose on any page.
+#: The part of the page's text beyond which class, id, role or being a form alone don't drop an element; the part of the text around the region that must be content for the region to grow; characters per tag that are prose on any page.
 HELD, NEAR, PROSE = 0.5, 0.5, 20
 #: Width of the smoothing in lines; the part of the content's text that an article or main element, or any other element, must hold to be the region.
 SIGMA, SHARE, MOST = 1.0, 0.5, 0.8
+#: What speaks against an element: nothing, class or the like, or its kind.
+NOTHING, SOFT, HARD = 0, 1, 2
 _SPACE = re.compile(r"\s+")
+#: Elements whose text isn't markup, which the parser reads up to their end tag.
+RAW_TEXT = re.compile(r"<(script|style|textarea|title|iframe|noembed|noframes|xmp)\b", re.I)
+#: Where such an element without an end tag is taken to end: before a tag that begins a line, or a block.
+NEXT_TAG = re.compile(r"\n[ \t]*<|</?(?:p|div|h[1-6]|article|main|section|body|head|footer|header|nav|ul|ol|table)[\s>]", re.I)
 
 
-def named(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether a word of class or id marks what isn't the article."""
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return any(w in MARKS or w.startswith(PREFIXES) for k, v in attrs if k in ("class", "id") for w in _SPACE.split((v or "").lower().replace("_", "-")))
-
-
-def marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether role, hidden or style marks it."""
+def against(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
+    """What speaks against an element; inside: whether it is part of an article or main element."""
+    if tag in NEVER or tag == "header" and not inside:
+        return HARD
+    found = SOFT if tag == "form" else NOTHING
     for k, v in attrs:
-        if k == "role" and (v or "").lower() in ROLES:
-            return True
-        elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", ""):
-            return True
-    return False
+        v = (v or "").lower()
+        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in v.replace(" ", ""):
+            return HARD
+        if tag in ("html", "body", "article", "main"):
+            continue
+        if k == "role" and v in ROLES or k in ("class", "id") and any(w in MARKS or w.startswith(PREFIXES) for w in _SPACE.split(v.replace("_", "-"))):
+            found = SOFT
+    return found
+
+
+def closed(html: str) -> str:
+    """The page with ends for raw-text elements that have none, put where the next block may begin, so that they don't take the rest of the page with them."""
+    if not RAW_TEXT.search(html):
+        return html
+    low, out, at = html.lower(), [], 0
+    if len(low) != len(html):  # a few letters change their length in lower case
+        low = re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), html)
+    missing: set[str] = set()
+    while m := RAW_TEXT.search(html, at):
+        name = m[1].lower()
+        end = -1 if name in missing else low.find(f"</{name}", m.end())
+        if end >= 0:
+            stop = end + len(name) + 2
+        else:
+            missing.add(name)
+            line = NEXT_TAG.search(html, m.end())
+            if not line:
+                break
+            stop = line.start()
+        out.append(html[at:stop])
+        if end < 0:
+            out.append(f"</{name}>")
+        at = stop
+    return "".join([*out, html[at:]])
 
 
-class Lines(HTMLParser):
-    """lines: (text, number of tags, ids of the elements around it); skip: elements that never hold the article; named: elements that class or id speak against."""
+class Page(HTMLParser):
+    """lines: (text, number of tags, element, characters of it in links). up, kind, tag of elements, which are numbered in page order; 0 is the page itself."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.stack: list[tuple[str, int, bool]] = []
-        self.articles: list[int] = []
-        self.named: set[int] = set()
-        self.skipping, self.n, self.tags, self.text = 0, 0, 0, []
+        self.lines: list[tuple[str, int, int]] = []
+        self.up, self.kind, self.tag = [0], [NOTHING], [""]
+        self.stack: list[int] = []
+        self.open: dict[str, int] = {}
+        self.hard, self.n_tags, self.text, self.linked = 0, 0, [], 0
 
     def flush(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, self.tags, tuple(i for t, i, _ in self.stack if t not in INLINE or i in self.named)))
-            self.text = []
-        self.tags = 0
+                self.lines.append((text, self.n_tags, self.stack[-1] if self.stack else 0, self.linked))
+            self.text, self.linked = [], 0
+        self.n_tags = 0
 
     def pop_to(self, depth: int) -> None:
-        for _, _, skip in self.stack[depth:]:
-            self.skipping -= skip
+        for i in self.stack[depth:]:
+            self.hard -= self.kind[i] == HARD
+            self.open[self.tag[i]] -= 1
         del self.stack[depth:]
 
     def close_open(self, tags: set[str], barrier: set[str]) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
         for d in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[d][0]
+            t = self.tag[self.stack[d]]
             if t in tags:
                 self.pop_to(d)
                 return
@@ -90,7 +125,6 @@ class Lines(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        self.tags += 1
         if tag in INLINE:
             if tag == "br":
                 self.text.append(" ")
@@ -100,19 +134,18 @@ class Lines(HTMLParser):
                 self.close_open({"p"}, set())
             if tag in CLOSED_BY:
                 self.close_open(CLOSED_BY[tag], BARRIER.get(tag, set()))
-        if tag not in VOID:
-            inside = any(t in ("article", "main") for t, _, _ in self.stack)
-            skip = tag in NEVER or tag == "header" and not inside or marked(attrs)
-            soft = named(tag, attrs)
-            if (skip or soft) and tag in INLINE:
-                self.flush()
-            self.n += 1
-            if soft:
-                self.named.add(self.n)
-            if tag in ("article", "main"):
-                self.articles.append(self.n)
-            self.stack.append((tag, self.n, skip))
-            self.skipping += skip
+        self.n_tags += 1
+        if tag in VOID:
+            return
+        kind = against(tag, attrs, bool(self.open.get("article") or self.open.get("main")))
+        if kind and tag in INLINE:
+            self.flush()
+        self.up.append(self.stack[-1] if self.stack else 0)
+        self.kind.append(kind)
+        self.tag.append(tag)
+        self.stack.append(len(self.up) - 1)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        self.hard += kind == HARD
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -120,48 +153,65 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.n_tags += 1
         if tag not in INLINE:
             self.flush()
+        if not self.open.get(tag):
+            return
         for d in range(len(self.stack) - 1, -1, -1):
-            t, i, skip = self.stack[d]
-            if t == tag:
-                if skip and tag in INLINE:
-                    self.text = []
-                elif i in self.named and tag in INLINE:
-                    self.flush()
+            i = self.stack[d]
+            if self.tag[i] == tag:
+                if tag in INLINE and self.kind[i]:
+                    self.flush() if self.kind[i] == SOFT else self.text.clear()
                 self.pop_to(d)
                 return
-            if tag in INLINE and t not in INLINE:
+            if tag in INLINE and self.tag[i] not in INLINE:
                 return  # a stray end of an inline element doesn't close blocks
 
-    def unnamed(self) -> list[tuple[str, int, tuple[int, ...]]]:
-        """The lines outside named elements. One that holds most of the page's text counts as unnamed, unless an article or main element has text elsewhere."""
-        held: dict[int, int] = {}
-        for text, _, path in self.lines:
-            for i in path:
-                held[i] = held.get(i, 0) + len(text)
-        total, articles = sum(len(text) for text, _, _ in self.lines), set(self.articles)
-        against = set(self.named)
-        for i in sorted(self.named):
-            if held.get(i, 0) > HELD * total and not any(i not in path and articles.intersection(path) and not against.intersection(path) for _, _, path in self.lines):
-                against.discard(i)
-        return [x for x in self.lines if not against.intersection(x[2])]
-
     def handle_data(self, data):
-        if not self.skipping:
+        if not self.hard:
             self.text.append(data)
+            if self.open.get("a"):
+                self.linked += len(data.strip())
+
+    def sums(self, of_line: list[int]) -> list[int]:
+        """For each element the sum over the lines in it. Elements have larger numbers than those around them, so one pass from the end does it."""
+        total = [0] * len(self.up)
+        for line, x in zip(self.lines, of_line, strict=True):
+            total[line[2]] += x
+        for i in range(len(total) - 1, 0, -1):
+            total[self.up[i]] += total[i]
+        return total
+
+    def inside(self, marked: set[int]) -> list[bool]:
+        """For each element whether it, or one around it, is marked."""
+        out = [0 in marked]
+        for i in range(1, len(self.up)):
+            out.append(i in marked or out[self.up[i]])
+        return out
+
+    def spoken_against(self) -> list[bool]:
+        """For each element whether its lines go for what class, id, role or a form around it say. One that holds most of the page's text stays, unless an article or main element has text elsewhere."""
+        held = self.sums([len(x[0]) for x in self.lines])
+        soft = {i for i, k in enumerate(self.kind) if k == SOFT}
+        large = [i for i in sorted(soft) if held[i] > HELD * held[0]]  # each stands in the one before
+        if large:
+            in_article, in_small = self.inside({i for i, t in enumerate(self.tag) if t in ("article", "main")}), self.inside(soft.difference(large))
+            free = self.sums([len(x[0]) * (in_article[x[2]] and not in_small[x[2]]) for x in self.lines])
+            # what the article has outside a large element speaks for that, and so against this one and all in it
+            soft -= {i for i in large if free[i] == free[0]}
+        return self.inside(soft)
 
 
 def smoothed(x: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian mean over the neighbours within 3 sigma; at the ends over those that exist."""
+    """Gaussian mean over the neighbours within 3 sigma, at the ends over those that exist; to nine places, so that equal ratios stay equal."""
     r = max(1, round(3 * sigma))
     w = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-r, r + 1)]
     out = []
     for i in range(len(x)):
         lo, hi = max(0, i - r), min(len(x), i + r + 1)
         ws = w[lo - i + r : hi - i + r]
-        out.append(sum(a * b for a, b in zip(ws, x[lo:hi], strict=True)) / sum(ws))
+        out.append(round(sum(a * b for a, b in zip(ws, x[lo:hi], strict=True)) / sum(ws), 9))
     return out
 
 
@@ -178,50 +228,55 @@ def threshold(x: list[float]) -> float:
     return (lo + hi) / 2
 
 
-def grown(region: int, lines: list[tuple[str, int, tuple[int, ...]]], ratio: list[float]) -> int:
-    """The widest element around the region to which the text that each step adds is content for the most part.
-
-    Content is what lies above the two-means cut of the ratios' logarithms, which one very long paragraph hardly moves, or is prose by itself.
-    """
+def region_of(p: Page, ratio: list[float]) -> int:
+    """The element whose lines are the article; 0 is the whole page."""
+    size = [len(x[0]) for x in p.lines]
+    smooth = smoothed(ratio)
+    cut = threshold(smooth)
+    content = p.sums([n if r >= cut else 0 for n, r in zip(size, smooth, strict=True)])
+    # elements are numbered in page order, so the last one with enough of the content is the innermost
+    named = [i for i, t in enumerate(p.tag) if t in ("article", "main") and content[i] > SHARE * content[0]]
+    if named:
+        return named[-1]
+    lines = p.sums([1] * len(size))
+    region = max(i for i, m in enumerate(content) if i == 0 or m >= MOST * content[0] and lines[i] > 1)
+    # content by itself: above the cut of the ratios' logarithms, which one very long paragraph hardly moves, or prose
     least = min(PROSE, math.exp(threshold([math.log(max(r, 1e-9)) for r in ratio])))
-    around = next(path for _, _, path in lines if region in path)
-    for up in reversed(around[: around.index(region)]):
-        added = [(len(t), r) for (t, _, path), r in zip(lines, ratio, strict=True) if up in path and region not in path]
-        if sum(n for n, r in added if r >= least) < NEAR * sum(n for n, _ in added):
-            break
-        region = up
+    held, prose = p.sums(size), p.sums([n if r >= least else 0 for n, r in zip(size, ratio, strict=True)])
+    while region and prose[p.up[region]] - prose[region] >= NEAR * (held[p.up[region]] - held[region]):
+        region = p.up[region]
     return region
 
 
 def main_text(html: str | None) -> str:
-    """The blocks of the article, joined by two line feeds. Null, empty or nothing but boilerplate: an empty string."""
-    p = Lines()
-    p.feed(html or "")
+    """The blocks of the article, joined by two line feeds. Null, empty or nothing but boilerplate: an empty string.
+
+    Time grows in proportion to the page's length, however deep its elements lie.
+    """
+    p = Page()
+    p.feed(closed(html or ""))
     p.close()
     p.flush()
-    lines = p.unnamed()
-    if not lines:
+    gone = p.spoken_against()
+    p.lines = [x for x in p.lines if not gone[x[2]]]
+    if not p.lines:
         return ""
-    ratio = smoothed([len(t) / (n + 1) for t, n, _ in lines])
-    cut = threshold(ratio)
-    mass: dict[int, int] = {}
-    total = 0
-    for (text, _, path), r in zip(lines, ratio, strict=True):
-        if r >= cut:
-            total += len(text)
-            for i in path:
-                mass[i] = mass.get(i, 0) + len(text)
-    # elements are numbered in page order, so the last one with enough of the content is the innermost
-    region = max((i for i in p.articles if mass.get(i, 0) > SHARE * total), default=None)
-    if region is None:
-        region = max((i for i, m in mass.items() if m >= MOST * total and sum(i in path for _, _, path in lines) > 1), default=None)
-        if region is not None:
-            region = grown(region, lines, [len(t) / (n + 1) for t, n, _ in lines])
-    return "\n\n".join(t for t, _, path in lines if region is None or region in path)
+    region = region_of(p, [len(t) / (n + 1) for t, n, _, _ in p.lines])
+    within = p.inside({region})
+    kept = [(t, linked > len(t) / 2) for t, _, i, linked in p.lines if within[i]]
+    rest = [i for i, (_, link) in enumerate(kept) if not link]
+    if p.tag[region] in ("", "html", "body") and rest:
+        # nothing narrower was found: links before and after all other lines are menus
+        kept = kept[rest[0] : rest[-1] + 1]
+    return "\n\n".join(t for t, _ in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages; map-only. Other columns don't come through; an empty table gives no rows."""
+    """page_id, url, text, n_chars for each row of pages; map-only.
+
+    A null or empty page has an empty text. Repeated rows are extracted each; long and deep pages are read whole, in time that grows with their
+    length. Other columns don't come through; an empty table gives no rows.
+    """
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
