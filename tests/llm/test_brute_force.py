@@ -396,3 +396,37 @@ def test_html_long_and_deep():
     assert f("<p>" + "word " * 400_000) == ("word " * 400_000).strip()
     assert f("<script>" * 20000) == "" and f("<li>z" * 20000).count("z") == 20000
     assert time.time() - start < 30
+
+
+def test_language_kernel():
+    """Kernels against their definition, on texts of several scripts and lengths."""
+    import numpy as np
+
+    texts = ["The cat sat on the mat", "Die Katze saß", "猫がマットに座った 猫", "แมวนั่งบนเสื่อ", "a", "ab", "a b", "", "12 x 34", "кот сидел на коврике", "ȺB İi"]
+
+    def sets(t):
+        s = "".join(c if c.isalpha() else "\0" for c in t.lower())
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    got = [language_id.grams(language_id.points(t))[0] for t in texts]
+    assert [sum(map(len, g)) for g in got] == [len(sets(t)) for t in texts]
+    marks = [i for i, t in enumerate(texts) if t]
+    vocab = [np.unique(np.concatenate([got[i][n] for i in marks])) for n in range(3)]
+    held = [np.stack([np.isin(v, got[i][n]) for i in marks], 1) for n, v in enumerate(vocab)]
+    m = language_id.Model([], vocab, np.concatenate([np.packbits(h, axis=1) for h in held]), np.sqrt([len(sets(texts[i])) for i in marks]), held[2])
+    want = [[len(sets(t) & sets(texts[i])) / math.sqrt(max(1, len(sets(t))) * len(sets(texts[i]))) for i in marks] for t in texts]
+    assert np.allclose(m.kernel(got), want)
+
+
+def test_language_scripts(spark):
+    """Languages in rare letters are told apart beside a frequent one in Latin letters."""
+    import random
+
+    rnd = random.Random(5)
+    scripts = {"aa": "abcdefghijklmnopqrstuvwxyzäöüß", "zh1": [chr(0x4E00 + i) for i in range(700)], "zh2": [chr(0x4E00 + i) for i in range(600, 1300)], "th": [chr(0xE01 + i) for i in range(40)], "ka": [chr(0x10D0 + i) for i in range(33)]}
+    rows = []
+    for lang, letters in scripts.items():
+        words = ["".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(150)]
+        rows += [(len(rows) * 7 + i, " ".join(rnd.choices(words, k=rnd.randint(20, 60))), lang) for i in range(60)]
+    got = language_id.identify(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == rows[r.doc_id][2] for r in got)

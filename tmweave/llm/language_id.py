@@ -3,11 +3,12 @@
 Two texts' kernel is the number of character n-grams (1 to 3, over letters and gaps) that both hold, over the root of the
 product of their own numbers: a blended-spectrum presence kernel. Landmark texts span a Nyström map of it,
 and one ridge regression per language (one against the rest) is solved in that map. Scoring is two products per batch:
-presence rows with the landmarks' rows, then the kernel rows with the coefficients.
+presence rows with the landmarks' rows, then the kernel rows with the coefficients. N-grams are numbers of 21 bits a code point, so
+every letter of every script is itself.
 
 Scores only rank the languages: the targets of a row sum to 2 - L, so the best of L scores is never below 1/L, whatever the
 text. Whether a text is in its language at all is said by its evidence: the part of its n-grams of length 3 (all
-occurrences with a letter) that the language's landmarks hold, against a cut found on labelled rows (calibrate).
+occurrences with a letter) that two of the language's landmarks hold, against a cut found on labelled rows (calibrate).
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import ship
 
 #: Labelled texts that a fit reads in all, and how many of them are landmarks; both are dealt evenly to the languages.
 SAMPLE, LANDMARKS = 640, 128
-#: Symbols: 0 a gap, 1 any other letter, then the most frequent letters of the sample.
-SYMBOLS, ORDER, RIDGE, BATCH = 128, 3, 1e-2, 128
+#: Longest n-grams; bits of a code point in them; the ridge; texts scored together.
+ORDER, BITS, RIDGE, BATCH = 3, 21, 1e-2, 128
+#: A language knows the n-grams that so many of its landmarks hold (as evidence; the kernel counts all).
+SPOKEN = 2
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -38,56 +41,92 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def points(text: str | None) -> np.ndarray:
+    """Code points of a text in lower case; 0, a gap, for all that aren't letters."""
+    p = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(letters()[p] > 0, p, 0).astype(np.uint64)
+
+
+def grams(p: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct n-grams of each length in ascending order, and how often each of the longest stands in the text."""
+    g = p
+    for n in range(1, ORDER):
+        g = g[:-1] << np.uint64(BITS) | p[n:]
+    last, times = np.unique(g, return_counts=True)
+    out = [last]
+    for n in range(ORDER - 1, 0, -1):  # all shorter ones begin a longer one, but for that at the end of the text
+        end = p[-n:] if len(p) >= n else p[:0]
+        tail = np.zeros(min(1, len(end)), np.uint64)
+        for x in end:
+            tail = tail << np.uint64(BITS) | x
+        out.append(np.unique(np.concatenate([out[-1] >> np.uint64(BITS), tail])))
+    return out[::-1], times
+
+
+def places(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where the values of x stand in a sorted array; -1 where they don't."""
+    if not len(known):
+        return np.full(len(x), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+    return np.where(known[at] == x, at, -1)
 
 
 @dataclass
 class Model:
     langs: list[str]
-    symbol: np.ndarray  # of each code point
-    column: list[np.ndarray]  # by n-gram length: column of each n-gram, or the last column
-    landmarks: np.ndarray  # columns x landmarks, each landmark divided by its norm
-    coef: np.ndarray
-    bias: np.ndarray
-    known: np.ndarray  # languages x (columns + 1): 1 where a landmark of the language holds the n-gram; n-grams without a column: 0
+    vocab: list[np.ndarray]  # by length: the landmarks' n-grams, sorted
+    holders: np.ndarray  # for each n-gram of all lengths a row of bits: the landmarks that hold it
+    norms: np.ndarray  # root of each landmark's own number of n-grams
+    speakers: np.ndarray  # for each of the longest n-grams a row of bits: the languages that it is known from
+    coef: np.ndarray | None = None
+    bias: np.ndarray | None = None
     cut: np.ndarray | None = None  # least evidence of each language, see calibrate
 
-    def presence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """A row of 0 and 1 for each text, and whether the text has letters."""
-        width = len(self.landmarks)
-        out = np.zeros((len(texts), width + 1), np.float32)
-        has = np.zeros(len(texts), bool)
-        for row, ok, t in zip(out, range(len(texts)), texts, strict=True):
-            if not t:
-                continue
-            s = self.symbol[points(t)].astype(np.int32)
-            if not s.any():
-                continue
-            has[ok] = True
-            row[self.column[0][s]] = 1
-            g = s
-            for n in range(1, ORDER):
-                g = g[:-1] * SYMBOLS + s[n:]
-                row[self.column[n][g]] = 1
-        return out[:, :width], has
-
-    def evidence(self, s: np.ndarray) -> np.ndarray:
-        """Of a text's symbols, some of them letters: for each language the part of the occurrences of n-grams that its landmarks hold."""
-        g = s = np.pad(s, 1).astype(np.int32)
-        for n in range(1, ORDER):
-            g = g[:-1] * SYMBOLS + s[n:]
-        g = g[g > 0]
-        return self.known @ np.bincount(self.column[-1][g], minlength=self.known.shape[1]) / len(g)
-
-    def recognised(self, texts: list[str | None], best: np.ndarray, has: np.ndarray) -> list[bool]:
-        """Whether each text has as much evidence as its best language asks for."""
-        return [bool(h) and bool(self.evidence(self.symbol[points(t)])[i] >= self.cut[i]) for t, i, h in zip(texts, best.tolist(), has.tolist(), strict=True)]
-
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        x, has = self.presence(texts)
-        norm = np.sqrt(np.maximum(x.sum(1), 1))[:, None]
-        return ((x @ self.landmarks) / norm).astype(np.float64) @ self.coef + self.bias, has
+    def kernel(self, sets: list[list[np.ndarray]]) -> np.ndarray:
+        """Kernels of texts, given by their n-grams, with the landmarks: one product of presence rows over the n-grams that any of the texts shares with a landmark."""
+        base = np.cumsum([0, *[len(v) for v in self.vocab]])
+        found = [np.concatenate([base[n] + (at := places(v, g))[at >= 0] for n, (v, g) in enumerate(zip(self.vocab, s, strict=True))]) for s in sets]
+        columns, index = np.unique(np.concatenate(found), return_inverse=True)
+        x = np.zeros((len(sets), len(columns)), np.float32)
+        x[np.repeat(np.arange(len(sets)), [len(f) for f in found]), index] = 1
+        z = np.unpackbits(self.holders[columns], axis=1, count=len(self.norms)).astype(np.float32)
+        own = np.sqrt([max(1, sum(len(g) for g in s)) for s in sets])
+        return (x @ z).astype(np.float64) / own[:, None] / self.norms
+
+    def evidence(self, last: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Of a text's longest n-grams: for each language the part of the occurrences that it knows."""
+        times = np.where(last > 0, times, 0)
+        at = places(self.vocab[-1], last)
+        held = np.unpackbits(self.speakers[at[at >= 0]], axis=1, count=len(self.langs))
+        return times[at >= 0] @ held / max(1, times.sum())
+
+    def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language (its number), its score, and whether the text is in it as far as can be said: it has letters and, in a calibrated model, evidence enough."""
+        best, score, sure = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        p = [points(t) for t in texts]
+        with_letters = [i for i, x in enumerate(p) if x.any()]
+        if not with_letters:
+            return best, score, sure
+        got = [grams(p[i]) for i in with_letters]
+        f = self.kernel([g for g, _ in got]) @ self.coef + self.bias
+        best[with_letters], score[with_letters], sure[with_letters] = f.argmax(1), np.clip((1 + f.max(1)) / 2, 0, 1), True
+        if self.cut is not None:
+            for i, (g, times) in zip(with_letters, got, strict=True):
+                sure[i] = self.evidence(*padded(g[-1], times, p[i]))[best[i]] >= self.cut[best[i]]
+        return best, score, sure
+
+
+def padded(last: np.ndarray, times: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The longest n-grams of a text with a gap put before and after it."""
+    gap = np.zeros(1, np.uint64)
+    ends = [grams(np.concatenate([gap, p[: ORDER - 1]])), grams(np.concatenate([p[1 - ORDER :], gap]))] if len(p) >= ORDER - 1 else [grams(np.concatenate([gap, p, gap]))]
+    return np.concatenate([last, *[g[-1] for g, _ in ends]]), np.concatenate([times, *[t for _, t in ends]])
+
+
+def whole(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What evidence() asks for, of a text's code points."""
+    g, times = grams(p)
+    return padded(g[-1], times, p)
 
 
 def choose(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> tuple[DataFrame, dict] | None:
@@ -106,45 +145,28 @@ def choose(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: s
     return picked.where(F.col("h").isin([h for _, h in want])).select("lang", "h", "text"), want
 
 
-def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> list:
-    """lang and distinct packed n-grams of the chosen texts."""
+def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> list[tuple[str, list[np.ndarray]]]:
+    """lang and distinct n-grams of the chosen texts."""
     picked = choose(docs, use, id_col, lang_col, text_col, sample, seed)
     if picked is None:
         return []
     chosen, want = picked
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        is_letter = letters()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                p = points(t)
-                p = np.where(is_letter[p] > 0, p, 0).astype(np.uint64)
-                parts = [p]
-                for n in range(1, ORDER):
-                    parts.append(parts[-1][:-1] << np.uint64(21) | p[n:])
-                out.append(b"".join(np.append(u := np.unique(x), len(u)).astype(np.uint64).tobytes() for x in parts))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(out, pa.binary())], names=["lang", "h", "grams"])
-
-    got = chosen.mapInArrow(grams, "lang string, h bigint, grams binary").collect()
+            got = [grams(points(t))[0] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), *(pa.array([g[n].tobytes() for g in got], pa.binary()) for n in range(ORDER))], names=["lang", "h", *(f"g{n}" for n in range(ORDER))])
+
+    got = chosen.mapInArrow(run, "lang string, h bigint, " + ", ".join(f"g{n} binary" for n in range(ORDER))).collect()
     found, seen = [], set()
     for r in sorted(got, key=lambda r: (r["lang"], want.get((r["lang"], r["h"]), 0))):
         key = (r["lang"], r["h"])
         if key in want and key not in seen:
             seen.add(key)
-            found.append((r["lang"], unpacked(bytes(r["grams"]))))
+            found.append((r["lang"], [np.frombuffer(bytes(r[f"g{n}"]), np.uint64) for n in range(ORDER)]))
     return found
 
 
-def unpacked(data: bytes) -> list[np.ndarray]:
-    a, out = np.frombuffer(data, np.uint64), []
-    for _ in range(ORDER):
-        n = int(a[-1])
-        out.append(a[len(a) - 1 - n : -1])
-        a = a[: len(a) - 1 - n]
-    return out[::-1]
-
-
 def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5) -> Model | None:
     """Learns from rows where use holds, the language is known and the text has letters; None if there are none.
 
@@ -157,53 +179,30 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "l
     langs = sorted({k for k, _ in rows})
     each = max(1, landmarks // len(langs))
     nth: dict[str, int] = {}
-    marks, mark_langs = [], []
+    marks = []
     for k, g in rows:
         nth[k] = nth.get(k, 0) + 1
         if nth[k] <= each:
-            marks.append(g)
-            mark_langs.append(k)
-    ones, counts = np.unique(np.concatenate([g[0] for _, g in rows]), return_counts=True)
-    top = ones[np.lexsort((ones, -counts))]
-    top = top[top > 0][: SYMBOLS - 2]
-    symbol = letters().copy()
-    symbol[top.astype(np.int64)] = np.arange(2, 2 + len(top))
-    mask = np.uint64((1 << 21) - 1)
-
-    def numbers(g: list[np.ndarray]) -> np.ndarray:
-        """n-grams over symbols, numbered through all lengths."""
-        out, base = [], 0
-        for n, x in enumerate(g):
-            v = np.zeros(len(x), np.int64)
-            for i in range(n, -1, -1):
-                v = v * SYMBOLS + symbol[((x >> np.uint64(21 * i)) & mask).astype(np.int64)]
-            out.append(base + np.unique(v))
-            base += SYMBOLS ** (n + 1)
-        return np.concatenate(out)
-
-    mark_sets = [numbers(g) for g in marks]
-    vocab, held = np.unique(np.concatenate(mark_sets), return_counts=True)
-    if (held > 1).any():
-        vocab = vocab[held > 1]
-    column, base = [], 0
-    for n in range(ORDER):
-        size = SYMBOLS ** (n + 1)
-        c = np.full(size, len(vocab), np.int32)
-        inside = (vocab >= base) & (vocab < base + size)
-        c[vocab[inside] - base] = np.flatnonzero(inside)
-        column.append(c)
-        base += size
-
-    def rows_of(sets: list[np.ndarray]) -> np.ndarray:
-        m = np.zeros((len(sets), len(vocab)), np.float32)
-        for row, s in zip(m, sets, strict=True):
-            at = np.minimum(np.searchsorted(vocab, s), len(vocab) - 1)
-            row[at[vocab[at] == s]] = 1
-        return m / np.sqrt(np.maximum(m.sum(1), 1))[:, None]
-
-    z, x = rows_of(mark_sets), rows_of([numbers(g) for _, g in rows])
-    k_mm, k_nm = (z @ z.T).astype(np.float64), (x @ z.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(k_mm)
+            marks.append((langs.index(k), g))
+    vocab = [np.unique(np.concatenate([g[n] for _, g in marks])) for n in range(ORDER)]
+
+    def bits(n: int, of: list[int], width: int, least: int) -> np.ndarray:
+        """For each n-gram of a length, a row of bits: bit j is set if so many of the landmarks i with of[i] = j hold it, or all of them."""
+        out = np.zeros((len(vocab[n]), width), bool)
+        for j in range(width):
+            mine = [g for k, (_, g) in zip(of, marks, strict=True) if k == j]
+            held = np.zeros(len(vocab[n]), np.int32)
+            for g in mine:
+                held[places(vocab[n], g[n])] += 1
+            out[:, j] = held >= min(least, len(mine))
+        return np.packbits(out, axis=1)
+
+    holders = np.concatenate([bits(n, list(range(len(marks))), len(marks), 1) for n in range(ORDER)])
+    norms = np.sqrt([sum(len(x) for x in g) for _, g in marks])
+    model = Model(langs, vocab, holders, norms, bits(ORDER - 1, [k for k, _ in marks], len(langs), SPOKEN))
+    k_mm = model.kernel([g for _, g in marks])
+    k_nm = np.concatenate([model.kernel([g for _, g in rows[i : i + BATCH]]) for i in range(0, len(rows), BATCH)])
+    values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = values > 1e-6 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
     phi = k_nm @ nystrom
@@ -211,10 +210,7 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "l
     mean_phi, mean_y = phi.mean(0), y.mean(0)
     a, b = phi - mean_phi, y - mean_y
     beta = np.linalg.solve(a.T @ a + ridge * len(rows) / len(marks) * np.eye(a.shape[1]), a.T @ b)
-    known = np.zeros((len(langs), len(vocab) + 1), np.float32)
-    for k, row in zip(mark_langs, z, strict=True):
-        np.maximum(known[langs.index(k), :-1], row > 0, out=known[langs.index(k), :-1])
-    return Model(langs, symbol, column, np.ascontiguousarray(z.T), nystrom @ beta, mean_y - mean_phi @ beta, known)
+    return replace(model, coef=nystrom @ beta, bias=mean_y - mean_phi @ beta)
 
 
 def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, seed: int = 6) -> Model | None:
@@ -235,10 +231,10 @@ def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "
         for b in batches:
             own, junk = [], []
             for lang, h, t in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
-                s = m.symbol[points(t)]
-                own.append(float(m.evidence(s)[m.langs.index(lang)]) if s.any() else None)
-                s[s > 0] = np.random.default_rng(h % (1 << 63)).permutation(s[s > 0])
-                junk.append(float(m.evidence(s).max()) if s.any() else None)
+                p = points(t)
+                own.append(float(m.evidence(*whole(p))[m.langs.index(lang)]) if p.any() else None)
+                p[p > 0] = np.random.default_rng(h % (1 << 63)).permutation(p[p > 0])
+                junk.append(float(m.evidence(*whole(p)).max()) if p.any() else None)
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(own, pa.float64()), pa.array(junk, pa.float64())], names=["lang", "h", "own", "junk"])
 
     chosen, want = picked
@@ -248,38 +244,41 @@ def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "
     return replace(model, cut=np.array([middle([r for r in got if r["lang"] == k] or got) for k in model.langs]))
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns keep of docs, with lang_pred and score. Map-only; whole texts.
-
-    A text that is null, empty or without letters, or any text if nothing could be learned: und, with score 0. With a
-    calibrated model so is a text with less evidence than its language asks for. Ties go to
-    the language that comes first by name. keep must not hold lang_pred or score.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+def judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str) -> DataFrame:
+    """row: the columns keep of docs as a struct, so that their names meet no others; lang_pred, score."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, BATCH):
                 x = b.slice(lo, BATCH)
-                n = x.num_rows
-                names, score = [UNKNOWN] * n, np.zeros(n)
+                names, score = [UNKNOWN] * x.num_rows, np.zeros(x.num_rows)
                 if m is not None:
-                    texts = x.column("_text").to_pylist()
-                    f, has = m.scores(texts)
-                    best = f.argmax(1)
-                    if m.cut is not None:
-                        has = np.array(m.recognised(texts, best, has), bool)
-                    names = [m.langs[i] if h else UNKNOWN for i, h in zip(best.tolist(), has.tolist(), strict=True)]
-                    score = np.where(has, np.clip((1 + f.max(1)) / 2, 0, 1), 0)
-                yield pa.RecordBatch.from_arrays([*(x.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+                    best, score, sure = m.judged(x.column("text").to_pylist())
+                    names = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), sure.tolist(), strict=True)]
+                    score = np.where(sure, score, 0)
+                yield pa.RecordBatch.from_arrays([x.column("row"), pa.array(names, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
         pa.default_memory_pool().release_unused()
 
-    kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double")
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+
+
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Columns keep of docs, with lang_pred and score. Map-only; whole texts, however long.
+
+    A text that is null, empty or without letters, or any text if nothing could be learned: und, with score 0. With a
+    calibrated model so is a text with less evidence than its language asks for. Ties go to
+    the language that comes first by name. Repeated rows are judged each; no rows: no rows. keep must not hold lang_pred or score.
+    """
+    return judged(docs, model, keep, text_col).select("row.*", "lang_pred", "score")
+
+
+def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text is in a learned language, with all their columns, whatever their names. What predict() says und of goes; no rows: no rows."""
+    return judged(docs, model, docs.columns, text_col).where(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -288,7 +287,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, with a model learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score, with a model learned from the rows that aren't held out.
+
+    Rows without an id or a language are judged but not learned from; null, empty or letterless texts, ties, repeated rows and empty tables as in predict().
+    Texts of any length are judged whole. Other columns don't matter, whatever their names.
+    """
     model = fit(docs, ~held_out(id_col) & F.col(id_col).isNotNull(), id_col, **how)
     out = predict(docs, model, [id_col], how.get("text_col", "text"))
     return out.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "lang_pred", "score")
