@@ -320,15 +320,22 @@ def test_warc(spark, sf):
 def test_warc_lookup(spark, sf):
     from tmweave.llm.common import new_path
 
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    many = spark.range(100).select((F.col("id") + 50_000).alias("page_id"), F.lit("http://WWW.hot.example/a?b=1").alias("url"), F.concat(F.lit("<p>same page "), F.repeat(F.lit("x"), F.lit(3000))).alias("html"))
     archives, index = new_path(spark, "a"), new_path(spark, "i")
-    directory = warc.write_index(warc.write_archives(pages, archives), index, lines=8)
-    captures = warc.Captures(directory, archives, index)
+    files = warc.write_index(warc.write_archives(pages.union(many), archives), index, lines=8)
+    captures = warc.Captures(files.collect(), archives, index)
     for r in pages.limit(5).collect():
         found = captures.find(r.url)
         assert r.page_id in [x["page_id"] for x in found]
         assert next(x for x in found if x["page_id"] == r.page_id)["payload"] == r.html.encode()
     assert captures.find("http://nowhere.example/") == []
+    hot = captures.find("https://hot.example/A?b=1")
+    assert [x["page_id"] for x in hot] == list(range(50_000, 50_100)) and sum(x["record_type"] == "response" for x in hot) == 1
+    # a revisit says of its payload what its response has
+    assert {(x["payload_bytes"], x["payload_digest"]) for x in hot} == {(3013, hashlib.sha1(hot[-1]["payload"]).hexdigest())} and {x["refers_to"] for x in hot[:-1]} == {50_099}
+    some = spark.createDataFrame([("http://hot.example/a?b=1",), ("http://nowhere.example/",), (None,), ("http://hot.example/a?b=1",)], "url string")
+    assert sorted(r.page_id for r in warc.look_up(some, captures).collect()) == list(range(50_000, 50_100))
 
 
 def test_html(spark, sf):
