@@ -230,7 +230,7 @@ def test_top_k_repeats_and_large(spark, monkeypatch):
 def test_sentencepiece(spark, docs, odd):
     import sentencepiece
 
-    model = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    model = queries.vocabulary("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     for df in (docs, odd):
         text = [(r.doc_id, r.text or "") for r in df.collect()]
@@ -249,7 +249,7 @@ def test_sentencepiece_odd_strings():
 
     import sentencepiece
 
-    model = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    model = queries.vocabulary("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     random.seed(7)
     pieces = [sp.id_to_piece(i).replace("▁", " ") for i in range(3, sp.vocab_size())]
@@ -266,7 +266,7 @@ def test_token_records(spark, docs, odd):
     import numpy as np
     from tokenizers import Tokenizer
 
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = queries.vocabulary("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     for df in (docs, odd.union(spark.createDataFrame([(50, "a<|endoftext|>b  \n c", "en", "a", 0, "", ""), (51, "  lead  and trail \n", "en", "a", 0, "", "")], DOCS))):
         rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (-(2**63) if r[0] is None else r[0], r[1]))
@@ -460,3 +460,37 @@ def test_language_scripts(spark):
         rows += [(len(rows) * 7 + i, " ".join(rnd.choices(words, k=rnd.randint(20, 60))), lang) for i in range(60)]
     got = language_id.identify(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "doc_id long, text string, lang string")).collect()
     assert all(r.lang_pred == rows[r.doc_id][2] for r in got)
+
+
+def test_parts_tell_words_apart(spark):
+    """Strings that meet under the parts' hash, and long words without a space, in operators 5, 7 and 10; ids as the libraries give them."""
+    import random
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse()
+    rnd = random.Random(2)
+    texts = [a, b, f"{b} {a}", f"x {a} y", f"x {b} y"] * 2 + ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123/", k=n)) for n in (63, 64, 65, 66, 1000, 9000)]
+    texts += [" ".join("".join(rnd.choices("abcé日\n", k=rnd.randint(60, 200))) for _ in range(30))]
+    model = queries.vocabulary("piece_bpe_32k.model")
+    want = sentencepiece.SentencePieceProcessor(model_file=model).encode(texts)
+    assert [x.tolist() for x in sentencepiece_wfst.encode_texts(model, texts)] == want
+    assert token_counts.count_texts(model, texts) == [len(x) for x in want]
+    path = queries.vocabulary("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    assert [x.tolist() for x in token_records.encoder(path).ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    other = queries.vocabulary("word_bpe_49k.json")
+    assert [x.tolist() for x in token_records.encoder(other).ids(["A Text of WORDS", "two  words"])] == [Tokenizer.from_file(other).encode(t, add_special_tokens=False).ids for t in ("A Text of WORDS", "two  words")]
+
+
+def test_long_words_in_linear_time():
+    import random
+    import time
+
+    model = queries.vocabulary("piece_bpe_32k.model")
+    word = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=80_000))
+    sentencepiece_wfst.encode_texts(model, ["x"]), token_counts.count_texts(model, ["x"])
+    start = time.time()
+    assert len(sentencepiece_wfst.encode_texts(model, [word])[0]) == token_counts.count_texts(model, [word])[0]
+    assert time.time() - start < 20

@@ -26,7 +26,7 @@ def test_stages(spark, sf):
     assert sorted(ids[2]) == sorted({c for _, _, c in grouped(rows, 5, 80, 100)})
     plan = mixing.plan_copies(steps[2]).collect()
     assert Counter(ids[3]) == Counter({r.doc_id: r.copies for r in plan if r.copies})
-    sp = sentencepiece.SentencePieceProcessor(model_file=f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
     text = {r.doc_id: r.text for r in docs.collect()}
     assert Counter((r.doc_id, tuple(r.ids)) for r in steps[4].collect()) == Counter((d, tuple(sp.encode(text[d]))) for d in ids[3])
 

@@ -8,6 +8,7 @@ each record's file, place, length and number of ids, so that a reader can shuffl
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -23,6 +24,8 @@ from .files import Ranges, Writer
 from .parts import Parts
 
 END_ID = 2
+#: Bytes of records that a task reads back, about; what it reads in one go.
+READ, PIECE = 64 << 20, 4 << 20
 #: Parts of texts, and pre-tokens, that a worker remembers with their ids (of pre-tokens: a newer and an older set of so many).
 PARTS, WORDS = 2_500_000, 150_000
 #: The reflected CRC-32C polynomial and the constant that masks checksums in this record format.
@@ -31,6 +34,9 @@ STEP = 64
 #: How byte-level BPE splits a text before its merges.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: What a tokenizer file says if that is how it splits.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
 #: Marks of which a run is a pre-token of its own after a word.
 MARKS = ",.;:!?#$%&*"
 #: White space that isn't ASCII.
@@ -122,7 +128,8 @@ class Encoder:
     """A byte-level BPE vocabulary of the tokenizers library, each distinct part of texts encoded once while it is remembered.
 
     A space between two non-white-space characters always starts a pre-token, so texts are cut there. Parts not
-    seen before are split into pre-tokens, and the library's model encodes those.
+    seen before are split into pre-tokens, and the library's model encodes those. Where the file normalises or splits texts
+    in any other way, the library encodes all texts whole.
     """
 
     def __init__(self, path: str):
@@ -130,6 +137,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        said = json.loads(t.to_str())
+        splits = said["pre_tokenizer"] or {}
+        self.plain = said["normalizer"] is None and {k: splits.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL and said["model"]["type"] == "BPE" and not said["model"].get("dropout") and not said["truncation"] and not said["padding"]
         self.whole, self.model, self.size = t, t.model, t.get_vocab_size()
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.find = regex.compile(PRETOKEN).findall
@@ -172,7 +182,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Texts that hold a special token's own string, or white space of other scripts, go to the library whole."""
-        odd = [any(x in t for x in self.special) or not t.isascii() and self.rare(t) is not None for t in texts]
+        odd = [not self.plain or any(x in t for x in self.special) or not t.isascii() and self.rare(t) is not None for t in texts]
         plain = iter(self.parts.encode([t.encode() for t, o in zip(texts, odd, strict=True) if not o]))
         return [self.whole_text(t) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
 
@@ -187,7 +197,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     """Writes records in ascending id order, a file per range of ids; gives the index, staged: doc_id, file, at, bytes, n_tokens, part, nth.
 
     A null text is empty and holds only the end id. A null id comes first and is written as the least 64-bit integer.
-    Repeated rows are records of their own, in an order set by their texts. No rows: no files.
+    Repeated rows are records of their own, in an order set by their texts. No rows: no files. Long texts are encoded whole, each as one record.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -227,7 +237,7 @@ def with_starts(index: DataFrame) -> DataFrame:
 
 
 def read_records(index: DataFrame, folder: str, each: Callable[[list[int], list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
-    """Range-reads each indexed record; each(ids of documents, their token ids) gives the columns beside start."""
+    """Range-reads each indexed record; each(ids of documents, their token ids) gives the columns beside start. Tasks get files' pieces of PIECE bytes, about READ bytes in all, however small the index is."""
     ship(index.sparkSession)
     names = ["start", *[x.split()[0] for x in schema.split(",")]]
 
@@ -241,7 +251,10 @@ def read_records(index: DataFrame, folder: str, each: Callable[[list[int], list[
                 ids = [np.frombuffer(r, f"<u{w}", offset=9) for r, (_, w) in zip(records, heads, strict=True)]
                 yield pa.RecordBatch.from_arrays([x.column("start").cast(pa.int64()), *each([i for i, _ in heads], ids)], names=names)
 
-    return index.select("file", "at", "bytes", "start").mapInArrow(read, f"start bigint, {schema}")
+    total = index.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // READ))
+    dealt = index.select("file", "at", "bytes", "start").repartition(tasks, F.col("file"), F.floor(F.col("at") / PIECE)).sortWithinPartitions("file", "at")
+    return dealt.mapInArrow(read, f"start bigint, {schema}")
 
 
 def digests(docs: list[int], ids: list[np.ndarray]) -> list[pa.Array]:
