@@ -7,8 +7,8 @@ presence rows with the landmarks' rows, then the kernel rows with the coefficien
 every letter of every script is itself.
 
 Scores only rank the languages: the targets of a row sum to 2 - L, so the best of L scores is never below 1/L, whatever the
-text. Whether a text is in its language at all is said by its evidence: the part of its n-grams of length 3 (all
-occurrences with a letter) that two of the language's landmarks hold, against a cut found on labelled rows (calibrate).
+text. Whether a text is in any learned language at all is said by its evidence: the part of its n-grams of length 3 (all
+occurrences with a letter) that two landmarks of one language hold, against a cut found on labelled rows (calibrate).
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SAMPLE, LANDMARKS = 640, 128
 ORDER, BITS, RIDGE, BATCH = 3, 21, 1e-2, 128
 #: A language knows the n-grams that so many of its landmarks hold (as evidence; the kernel counts all).
 SPOKEN = 2
+#: Where the cut lies on the way from the evidence of shuffled texts to that of the texts themselves.
+REACH = 0.1
 UNKNOWN = "und"
 _letters: list[np.ndarray] = []
 
@@ -77,10 +79,10 @@ class Model:
     vocab: list[np.ndarray]  # by length: the landmarks' n-grams, sorted
     holders: np.ndarray  # for each n-gram of all lengths a row of bits: the landmarks that hold it
     norms: np.ndarray  # root of each landmark's own number of n-grams
-    speakers: np.ndarray  # for each of the longest n-grams a row of bits: the languages that it is known from
+    known: np.ndarray  # for each of the longest n-grams whether a language knows it
     coef: np.ndarray | None = None
     bias: np.ndarray | None = None
-    cut: np.ndarray | None = None  # least evidence of each language, see calibrate
+    cut: float | None = None  # least evidence, see calibrate
 
     def kernel(self, sets: list[list[np.ndarray]]) -> np.ndarray:
         """Kernels of texts, given by their n-grams, with the landmarks: one product of presence rows over the n-grams that any of the texts shares with a landmark."""
@@ -93,15 +95,14 @@ class Model:
         own = np.sqrt([max(1, sum(len(g) for g in s)) for s in sets])
         return (x @ z).astype(np.float64) / own[:, None] / self.norms
 
-    def evidence(self, last: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Of a text's longest n-grams: for each language the part of the occurrences that it knows."""
+    def evidence(self, last: np.ndarray, times: np.ndarray) -> float:
+        """Of a text's longest n-grams, the part of the occurrences that the languages know. A text may be in several of them."""
         times = np.where(last > 0, times, 0)
         at = places(self.vocab[-1], last)
-        held = np.unpackbits(self.speakers[at[at >= 0]], axis=1, count=len(self.langs))
-        return times[at >= 0] @ held / max(1, times.sum())
+        return float(times[at >= 0] @ self.known[at[at >= 0]] / max(1, times.sum()))
 
     def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best language (its number), its score, and whether the text is in it as far as can be said: it has letters and, in a calibrated model, evidence enough."""
+        """Best language (its number), its score, and whether the text is in a learned language as far as can be said: it has letters and, in a calibrated model, evidence enough."""
         best, score, sure = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
         p = [points(t) for t in texts]
         with_letters = [i for i, x in enumerate(p) if x.any()]
@@ -112,7 +113,7 @@ class Model:
         best[with_letters], score[with_letters], sure[with_letters] = f.argmax(1), np.clip((1 + f.max(1)) / 2, 0, 1), True
         if self.cut is not None:
             for i, (g, times) in zip(with_letters, got, strict=True):
-                sure[i] = self.evidence(*padded(g[-1], times, p[i]))[best[i]] >= self.cut[best[i]]
+                sure[i] = self.evidence(*padded(g[-1], times, p[i])) >= self.cut
         return best, score, sure
 
 
@@ -199,7 +200,7 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "l
 
     holders = np.concatenate([bits(n, list(range(len(marks))), len(marks), 1) for n in range(ORDER)])
     norms = np.sqrt([sum(len(x) for x in g) for _, g in marks])
-    model = Model(langs, vocab, holders, norms, bits(ORDER - 1, [k for k, _ in marks], len(langs), SPOKEN))
+    model = Model(langs, vocab, holders, norms, bits(ORDER - 1, [k for k, _ in marks], len(langs), SPOKEN).any(1))
     k_mm = model.kernel([g for _, g in marks])
     k_nm = np.concatenate([model.kernel([g for _, g in rows[i : i + BATCH]]) for i in range(0, len(rows), BATCH)])
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
@@ -214,11 +215,10 @@ def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "l
 
 
 def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, seed: int = 6) -> Model | None:
-    """The model with each language's least evidence, found on labelled rows where use holds (a bounded sample).
+    """The model with the least evidence, found on labelled rows where use holds (a bounded sample).
 
-    The cut lies halfway between the median evidence of the language's texts and that of the same texts with their letters
-    shuffled, which keeps letters and lengths but is in no language. A language without such rows takes the cut of all
-    together; if there are none, the rows of docs that use leaves out serve.
+    The cut lies a little above the median evidence of the texts with their letters shuffled, which keeps letters and lengths but is in no
+    language: a tenth of the way to the median of the texts themselves. If there are no such rows, those of docs that use leaves out serve.
     """
     if model is None:
         return None
@@ -230,18 +230,18 @@ def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "
         m = shared.value
         for b in batches:
             own, junk = [], []
-            for lang, h, t in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
                 p = points(t)
-                own.append(float(m.evidence(*whole(p))[m.langs.index(lang)]) if p.any() else None)
+                own.append(m.evidence(*whole(p)) if p.any() else None)
                 p[p > 0] = np.random.default_rng(h % (1 << 63)).permutation(p[p > 0])
-                junk.append(float(m.evidence(*whole(p)).max()) if p.any() else None)
+                junk.append(m.evidence(*whole(p)) if p.any() else None)
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(own, pa.float64()), pa.array(junk, pa.float64())], names=["lang", "h", "own", "junk"])
 
     chosen, want = picked
     got = [r for r in chosen.mapInArrow(run, "lang string, h bigint, own double, junk double").collect() if (r["lang"], r["h"]) in want and r["own"] is not None]
     shared.destroy()
-    middle = lambda rows: (np.median([r["own"] for r in rows]) + np.median([r["junk"] for r in rows])) / 2
-    return replace(model, cut=np.array([middle([r for r in got if r["lang"] == k] or got) for k in model.langs]))
+    own, junk = np.median([r["own"] for r in got]), np.median([r["junk"] for r in got])
+    return replace(model, cut=float(junk + REACH * (own - junk)))
 
 
 def judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str) -> DataFrame:
@@ -270,7 +270,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     """Columns keep of docs, with lang_pred and score. Map-only; whole texts, however long.
 
     A text that is null, empty or without letters, or any text if nothing could be learned: und, with score 0. With a
-    calibrated model so is a text with less evidence than its language asks for. Ties go to
+    calibrated model so is a text with less evidence than the model asks for. Ties go to
     the language that comes first by name. Repeated rows are judged each; no rows: no rows. keep must not hold lang_pred or score.
     """
     return judged(docs, model, keep, text_col).select("row.*", "lang_pred", "score")
