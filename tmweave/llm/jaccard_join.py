@@ -20,6 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .common import discard, ship, stage
 from .components import components
@@ -133,9 +134,35 @@ def feasible(n: Column, pos: Column, m: Column, at: Column, num: int, den: int)
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - pos, m - at) >= share)
 
 
+def flagged(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows with hit: whether their column is one of the longs wanted, or perhaps another. A filter of BITS bits, however many are wanted, which spares a join's shuffle most of what it has nothing to say of."""
+    spark = rows.sparkSession
+    bit = F.shiftrightunsigned(F.xxhash64("c"), 40)
+    words = wanted.toDF("c").select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("s")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("m")).toArrow()
+    mask = np.zeros(BITS // 64, np.int64)
+    mask[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    shared = spark.sparkContext.broadcast(mask.view(np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            slot = b.column("slot").to_numpy().view(np.uint64)
+            hit = bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit)], names=[*b.schema.names[:-1], "hit"])
+
+    out = rows.withColumn("slot", F.shiftrightunsigned(F.xxhash64(column), 40))
+    return out.mapInArrow(run, StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
+
+
+def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows that flagged() hits."""
+    return flagged(rows, column, wanted).where("hit").drop("hit")
+
+
 def matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose prefixes share as many shingles as the one with fewer matches to make needs."""
-    of = lambda k, v: classes.select(F.col("cls").alias(k), F.struct("n", "cls", "need", "short", "toks").alias(v))
+    some = among(classes.select("cls", "n", "need", "short", "toks"), "cls", pairs.select(F.explode(F.array("a", "b"))))
+    of = lambda k, v: some.select(F.col("cls").alias(k), F.struct("n", "cls", "need", "short", "toks").alias(v))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
     smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))
     part = lambda v, short: F.when(short, F.slice(F.col(f"{v}.toks"), F.lit(1), F.col(f"{v}.short"))).otherwise(F.col(f"{v}.toks"))
@@ -154,7 +181,8 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
             keep = np.minimum(x, y).sum(1) * (den + num) >= n * num
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    of = lambda k, v: classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{v}"), F.col("hist").alias(f"h{v}"))
+    some = among(classes.select("cls", "n", "hist"), "cls", pairs.select(F.explode(F.array("a", "b"))))
+    of = lambda k, v: some.select(F.col("cls").alias(k), F.col("n").alias(f"n{v}"), F.col("hist").alias(f"h{v}"))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
     return both.select("a", "b", "nx", "ny", "hx", "hy").mapInArrow(check, "a bigint, b bigint")
 
@@ -167,7 +195,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int,
     spark = docs.sparkSession
     wanted = classes.select("cls", "k1", "k2").join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls")
     wanted = stage(wanted, "join-wanted")
-    bit = F.shiftrightunsigned("k1", 40)
+    bit = F.shiftrightunsigned("k1", 40)  # as in among(), but by the text's own key
     found = wanted.select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("s")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, s)")).alias("m")).toArrow()
     mask = np.zeros(BITS // 64, np.int64)
     mask[found.column("w").to_numpy()] = found.column("m").to_numpy()
@@ -227,25 +255,30 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
     met = stage(post.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "p", "at"), "join-postings")
     near = feasible(F.col("n"), F.col("pos"), F.shiftright("at", 31), F.col("at") % half, num, den)
     star = met.where((F.col("cls") != F.col("p")) & near).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
-    star = stage(likely(star, classes, num, den), "join-stars")
+    pairs = stage(star, "join-pairs")
+    star = stage(likely(pairs, classes, num, den), "join-stars")
+    discard(pairs)
     links = verified(docs, star, classes, words, num, den)
     roots = components(links, names)
     node = roots.select("v", F.col("name.node").alias("root"))
     named = met.join(node.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = named.join(node.select(F.col("v").alias("p"), F.col("root").alias("p_root")), "p", "left")
-    named = stage(named.select("tok", "cls", "n", "short", "pos", "root", (F.col("root") != F.coalesce("p_root", "p")).alias("other")), "join-named")
+    named = stage(named.select("tok", "cls", "n", "short", "pos", "p", "root"), "join-named")
     discard(met, roots)
-    mixed_lists = named.where("other").select("tok").distinct()
-    y = named.join(mixed_lists, "tok", "left_semi").alias("y")
-    x = named.where("other").alias("x")
+    # the lists in which more than one component stands, with that of the centre; all others are done
+    centre = F.max(F.when(F.col("cls") == F.col("p"), F.col("root"))).alias("centre")
+    lists = named.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre).where("low < high").select("tok", "centre")
+    left = stage(named.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "root", (F.col("root") != F.col("centre")).alias("other")), "join-mixed")
+    discard(named)
+    y, x = left.alias("y"), left.where("other").alias("x")
     smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))
     once = ~F.col("y.other") | (F.col("x.cls") < F.col("y.cls"))
     index = F.when(smaller, F.col("x.pos") < F.col("x.short")).otherwise(F.col("y.pos") < F.col("y.short"))
     first = feasible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
     hits = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.root") != F.col("y.root")) & once & index & first)
     rest = hits.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    rest = stage(likely(rest.join(star, ["a", "b"], "left_anti"), classes, num, den), "join-rest")
-    discard(named, star)
+    pairs = stage(rest.join(star, ["a", "b"], "left_anti"), "join-pairs")
+    rest = stage(likely(pairs, classes, num, den), "join-rest")
+    discard(left, star, pairs)
     match = stage(matching(rest, classes), "join-matching")
     more = verified(docs, match, classes, words, num, den)
     discard(rest, match)
@@ -287,10 +320,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = stage(rows.where("n > 0").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("k"), "h"), "join-again")
     discard(rows, named)
     row = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    on = lambda t: row["k"].eqNullSafe(t["k"]) & row["h"].eqNullSafe(t["h"])
-    kept = row.join(gone, on(gone), "left_anti")
+    # rows outside the filter are kept without a shuffle
+    row = flagged(row.withColumn("c", F.xxhash64("k", "h")), "c", gone.select(F.xxhash64("k", "h"))).drop("c")
+    maybe = row.where("hit")
+    on = lambda t, of: of["k"].eqNullSafe(t["k"]) & of["h"].eqNullSafe(t["h"])
+    kept = row.where("not hit").union(maybe.join(gone, on(gone, maybe), "left_anti"))
     if again.limit(1).count():
         # rows of one id and text: all but one of them go
-        many = kept.join(again, on(again), "left_semi").groupBy("k", "h").agg(F.first("row").alias("row"))
-        kept = kept.join(again, on(again), "left_anti").select("row").union(many.select("row"))
+        many = kept.join(again, on(again, kept), "left_semi").groupBy("k", "h").agg(F.first("row").alias("row"))
+        kept = kept.join(again, on(again, kept), "left_anti").select("row").union(many.select("row"))
     return kept.select("row.*")
