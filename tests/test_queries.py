@@ -131,6 +131,34 @@ def test_exchange_parts(spark):
         assert {(r.source, r.target) for r in read(files).collect()} == {(r[3], r[5]) for r in rows}
 
 
+def units(spark, f, content, *columns):
+    got = f(spark.createDataFrame([("f", content)], "path string, content string")).orderBy("pos").collect()
+    return [tuple(r[c] for c in columns) for r in got]
+
+
+def test_properties_flags(spark):
+    content = "# plain\n#.comment=first\n  #.comment: second\n#.width=10\n#.beta\nkey = it''s \\u00e9\n\n#.internal\nhidden=x\n#.context:menu\nopen file:\\\n name\n#.comment=lost\n\nother x y\nempty=\nzero=0\nlone"
+    want = [("key", "it's é", None, "key\nfirst\n second\n#beta #width=10"), ("open", "file: name", "menu", "open"), ("other", "x y", None, "other")]
+    assert units(spark, extract.properties, content, "key", "string", "context", "hint") == want
+
+
+def test_go_raw(spark):
+    content = '// lost\n\n// one\n// two \n"a##menu": "x\\ty",\nb: `raw\n\\t "text"`,\n\t"c": "",\n// `\nd: "last",'
+    want = [("a##menu", "x\ty", "menu", "one\ntwo\na"), ("b", 'raw\n\\t "text"', None, "b"), ("d", "last", None, "`\nd")]
+    assert units(spark, extract.go_map, content, "key", "string", "context", "hint") == want
+
+
+def test_rc_forms(spark):
+    content = 'IDD_A DIALOGEX 0, 0\nCAPTION "The ""title"""\nBEGIN\nLTEXT "Name",IDC_X\nEND\nSTRINGTABLE\nBEGIN\nIDS_1 "one"\nIDS_2 // note\n  L"two"\nEND\nIDS_3 "out"'
+    want = [("IDD_A:CAPTION", 'The "title"'), ("LTEXT", "Name"), ("IDS_1", "one"), ("IDS_2", "two")]
+    assert units(spark, extract.rc, content, "key", "string") == want
+
+
+def test_android_quotes(spark):
+    content = '<string name="a">it\\\'s <b x=\\"1\\">\\"bold\\"</b></string><string name="e"></string><string name="z" translatable="false">x</string><string name="b">1 < 2</string>'
+    assert units(spark, extract.android, content, "key", "string") == [("a", 'it\'s <b x=\\"1\\">"bold"</b>'), ("b", "1 < 2")]
+
+
 def test_json_depth(spark):
     """Strings are found however deep they lie."""
     deep = '"x"'

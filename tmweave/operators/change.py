@@ -31,9 +31,9 @@ def upsert_units(strings: DataFrame, units: DataFrame) -> DataFrame:
     return numbered(fresh, "k").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("nth")).alias("string_id"), "string", "context")
 
 
-def numbered(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """Adds nth: 1, 2, ... by order, a hex string: rows are ranked in buckets of its first two digits, and buckets' sizes are summed."""
-    df = df.withColumn("b", F.substring(F.col(order), 1, 2))
+def numbered(df: DataFrame, order: str, buckets: int = 65536) -> DataFrame:
+    """Adds nth: 1, 2, ... by order, a hex string: rows are ranked in buckets (a power of 16) of its first digits, and buckets' sizes are summed."""
+    df = df.withColumn("b", F.substring(F.col(order), 1, (buckets.bit_length() - 1) // 4))
     before = df.groupBy("b").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(order)))
     return ranked.join(F.broadcast(before), "b").withColumn("nth", F.col("before") + F.col("r")).drop("b", "r", "before")

@@ -28,7 +28,6 @@ KEYVALUE = r"^(.+?)\s*=\s*(.+)$"
 KEY_SPACE_VALUE = r"^(\S+)\s+(.+)$"
 HASH = r"^\s*'(.+?)'\s*=>\s*'(.*)',?\s*$"
 RRC = r'^\s*(\w+#\d+)\s*=\s*"(.*)";\s*$'
-GO_MAP = r'^\s*"(.+?)":\s*"(.*)",\s*$'
 JS_OBJECT = r"""^\s*['"]?([\w.]+)['"]?\s*:\s*(["'`])(.*)\2,?\s*(?://.*)?$"""
 MASTER = r"<%(.*?)%>"
 
@@ -68,10 +67,46 @@ def with_comments(files: DataFrame, pattern: str, comment: str, closes_on_blank:
     return rows.withColumn("hint", F.concat_ws("\n", "key", F.nullif(F.when(F.col("h") != F.col("string"), F.col("h")), F.lit("")))).drop("h")
 
 
+def u_unescape(s: Column) -> Column:
+    """\\uXXXX alone."""
+    pieces = F.regexp_extract_all(s, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|[^\\]+|\\"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\\u"), F.decode(F.unhex(F.substring(p, 3, 4)), "UTF-16BE")).otherwise(p)), "")
+
+
+#: A key line of properties files and a comment line that holds a flag.
+PROPERTY = r"^[\t ]*(.*?[^\\])(?:[\t ]*[=:][\t ]*| )[\t ]*(.*)$"
+PROPERTY_FLAG = r"^#\.([^\s=:]+)([=:](.*))?$"
+
+
 def properties(files: DataFrame) -> DataFrame:
-    """key=value with # comment lines before it; lines that end in a backslash go on."""
-    joined = files.withColumn("content", F.regexp_replace("content", r"\\\n\s*", ""))
-    return with_comments(joined, r"^\s*([^#=:\s][^=:]*?)\s*[=:]\s*(.+)$", r"^\s*#\s*(.*)$", False, fx.c_unescape)
+    """key=value, key:value or key value, with the flags (#.flag, #.flag=value) of the comment lines before it; lines that end in a backslash go on.
+
+    internal: the line is left out. context: its context. comment: goes to the hint after the key. Other flags go to the hint's last line, sorted, as #flag=value.
+    Plain comments say nothing; any other line that isn't a comment ends its flags. Values that are empty or 0 are left out.
+    """
+    joined = files.withColumn("content", F.replace("content", F.lit("\\\n"), F.lit("")))
+    rows = lines(joined).withColumn("c", F.col("line").rlike(r"^[\t ]*[#!]"))
+    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("g", F.coalesce(F.sum((~F.col("c")).cast("int")).over(w), F.lit(0)))
+    said = F.regexp_replace("line", r"^\s+|\s+$", "")
+    part = lambda n: F.regexp_extract(said, PROPERTY_FLAG, n)
+    flag = F.when(F.col("c") & said.rlike(PROPERTY_FLAG), F.struct("pos", part(1).alias("k"), F.when(part(2) != "", part(3)).alias("v")))
+    units = rows.groupBy("path", "g").agg(F.array_sort(F.collect_list(flag)).alias("flags"), F.max(F.when(~F.col("c"), F.col("pos"))).alias("pos"), F.max(F.when(~F.col("c"), F.col("line"))).alias("line"))
+    units = units.where(F.col("line").rlike(PROPERTY) & ~F.exists("flags", lambda f: f["k"] == "internal"))
+
+    def value(k: Column) -> Column:
+        """A flag's lines, null if it has no value."""
+        own = F.filter("flags", lambda f: f["k"] == k)
+        return F.when(F.exists(own, lambda f: f["v"].isNotNull()), F.regexp_replace(F.array_join(F.transform(own, lambda f: F.coalesce(f["v"], F.lit(""))), "\n"), r"^\s+|\s+$", ""))
+
+    names = F.array_distinct(F.transform("flags", lambda f: f["k"]))
+    tags = F.array_sort(F.filter(names, lambda k: ~k.isin("comment", "context")))
+    comment = F.when(F.array_contains(names, "comment"), F.coalesce(value(F.lit("comment")), F.lit("")))
+    tagged = F.nullif(F.array_join(F.transform(tags, lambda k: F.concat(F.lit("#"), k, F.coalesce(F.concat(F.lit("="), value(k)), F.lit("")))), " "), F.lit(""))
+    key, raw = F.regexp_extract("line", PROPERTY, 1), F.regexp_extract("line", PROPERTY, 2)
+    string = F.replace(u_unescape(raw), F.lit("''"), F.lit("'"))
+    hint = F.concat_ws("\n", F.regexp_replace(key, r"[\t ]+$", ""), comment, tagged)
+    return units.where(~raw.isin("", "0")).select("path", "pos", key.alias("key"), string.alias("string"), F.nullif(value(F.lit("context")), F.lit("")).alias("context"), hint.alias("hint"))
 
 
 def strings(files: DataFrame) -> DataFrame:
@@ -80,20 +115,47 @@ def strings(files: DataFrame) -> DataFrame:
 
 
 def go_map(files: DataFrame) -> DataFrame:
-    """"key": "value", with // comments before it."""
-    return with_comments(files, GO_MAP, r"^\s*//\s*(.*)$", True, fx.c_unescape)
+    """"key": "value", or a raw string in backticks, which may have several lines; the key may lack quotes.
+
+    Hint: the // comments before it, which a blank line forgets, and the key; key##context names a context. pos counts a raw string's lines as one.
+    """
+    ticks = F.split("content", "`")
+    raw = F.transform(ticks, lambda x, i: F.when((i % 2 == 1) & (i < F.size(ticks) - 1), F.replace(x, F.lit("\n"), F.lit("\x01"))).otherwise(x))
+    rows = lines(files.withColumn("content", F.array_join(raw, "`")))
+    comment, line = r"^\s*//\s*(.*?)\s*$", r'^\s*(?:"(.*?)"|(\w+))\s*:\s*(?:"(.*)"|`(.*)`)\s*,\s*$'
+    part = lambda n: F.regexp_extract("line", line, n)
+    is_key = F.col("line").rlike(line) & ~F.col("line").rlike(comment)
+    ends = (F.col("line").rlike(r"^\s*$") | is_key).cast("int")
+    w = Window.partitionBy("path").orderBy("pos")
+    rows = rows.withColumn("g", F.coalesce(F.sum(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("h", F.collect_list(F.when(F.col("line").rlike(comment), F.regexp_extract("line", comment, 1))).over(Window.partitionBy("path", "g").orderBy("pos")))
+    key = F.concat(part(1), part(2))
+    name, context = F.regexp_replace(key, "##.*$", ""), F.nullif(F.regexp_extract(key, "^.*?##(.*)$", 1), F.lit(""))
+    string = F.concat(fx.c_unescape(part(3)), F.replace(part(4), F.lit("\x01"), F.lit("\n")))
+    hint = F.array_join(F.concat("h", F.when(name != "", F.array(name)).otherwise(F.array().cast("array<string>"))), "\n")
+    return rows.where(is_key).select("path", "pos", key.alias("key"), string.alias("string"), context.alias("context"), hint.alias("hint")).where("string <> ''")
 
 
 def rc(files: DataFrame) -> DataFrame:
-    """Windows resource scripts: ID "text" inside BEGIN and END of a section, with the section's kind."""
+    """Windows resource scripts: ID "text" inside BEGIN and END of a section, with the section's kind; in string tables the text may stand on the line after its ID. A dialog's CAPTION has the key dialog:CAPTION."""
     w = Window.partitionBy("path").orderBy("pos")
     rows = lines(files)
     kind = F.nullif(F.regexp_extract("line", r"\b(MENU|DIALOG|DIALOGEX|STRINGTABLE)\b", 1), F.lit(""))
     step = F.when(F.col("line").rlike(r"^\s*BEGIN\b"), 1).when(F.col("line").rlike(r"^\s*END\b"), -1).otherwise(0)
     rows = rows.withColumn("section", F.last(kind, ignorenulls=True).over(w)).withColumn("depth", F.sum(step).over(w))
-    form = r'^\s*(\w+)[,\s]+L?"([^"]*(?:""[^"]*)*)"'
-    rows = rows.where((F.col("depth") > 0) & F.col("section").isNotNull() & F.col("line").rlike(form))
-    return rows.select("path", "pos", F.regexp_extract("line", form, 1).alias("key"), F.replace(F.regexp_extract("line", form, 2), F.lit('""'), F.lit('"')).alias("string"), F.col("section").alias("hint"))
+    text = r'L?"([^"]*(?:""[^"]*)*)"'
+    form, caption, alone, bare = rf"^\s*(\w+)[,\s]+{text}", rf"^\s*(CAPTION)\s+{text}", r"^\s*(\w+)\s*(?://.*)?$", rf"^\s*(){text}"
+    rows = rows.withColumn("dialog", F.last(F.nullif(F.regexp_extract("line", r"^\s*(\w+)\s+DIALOG(?:EX)?\b", 1), F.lit("")), ignorenulls=True).over(w)).withColumn("before", F.lag("line").over(w))
+    inside, line = F.col("depth") > 0, F.col("line")
+    above = F.regexp_extract("before", alone, 1)
+    kinds = [
+        (inside & line.rlike(form), F.regexp_extract("line", form, 1), form),
+        (~inside & F.col("section").startswith("DIALOG") & line.rlike(caption), F.concat_ws(":", "dialog", F.lit("CAPTION")), caption),
+        (inside & (F.col("section") == "STRINGTABLE") & line.rlike(bare) & ~above.isin("", "BEGIN", "END"), above, bare),
+    ]
+    unit = reduce(lambda c, k: c.when(k[0], F.struct(k[1].alias("key"), F.regexp_extract("line", k[2], 2).alias("string"))), kinds[1:], F.when(kinds[0][0], F.struct(kinds[0][1].alias("key"), F.regexp_extract("line", form, 2).alias("string"))))
+    rows = rows.where(F.col("section").isNotNull()).withColumn("u", unit).where("u is not null")
+    return rows.select("path", "pos", "u.key", F.replace(F.col("u.string"), F.lit('""'), F.lit('"')).alias("string"), F.col("section").alias("hint"))
 
 
 def tagged(files: DataFrame, pattern: str, key: int = 1, value: int = 2) -> DataFrame:
@@ -103,6 +165,24 @@ def tagged(files: DataFrame, pattern: str, key: int = 1, value: int = 2) -> Data
     return rows.select("path", "pos", F.col("u.key").alias("key"), fx.xml_unescape(F.col("u.string")).alias("string")).where("string <> ''")
 
 
+def android(files: DataFrame) -> DataFrame:
+    """string, plurals (name:quantity) and string-array (name:0, name:1, ...) elements of Android resources, but for those with translatable="false"; pos counts elements. Escaped quotes are unescaped outside tags."""
+    form = r"(?s)<(string|plurals|string-array) ([^/<>]*?)>(.*?)</\1>"
+    every = lambda c, pattern, g: F.regexp_extract_all(c, F.lit(pattern), F.lit(g))
+    found = F.arrays_zip(*[every("content", form, g).alias(n) for g, n in enumerate(("kind", "attrs", "body"), 1)])
+    rows = files.select("path", F.posexplode(found).alias("pos", "e")).select("path", "pos", "e.*").where(~F.col("attrs").rlike(r'\btranslatable="false"'))
+    name = F.regexp_extract("attrs", r'\bname="(.*?)"', 1)
+    unit = lambda key, string, hint: F.struct(key.alias("key"), string.alias("string"), hint.alias("hint"))
+    plural, item = r'(?s)<item .*?quantity="(.*?)".*?>(.*?)</item>', r"(?s)<item>(.*?)</item>"
+    quantity = lambda q: F.concat(name, F.lit(":"), q)
+    many = F.zip_with(every("body", plural, 1), every("body", plural, 2), lambda q, s: unit(quantity(q), s, quantity(q)))
+    listed = F.transform(every("body", item, 1), lambda s, i: unit(F.concat(name, F.lit(":"), i.cast("string")), s, F.concat(name, F.lit(":item"))))
+    units = F.when(F.col("kind") == "string", F.array(unit(name, F.col("body"), name))).when(F.col("kind") == "plurals", many).otherwise(listed)
+    chunks = F.regexp_extract_all("string", F.lit(r"(?s)<.*?>|[^<]+|<"), F.lit(0))
+    string = F.array_join(F.transform(chunks, lambda c: F.when(c.startswith("<"), c).otherwise(F.regexp_replace(c, r"\\(['\"])", "$1"))), "")
+    return rows.select("path", "pos", F.inline(units)).where("string <> ''").select("path", "pos", "key", string.alias("string"), "hint")
+
+
 ANDROID = r'(?s)<string name="([^"]*)"[^>]*>(.*?)</string>'
 RESX = r'(?s)<data name="([^"]*)"[^>]*>\s*<value>(.*?)</value>'
 PLIST = r"(?s)<key>(.*?)</key>\s*<string>(.*?)</string>"
@@ -157,10 +237,13 @@ BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "dt", "dd", "label", "o
 def html_blocks(pages: DataFrame, tags: tuple[str, ...] = BLOCKS) -> DataFrame:
     """Innermost translatable elements of pages (path, content): tag, the how-manieth of its tag, inner markup."""
     clean = F.regexp_replace(F.regexp_replace("content", r"(?s)<!--.*?-->", ""), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", "")
-    rows = pages.select("path", clean.alias("c"))
     inner = "|".join(tags)
-    found = [rows.select("path", F.lit(t).alias("tag"), F.posexplode(F.regexp_extract_all("c", F.lit(rf"(?s)<{t}(?:\s[^>]*)?>(.*?)</{t}>"), F.lit(1))).alias("pos", "string")) for t in tags]
-    out = reduce(DataFrame.union, found)
+
+    def found(t: str) -> Column:
+        every = F.regexp_extract_all("c", F.lit(rf"(?s)<{t}(?:\s[^>]*)?>(.*?)</{t}>"), F.lit(1))
+        return F.transform(every, lambda s, i: F.struct(F.lit(t).alias("tag"), i.alias("pos"), s.alias("string")))
+
+    out = pages.select("path", clean.alias("c")).select("path", F.inline(F.concat(*map(found, tags))))
     return out.where(~F.col("string").rlike(rf"<({inner})[\s>]") & (F.trim("string") != ""))
 
 
@@ -347,8 +430,11 @@ def bilingual_import(segments: DataFrame, tm: dict[str, DataFrame], overwrite: b
 
 def xml_nodes(files: DataFrame, paths: list[str]) -> DataFrame:
     """Texts of XML elements on configured paths; blanks, symbols and numbers alone are left out."""
-    found = [files.select("path", F.lit(p).alias("node"), F.posexplode(F.xpath("content", F.lit(f"{p}/text()"))).alias("pos", "string")) for p in paths]
-    return reduce(DataFrame.union, found).where("trim(string) <> ''").where(~F.col("string").rlike(r"^(\W+|\d+)$"))
+
+    def found(node: str) -> Column:
+        return F.transform(F.xpath("content", F.lit(f"{node}/text()")), lambda s, i: F.struct(F.lit(node).alias("node"), i.alias("pos"), s.alias("string")))
+
+    return files.select("path", F.inline(F.concat(*map(found, paths)))).where("trim(string) <> ''").where(~F.col("string").rlike(r"^(\W+|\d+)$"))
 
 
 def xliff_source(files: DataFrame) -> DataFrame:
@@ -360,7 +446,6 @@ def xliff_source(files: DataFrame) -> DataFrame:
     rows = rows.select("path", "original", F.posexplode(F.arrays_zip(group("body", unit, 1).alias("key"), group("body", unit, 2).alias("string"), group("body", unit, 3).alias("note"))).alias("pos", "u"))
     return rows.select("path", "pos", "u.key", fx.xml_unescape(F.col("u.string")).alias("string"), F.concat_ws("\n", "original", F.nullif(F.col("u.note"), F.lit(""))).alias("hint"))
 
-
 def ts_source(files: DataFrame) -> DataFrame:
     """Source units of Qt TS files: the context is the group's name and the message's comment, the key context and text."""
     group = lambda c, p, g: F.regexp_extract_all(c, F.lit(p), F.lit(g))

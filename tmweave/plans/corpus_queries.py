@@ -88,9 +88,13 @@ def extract_strings(spark, d):
 
 @query(plain_sql(key=f"lower(regexp_replace({K},'[^A-Za-z]','','g'))", extra=f", CAST(NULL AS VARCHAR) AS context, lower(regexp_replace({K},'[^A-Za-z]','','g')) || chr(10) || 'note' AS hint").replace("'^(\\S+) (.+)$')", "'^(\\S+) (.+)$') AND regexp_matches(line,'^[A-Za-z]+ ')").replace("SELECT path, pos,", "SELECT path, CAST(2*pos+1 AS INT) AS pos,"))
 def extract_properties(spark, d):
-    body = f"array_join(transform(split({PLAIN}, '\\n'), l -> concat('# note\\n', CASE WHEN l RLIKE '^[A-Za-z]+ .+$' THEN concat(lower(regexp_extract(l, '^([A-Za-z]+) ', 1)), ' = ', regexp_extract(l, '^[A-Za-z]+ (.+)$', 1)) ELSE '#' END)), '\\n')"
-    x = extract.properties(corpus(spark, d, body.replace("= ', regexp", "= ', regexp")))
-    return x.withColumn("hint", F.concat("key", F.lit("\nnote")))
+    body = f"array_join(transform(split({PLAIN}, '\\n'), l -> concat('#.comment: note\\n', CASE WHEN l RLIKE '^[A-Za-z]+ .+$' THEN concat(lower(regexp_extract(l, '^([A-Za-z]+) ', 1)), ' = ', regexp_extract(l, '^[A-Za-z]+ (.+)$', 1)) ELSE 'ends' END)), '\\n')"
+    return extract.properties(corpus(spark, d, body))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, CAST(pos AS INT) AS pos, key, string, hint FROM part, LATERAL (VALUES (0, 'a', p_name, 'a'), (2, 'n:one', p_brand, 'n:one'), (2, 'n:other', p_type, 'n:other'), (3, 'l:0', p_type, 'l:item'), (3, 'l:1', p_brand || ' it''s', 'l:item')) v(pos, key, string, hint)")
+def extract_android(spark, d):
+    return extract.android(corpus(spark, d, """concat('<resources><string name="a">', p_name, '</string><string name="e"/><string name="no" translatable="false">x</string><plurals name="n"><item quantity="one">', p_brand, '</item><item quantity="other">', p_type, '</item></plurals><string-array name="l"><item>', p_type, '</item><item>', p_brand, ' it\\\\\\'s</item></string-array></resources>')""", "part", "p_partkey"))
 
 
 @query(rf"WITH {PL} SELECT path, CAST(pos+2 AS INT) AS pos, 'IDS_X' AS key, line AS string, 'STRINGTABLE' AS hint FROM lines")
