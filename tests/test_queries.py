@@ -77,6 +77,21 @@ def test_laws(spark):
     assert one(spark, fx.wordcount(F.lit("Saved on May 3, 2024 to <b>%s</b> in v1.2.3 &amp; {0}"))) == 6
 
 
+def test_escapes(spark):
+    """Escapes of program literals, of XML with apostrophes, and of characters beyond the basic plane."""
+    vectors = {
+        r"a\x41\u00e9\U65E5b": "aAé日b", r"\ud83d\ude00": "😀", r"\ud83d!": r"\ud83d!", r"\ude00": r"\ude00", r"\ud83d\u0041": r"\ud83dA", r"\n\t\b\f\v": "\n\t\b\f\v",
+        r"\\u0041": r"\u0041", r"\\n": r"\n", "\\": "\\", r"\"\'": "\"'", "": "", r"\x4": "x4", "\\\n": "\n",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in vectors.items()] + [(None, None)], "s string, want string")
+    assert {r.s: r.got for r in rows.select("s", fx.c_unescape(F.col("s")).alias("got")).collect()} == vectors | {None: None}
+    assert one(spark, fx.java_escape(F.lit("aé😀"))) == r"a\u00e9\ud83d\ude00"
+    assert one(spark, fx.c_unescape(fx.java_escape(F.lit("aé😀日")))) == "aé😀日"
+    assert one(spark, fx.xml_escape(F.lit("'\"&"), True, True)) == "&apos;&quot;&amp;"
+    assert one(spark, fx.xml_escape(F.lit("'\"&"), False)) == "'\"&amp;"
+    assert one(spark, fx.xml_unescape(F.lit("&apos;&quot;&amp;lt;"), False, False)) == "&apos;&quot;&lt;"
+
+
 def test_names(spark):
     got = spark.createDataFrame([("ru",), ("pt-br",), ("en",), ("zh-hans-CN",)], "l string").select(fx.locale(F.col("l")), fx.culture(F.col("l")), fx.locale_android(F.col("l"))).collect()
     assert [tuple(r) for r in got] == [("ru", "ru-RU", "ru"), ("pt_BR", "pt-BR", "pt-rBR"), ("en", "en-US", "en"), ("zh_HANS-CN", "zh-HANS-CN", "zh-rHANS-CN")]

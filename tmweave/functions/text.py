@@ -96,29 +96,38 @@ def po_unescape(s: Column) -> Column:
 
 
 def java_escape(s: Column) -> Column:
-    """Characters beyond ASCII as \\uXXXX (of the basic plane)."""
-    one = lambda c: F.when(F.length(F.encode(c, "UTF-8")) > 1, F.concat(F.lit("\\u"), F.lower(F.hex(F.encode(c, "UTF-16BE"))))).otherwise(c)
+    """Characters beyond ASCII as \\uXXXX; those beyond the basic plane as two of these, a surrogate pair."""
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    one = lambda c: F.when(F.length(F.encode(c, "UTF-8")) > 1, units(c)).otherwise(c)
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
-def xml_escape(s: Column, quotes: bool = True) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quotes else [])):
+def xml_escape(s: Column, quotes: bool = True, apostrophes: bool = False) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *([('"', "&quot;")] if quotes else []), *([("'", "&apos;")] if apostrophes else [])):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
 
-def xml_unescape(s: Column) -> Column:
-    for a, b in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+def xml_unescape(s: Column, quotes: bool = True, apostrophes: bool = True) -> Column:
+    for a, b in (*([("&quot;", '"')] if quotes else []), *([("&apos;", "'")] if apostrophes else []), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
 
 def c_unescape(s: Column) -> Column:
-    """\\uXXXX, \\n, \\t, \\r, \\" and \\' of program literals."""
-    pieces = F.regexp_extract_all(s, F.lit(r"(?s)(\\u[0-9A-Fa-f]{4}|\\.|[^\\]+|\\$)"), F.lit(1))
-    one = lambda p: (
-        F.when(p.rlike(r"^\\u"), F.decode(F.unhex(F.substring(p, 3, 4)), "UTF-16BE")).when(p == "\\n", "\n").when(p == "\\t", "\t").when(p == "\\r", "\r").when(p.rlike(r"^\\."), F.substring(p, 2, 1)).otherwise(p)
-    )
+    """\\uXXXX (or \\UXXXX), \\xXX, control characters by letter, \\" and \\' of program literals. Surrogate pairs are one character; half a pair stays as it is written."""
+    unit, high, low = r"\\[uU][0-9A-Fa-f]{4}", r"\\[uU][dD][89abAB][0-9A-Fa-f]{2}", r"\\[uU][dD][c-fC-F][0-9A-Fa-f]{2}"
+    pieces = F.regexp_extract_all(s, F.lit(rf"(?s)({high}{low}|{unit}|\\x[0-9A-Fa-f]{{2}}|\\.|[^\\]+|\\$)"), F.lit(1))
+    letters = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v"}
+
+    def one(p: Column) -> Column:
+        half = (F.length(p) == 6) & p.rlike(rf"^(?:{high}|{low})$")
+        digits = F.when(p.rlike(r"^\\x[0-9A-Fa-f]{2}$"), F.concat(F.lit("00"), F.substring(p, 3, 2))).when(p.rlike(rf"^(?:{unit})+$"), F.regexp_replace(p, r"\\[uU]", ""))
+        c = F.when(half, p).when(digits.isNotNull(), F.decode(F.unhex(digits), "UTF-16BE"))
+        for letter, char in letters.items():
+            c = c.when(p == "\\" + letter, char)
+        return c.when(p.rlike(r"(?s)^\\."), F.substring(p, 2, 1)).otherwise(p)
+
     return F.array_join(F.transform(pieces, one), "")
 
 
