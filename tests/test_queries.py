@@ -2,6 +2,7 @@
 
 import math
 import os
+from types import SimpleNamespace as Fake
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tmweave.functions import text as fx
 from tmweave.operators import extract, reuse, rules
 from tmweave.plans import registry
+from tmweave.sources import folders
 from tmweave.streaming import incremental
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -136,6 +138,26 @@ def test_stream_batches(spark, tmp_path):
     assert got.count() == 5 and all("/all/batch=" in f for f in got.inputFiles())
 
 
+def test_changed_stream(spark, tmp_path):
+    """A version of a file comes through once over all batches, and not at all if it was seen before the stream."""
+    schema = "path string, hash string, size int"
+    for i, rows in enumerate([[("a", "1", 5), ("b", "1", 6)], [("a", "1", 5), ("a", "2", 7), (None, "1", 0)], [("a", "1", 5), ("b", "2", 8), (None, "1", 0)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    seen = spark.createDataFrame([("b", "2", "extra")], "path string, hash string, note string")
+    got = incremental.run(incremental.changed_stream(stream, seen), f"{tmp_path}/out", "append", f"{tmp_path}/c")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", "1", 5), ("b", "1", 6), ("a", "2", 7), (None, "1", 0)], key=repr)
+
+
+def test_shared_folder():
+    """Without spark.checkpoint.dir a local master gets a folder of its own, a cluster an error."""
+    session = lambda master, base: Fake(conf=Fake(get=lambda k, d: base), sparkContext=Fake(master=master, applicationId="app", getConf=lambda: Fake(get=lambda k, d: None)))
+    assert folders.new_path(session("spark://host:7077", "hdfs://x/y/"), "n").startswith("hdfs://x/y/n-")
+    assert folders.new_path(session("local[2]", None), "n").startswith("file://")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folders.new_path(session("spark://host:7077", None), "n")
+
+
 def test_exchange_parts(spark):
     """A large file goes out in numbered parts of bounded size, and all of it comes back."""
     rows = [("f", "de", i, f"source {i}", None, f"target {i}", None, 0) for i in range(250)]

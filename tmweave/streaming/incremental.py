@@ -14,6 +14,14 @@ def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     return files.join(seen.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
+def changed_stream(files: DataFrame, seen: DataFrame) -> DataFrame:
+    """As changed_files, for a stream of files: each version (path, hash) comes once, in the batch that brings it first; seen is static.
+
+    Null paths and hashes count as values of their own. The state holds a row per version; a watermark on the stream doesn't shorten it.
+    """
+    return changed_files(files, seen).dropDuplicates(["path", "hash"])
+
+
 def stale(now: DataFrame, before: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows of now that before lacks or differs from, with the reasons: missing, or the values' names."""
     b = before.select(*keys, *[F.col(v).alias(f"_{v}") for v in values], F.lit(1).alias("_has"))
