@@ -16,9 +16,9 @@ import ipaddress
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -134,18 +134,18 @@ def six(s: str) -> bool:
 
 
 def card_runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Whole groups of a run of digits that make a card number though the run doesn't: each group starts at most one."""
+    """Whole groups, of three digits and more, of a run of digits that make a card number though the run doesn't: each group starts at most one."""
     groups = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+", text[start:end])]
     free = 0
     for i, (a, _) in enumerate(groups):
         n = 0
         if a < free:
             continue
-        for x, b in islice(groups, i, i + 19):
+        for x, b in groups[i : i + 7]:
             n += b - x
-            if n > 19:
+            if n > 19 or b - x < 3:
                 break
-            if n >= 13 and (len(groups) > 1) and is_card(text[start + a : start + b]):
+            if n >= 13 and len(groups) > 1 and is_card(text[start + a : start + b]):
                 yield start + a, start + b
                 free = b
                 break
@@ -187,7 +187,7 @@ def candidates(text: str, good: list[Span], bad: list[Span]) -> list[Span]:
     starts = [a for a, _ in taken]
     out, free = [], [0] * len(KINDS)
     for kind, a, b in sorted(found, key=lambda s: (s[0], s[1], -s[2])):
-        i = int(np.searchsorted(starts, b))  # base spans of different kinds may overlap, but none is long: a few before it are enough to look at
+        i = bisect_left(starts, b)  # base spans of different kinds may overlap, but none is long: a few before it are enough to look at
         if a >= free[kind] and all(y <= a for _, y in taken[max(0, i - 8) : i]):
             out.append((kind, a, b))
             free[kind] = b
