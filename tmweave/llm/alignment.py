@@ -27,7 +27,7 @@ from .sp_model import SPACE, fields
 from .token_records import Encoder
 
 #: Bytes of texts aligned together; a longer text is a chunk alone. Chunks of about so many links are written together.
-TOGETHER, LINKS = 1 << 20, 1_000_000
+TOGETHER, LINKS = 1 << 20, 500_000
 #: Distinct parts of texts that a worker remembers with their pieces, and the power of two of slots for them.
 REMEMBER, SLOTS = 1_000_000, 21
 #: An id pair as one number: the one's id, shifted, and the other's.
@@ -185,6 +185,11 @@ def labels(one: ByteTokens, other: Pieces) -> tuple[list[str], int]:
     return _state["labels", id(one), id(other)]
 
 
+def forget() -> None:
+    """A worker goes on to other tasks, which need its memory."""
+    _state.clear()
+
+
 def align_texts(byte_file: str, piece_file: str, texts: list[str]) -> Aligned:
     return Aligned(tokens(ByteTokens, byte_file), tokens(Pieces, piece_file), texts)
 
@@ -251,6 +256,7 @@ def pair_counts(written: DataFrame) -> DataFrame:
     ship(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for k, n in zip(b.column("pairs").to_pylist(), b.column("pair_n").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["pair", "n"])
@@ -264,12 +270,14 @@ def with_counts(written: DataFrame, counts: DataFrame, id_type: str) -> DataFram
     """Documents of chunks, with the sums over their links. A chunk gets the counts of its own pairs only."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for c, k in zip(b.column("chunk").to_pylist(), b.column("pairs").to_pylist(), strict=True):
                 keys = np.frombuffer(k, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(keys), pa.string()), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys)], names=["chunk", "nth", "pair"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for row in range(b.num_rows):
                 get = lambda c: b.column(c)[row].as_py()  # noqa: B023, E731
