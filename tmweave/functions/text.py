@@ -204,6 +204,45 @@ def near_adjust(source: Column, target: Column, lang: Column) -> Column:
     return F.concat(F.regexp_extract(source, r"^\s*", 0), x, F.regexp_extract(source, r"\s*$", 0))
 
 
+WRAPPED = r"(?s)^(\s*<(\w+)[^<>]*>)(.+)(</\2>\s*)$"
+
+
+def unwrapped(s: Column) -> Column:
+    """Without a tag pair around the whole string."""
+    return F.when(s.rlike(WRAPPED), F.regexp_extract(s, WRAPPED, 3)).otherwise(s)
+
+
+def tags(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit(f"({TAG})"), F.lit(1))
+
+
+def _occurrences(found: Column) -> Column:
+    """Each tag with how many of the same stand up to it, so that repeated tags differ."""
+    return F.transform(found, lambda t, i: F.concat(t, F.lit("\x01"), F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x == t)).cast("string")))
+
+
+def substitute_tags(translation: Column, source: Column, wanted: Column) -> Column:
+    """A translation of source with the tags of wanted, a string with as many tags as source.
+
+    The n-th tag of source stands for the n-th of wanted; a translation's tag is the source's it equals (of equal ones: the one that is as manieth), wherever the translation has
+    moved it. Null if the numbers of tags differ, or the translation has a tag that its source hasn't.
+    """
+    have, want, mine = tags(source), tags(wanted), tags(translation)
+    by = F.map_from_arrays(_occurrences(have), F.slice(F.concat(want, F.array_repeat(F.lit(""), F.size(have))), F.lit(1), F.size(have)))
+    new = F.transform(_occurrences(mine), lambda k: F.try_element_at(by, k))
+    parts = F.split(translation, TAG)
+    made = F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get(new, i - 1), F.lit(""))), p)), "")
+    return F.when((F.size(have) == F.size(want)) & ~F.exists(new, lambda t: t.isNull()), made)
+
+
+def near_made(source: Column, found: Column, translation: Column, lang: Column) -> Column:
+    """The translation of a near match (found) made to fit source: its own tags, then white space, case and end punctuation, in its own wrapper. Null where tags can't be aligned."""
+    inner = substitute_tags(F.when(found.rlike(WRAPPED), unwrapped(translation)).otherwise(translation), unwrapped(found), unwrapped(source))
+    own = unwrapped(source)
+    made = near_adjust(own, inner, lang)
+    return F.when(source.rlike(WRAPPED), F.concat(F.regexp_extract(source, WRAPPED, 1), made, F.regexp_extract(source, WRAPPED, 4))).otherwise(made)
+
+
 HIDDEN = r"\$\{.*?\}|\{\{.*?\}\}|\{.*?\}|%[\w.]+%|%\d*\$?\w|\\[nrt]|</?\w+.*?>|&#?\w+;|https?://\S+|mailto:\S+"
 
 

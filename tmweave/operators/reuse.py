@@ -50,14 +50,20 @@ def best(targets: DataFrame, cand: DataFrame, reuse_orphaned: bool = True, reuse
     fitness is the largest over the subsets of what it agrees in, so one aggregation and one join by subset replace the
     product of targets with all candidates of the same text.
     """
+    out = best_or_conflict(targets, cand, reuse_orphaned, reuse_fuzzy)
+    out = out if uncertain else out.where("not many")
+    return out.select("item_id", "language", "target", "fuzzy", "fitness", "cand_item", F.col("many").cast("int").alias("variants"))
+
+
+def best_or_conflict(targets: DataFrame, cand: DataFrame, reuse_orphaned: bool = True, reuse_fuzzy: bool = True) -> DataFrame:
+    """item_id, language, target, fuzzy, fitness, cand_item, comment (the candidate's), and whether the text has more than one translation (many), of every target with a candidate."""
     cand = cand.where((F.lit(reuse_orphaned) | (F.col("orphaned") == 0)) & (F.lit(reuse_fuzzy) | (F.col("fuzzy") == 0)))
-    top = _keys(cand).groupBy("source", "language", "mask", "key").agg(F.min(F.struct("orphaned", "target", F.col("item_id").alias("cand_item"), "fuzzy")).alias("c"), (F.min("target") != F.max("target")).alias("many"))
+    top = _keys(cand).groupBy("source", "language", "mask", "key").agg(F.min(F.struct("orphaned", "target", F.col("item_id").alias("cand_item"), "fuzzy", "comment")).alias("c"), (F.min("target") != F.max("target")).alias("many"))
     hit = _keys(targets.select("item_id", "language", "source", "namespace", "path", "context")).join(top, ["source", "language", "mask", "key"])
     fitness = F.bit_count("mask") + 1 - F.col("c.orphaned")
-    pick = F.min(F.struct((-fitness).alias("worse"), F.col("c.target").alias("target"), F.col("c.cand_item").alias("cand_item"), F.col("c.fuzzy").alias("fuzzy")))
+    pick = F.min(F.struct((-fitness).alias("worse"), F.col("c.target").alias("target"), F.col("c.cand_item").alias("cand_item"), F.col("c.fuzzy").alias("fuzzy"), F.col("c.comment").alias("comment")))
     out = hit.groupBy("item_id", "language").agg(pick.alias("b"), F.max(F.when(F.col("mask") == 0, F.col("many"))).alias("many"))
-    out = out if uncertain else out.where("not many")
-    return out.select("item_id", "language", "b.target", "b.fuzzy", (-F.col("b.worse")).cast("int").alias("fitness"), "b.cand_item", F.col("many").cast("int").alias("variants"))
+    return out.select("item_id", "language", "b.target", "b.fuzzy", (-F.col("b.worse")).cast("int").alias("fitness"), "b.cand_item", "b.comment", F.coalesce("many", F.lit(False)).alias("many"))
 
 
 def as_fuzzy(language: Column, fuzzy: Column, default: bool = True, fuzzy_for: list[str] = (), not_fuzzy_for: list[str] = ()) -> Column:
@@ -88,16 +94,16 @@ def variants(cand: DataFrame) -> DataFrame:
 def near(targets: DataFrame, tm: dict[str, DataFrame], cand: DataFrame) -> DataFrame:
     """Translations of texts that differ only in tags, white space, case and end punctuation, made to look like the source.
 
-    Joined on the near key; the candidate's own best translation is adjusted step by step, and kept if the same steps turn its source into the target's.
+    Joined on the near key; the candidate's own best translation gets the target's tags where it has its source's, is adjusted step by step, and kept if the same steps turn its source into the target's.
     """
     sources = tm["strings"].select(F.col("string").alias("source")).distinct().withColumn("near", fx.near_key(F.col("source")))
     have = cand.where("target <> '' and orphaned = 0").groupBy("source", "language").agg(F.min(F.struct("fuzzy", "target")).alias("c"), (F.min("target") == F.max("target")).alias("one")).where("one")
     have = have.join(sources, "source").select(F.col("source").alias("cand_source"), "language", "near", "c.target", "c.fuzzy")
     want = targets.select("item_id", "language", "source").withColumn("near", fx.near_key(F.col("source")))
     hit = want.join(have, ["near", "language"]).where(F.col("source") != F.col("cand_source"))
-    made = fx.near_adjust(F.col("source"), F.col("target"), F.col("language"))
-    back = fx.near_adjust(F.col("source"), F.col("cand_source"), F.lit("en"))
-    hit = hit.where(back == F.col("source")).select("item_id", "language", F.struct("cand_source", made.alias("target")).alias("c"))
+    made = fx.near_made(F.col("source"), F.col("cand_source"), F.col("target"), F.col("language"))
+    back = fx.near_made(F.col("source"), F.col("cand_source"), F.col("cand_source"), F.lit("en"))
+    hit = hit.where((back == F.col("source")) & made.isNotNull()).select("item_id", "language", F.struct("cand_source", made.alias("target")).alias("c"))
     return hit.groupBy("item_id", "language").agg(F.min("c").alias("c")).select("item_id", "language", "c.target", F.lit(1).alias("fuzzy"), "c.cand_source")
 
 
@@ -111,6 +117,48 @@ def chain(targets: DataFrame, steps: list[tuple[str, DataFrame]]) -> DataFrame:
     return out.select("item_id", "language", first["target"].alias("target"), first["fuzzy"].alias("fuzzy"), name.alias("provenance"))
 
 
+def resolve(tm: dict[str, DataFrame], rules: list[tuple[str, list[str], bool]] = (), reuse_orphaned: bool = True, reuse_fuzzy: bool = True, uncertain: bool = False, near_match: bool = True, **fuzzy) -> DataFrame:
+    """Every live item in every language, resolved in order: exact, reuse, near, similar.
+
+    A step counts if it gives a text or a comment. Two things end the chain without a result: the string is skipped, or its text has several translations and uncertain isn't set (provenance skip and
+    conflict). Otherwise the languages of the rules are asked in order, each through its own exact, reuse and near steps (similar); what ends a chain there leaves the next language to be asked.
+    fuzzy: as_fuzzy's parameters. Gives item_id, language, target, fuzzy, comment, provenance (null: nothing found).
+    """
+    spark = tm["items"].sparkSession
+    items = tm["items"].where("orphaned = 0").join(tm["strings"], "string_id").join(tm["files"].select("file_id", "namespace", "path"), "file_id")
+    items = items.select("item_id", F.col("string").alias("source"), "namespace", "path", F.coalesce("context", F.lit("")).alias("context"), "skip")
+    asked = sorted({s for _, sources, _ in rules for s in sources})
+    own = tm["langs"].select("language")
+    more = spark.createDataFrame([(x,) for x in asked], "language string")
+    langs = own.withColumn("own", F.lit(True)).unionByName(more.join(own, "language", "left_anti").withColumn("own", F.lit(False)))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    have = tm["translations"].select("item_id", "language", F.col("string").alias("target"), "fuzzy", "comment").where(said("target") | said("comment"))
+    grid = items.crossJoin(langs).join(have, ["item_id", "language"], "left")
+    grid = grid.withColumn("provenance", F.when(F.col("skip") == 1, "skip").when(said("target") | said("comment"), "exact"))
+    done = grid.where("provenance IS NOT NULL").select("item_id", "language", "own", *(F.when(F.col("provenance") == "exact", F.col(c)).alias(c) for c in ("target", "fuzzy", "comment")), "provenance")
+    want = grid.where("provenance IS NULL").select("item_id", "language", "source", "namespace", "path", "context", "own")
+    cand = candidates(tm)
+    found = best_or_conflict(want, cand, reuse_orphaned, reuse_fuzzy).withColumn("fuzzy", F.when(F.col("fuzzy") == 1, 1).otherwise(as_fuzzy(F.col("language"), F.col("fuzzy"), **fuzzy)))
+    ends = F.col("many") & F.lit(not uncertain)
+    found = found.where(ends | said("target") | said("comment"))
+    found = found.select("item_id", "language", *(F.when(~ends, F.col(c)).alias(c) for c in ("target", "fuzzy", "comment")), F.when(ends, "conflict").otherwise("reuse").alias("provenance"))
+    steps = [found]
+    if near_match:
+        steps.append(near(want, tm, cand).select("item_id", "language", "target", "fuzzy", F.lit(None).cast("string").alias("comment"), F.lit("near").alias("provenance")))
+    out = want.select("item_id", "language", "own")
+    for n, df in enumerate(steps):
+        out = out.join(df.select("item_id", "language", F.struct("target", "fuzzy", "comment", "provenance").alias(f"s{n}")), ["item_id", "language"], "left")
+    out = out.withColumn("s", F.coalesce(*(F.col(f"s{n}") for n in range(len(steps))))).select("item_id", "language", "own", "s.target", "s.fuzzy", "s.comment", "s.provenance")
+    out = done.unionByName(out)
+    if rules:
+        there = out.where(said("target") | said("comment")).select("item_id", "language", "target", "fuzzy", "comment")
+        borrowed = similar(out.where("own AND provenance IS NULL"), there, rules)
+        out = out.join(borrowed.select("item_id", "language", F.struct("target", "fuzzy", "comment").alias("b")), ["item_id", "language"], "left")
+        pick = lambda c: F.coalesce(F.col(c), F.when(F.col("provenance").isNull(), F.col(f"b.{c}"))).alias(c)
+        out = out.select("item_id", "language", "own", pick("target"), pick("fuzzy"), pick("comment"), F.coalesce("provenance", F.when(F.col("b").isNotNull(), F.lit("similar"))).alias("provenance"))
+    return out.where("own").drop("own")
+
+
 def rewrite_all(tm: dict[str, DataFrame], changes: DataFrame) -> DataFrame:
     """Translations of other items with a changed item's source text, in its language, that differ from the new text.
 

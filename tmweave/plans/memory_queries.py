@@ -112,6 +112,57 @@ def near_match(tm):
     return reuse.near(want, tm, reuse.candidates(tm))
 
 
+TAGGED = "concat('Open <a href=\"', string_id % 5, '\">', string, '</a> <b>now</b>')"
+
+
+@query("""WITH have AS (SELECT s.string_id, s.string, t.language, min(t.string) AS t, min(t.fuzzy) AS fuzzy FROM tm_translations t JOIN tm_items i USING (item_id) JOIN tm_strings s USING (string_id) JOIN tm_files f ON f.file_id=i.file_id
+WHERE i.orphaned=0 AND f.orphaned=0 AND t.string IS NOT NULL GROUP BY ALL),
+src AS (SELECT 'Open <a href="'||(string_id%5)||'">'||string||'</a> <b>now</b>' AS cand_source, string, language, list(DISTINCT x) AS ts FROM (SELECT s.string_id, s.string, t.language, t.string AS x FROM tm_translations t JOIN tm_items i USING (item_id)
+ JOIN tm_strings s USING (string_id) JOIN tm_files f ON f.file_id=i.file_id WHERE i.orphaned=0 AND f.orphaned=0 AND t.string IS NOT NULL) GROUP BY ALL),
+one AS (SELECT cand_source, string, language, ts[1] AS t FROM src WHERE len(ts)=1),
+want AS (SELECT i.item_id, l.language, s.string FROM tm_items i JOIN tm_strings s ON s.string_id=i.string_id AND s.skip=0 CROSS JOIN tm_langs l WHERE i.orphaned=0 AND NOT EXISTS (SELECT 1 FROM tm_translations t WHERE t.item_id=i.item_id AND t.language=l.language)),
+hit AS (SELECT item_id, w.language, cand_source, t, row_number() OVER (PARTITION BY item_id, w.language ORDER BY cand_source) AS rn FROM want w JOIN one o ON o.string=w.string AND o.language=w.language)
+SELECT item_id, language, '<b>jetzt</b> <a href="x">'||t||'</a>' AS target, 1 AS fuzzy, cand_source FROM hit WHERE rn=1""")
+def near_match_tags(tm):
+    """The memory's texts in links, with translations that move the tags, and targets with links of their own."""
+    link = lambda c: F.expr(f"CASE WHEN {c} IS NOT NULL THEN concat('<b>jetzt</b> <a href=\"', string_id % 5, '\">', {c}, '</a>') END")
+    t = tm["translations"].join(tm["items"].select("item_id", "string_id"), "item_id").withColumn("string", link("string")).drop("string_id")
+    linked = tm | {"strings": tm["strings"].withColumn("string", F.expr(TAGGED)), "translations": t}
+    want = reuse.missing(linked).withColumn("source", F.regexp_replace("source", 'href="[0-9]"', 'href="x"'))
+    return reuse.near(want, linked, reuse.candidates(linked))
+
+
+RULES = [("fr", ["de"], True), ("pt-br", ["fr", "de"], False), ("pt-br", ["ja"], True)]
+
+
+@query("""WITH st AS MATERIALIZED (SELECT string_id, CASE WHEN string_id%3=1 THEN upper(string) ELSE string END AS string, coalesce(context,'') AS context, skip FROM tm_strings),
+cand AS MATERIALIZED (SELECT t.item_id, t.language, s.string AS source, f.namespace, f.path, s.context, greatest(i.orphaned,f.orphaned) AS orphaned, coalesce(t.string,'') AS target, t.fuzzy, t.comment
+ FROM tm_translations t JOIN tm_items i USING (item_id) JOIN st s USING (string_id) JOIN tm_files f ON f.file_id=i.file_id),
+grid AS MATERIALIZED (SELECT i.item_id, l.language, s.string AS source, f.namespace, f.path, s.context, s.skip, t.string AS target, t.fuzzy, t.comment, coalesce(t.string,'')<>'' OR coalesce(t.comment,'')<>'' AS found
+ FROM tm_items i JOIN st s USING (string_id) JOIN tm_files f ON f.file_id=i.file_id CROSS JOIN tm_langs l LEFT JOIN tm_translations t ON t.item_id=i.item_id AND t.language=l.language WHERE i.orphaned=0),
+want AS MATERIALIZED (SELECT * FROM grid WHERE skip=0 AND NOT found),
+v AS MATERIALIZED (SELECT source, language, count(DISTINCT target) AS n FROM cand GROUP BY ALL),
+w1 AS MATERIALIZED (SELECT w.*, v.n FROM want w LEFT JOIN v ON v.source=w.source AND v.language=w.language),
+subset AS MATERIALIZED (SELECT source, language, m, CASE WHEN m&1>0 THEN namespace ELSE '' END AS a, CASE WHEN m&2>0 THEN path ELSE '' END AS b, CASE WHEN m&4>0 THEN context ELSE '' END AS c, min({'o':orphaned,'t':target,'i':item_id,'f':fuzzy,'c':comment}) AS x FROM cand, range(8) r(m) GROUP BY ALL),
+scored AS (SELECT w.item_id, w.language, s.x, row_number() OVER (PARTITION BY w.item_id, w.language ORDER BY bit_count(s.m::TINYINT)+1-s.x.o DESC, s.x.t, s.x.i) AS rn FROM w1 w JOIN subset s ON s.source=w.source AND s.language=w.language AND s.a=CASE WHEN m&1>0 THEN w.namespace ELSE '' END
+ AND s.b=CASE WHEN m&2>0 THEN w.path ELSE '' END AND s.c=CASE WHEN m&4>0 THEN w.context ELSE '' END WHERE w.n=1),
+reuse AS MATERIALIZED (SELECT item_id, language, x.t AS target, CASE WHEN x.f=1 OR language='de' THEN 1 ELSE x.f END AS fuzzy, x.c AS comment FROM scored WHERE rn=1),
+one AS (SELECT source, language, min({'f':fuzzy,'t':target}) AS c FROM cand WHERE target<>'' AND orphaned=0 GROUP BY ALL HAVING min(target)=max(target)),
+near AS MATERIALIZED (SELECT w.item_id, w.language, min({'s':o.source,'t':CASE WHEN upper(w.source)=w.source THEN upper(o.c.t) WHEN w.language='de' THEN upper(o.c.t[1])||o.c.t[2:] ELSE upper(o.c.t[1])||lower(o.c.t[2:]) END}) AS x
+ FROM w1 w JOIN one o ON o.language=w.language AND lower(o.source)=lower(w.source) AND o.source<>w.source GROUP BY ALL),
+own AS MATERIALIZED (SELECT g.item_id, g.language, CASE WHEN g.skip=1 THEN 'skip' WHEN g.found THEN 'exact' WHEN w.n>1 THEN 'conflict' WHEN r.target<>'' OR r.comment<>'' THEN 'reuse' WHEN k.x IS NOT NULL THEN 'near' END AS provenance,
+ g.target AS t0, g.fuzzy AS f0, g.comment AS c0, r.target AS t1, r.fuzzy AS f1, r.comment AS c1, k.x.t AS t2 FROM grid g LEFT JOIN w1 w USING (item_id, language) LEFT JOIN reuse r USING (item_id, language) LEFT JOIN near k USING (item_id, language)),
+res AS MATERIALIZED (SELECT item_id, language, provenance, CASE provenance WHEN 'exact' THEN t0 WHEN 'reuse' THEN t1 WHEN 'near' THEN t2 END AS target, CASE provenance WHEN 'exact' THEN f0 WHEN 'reuse' THEN f1 WHEN 'near' THEN 1 END AS fuzzy, CASE provenance WHEN 'exact' THEN c0 WHEN 'reuse' THEN c1 END AS comment FROM own),
+r(language, rule, from_language, rule_fuzzy) AS (VALUES ('fr',0,'de',1),('pt-br',1,'de',0),('pt-br',1,'fr',0),('pt-br',2,'ja',1)),
+sim AS (SELECT a.item_id, a.language, b.target, greatest(b.fuzzy, r.rule_fuzzy) AS fuzzy, b.comment, row_number() OVER (PARTITION BY a.item_id, a.language ORDER BY rule, from_language) AS rn FROM res a JOIN r USING (language) JOIN res b ON b.item_id=a.item_id AND b.language=r.from_language AND (coalesce(b.target,'')<>'' OR coalesce(b.comment,'')<>'') WHERE a.provenance IS NULL)
+SELECT a.item_id, a.language, CASE WHEN a.provenance IS NULL THEN s.target ELSE a.target END AS target, CASE WHEN a.provenance IS NULL THEN s.fuzzy ELSE a.fuzzy END AS fuzzy, CASE WHEN a.provenance IS NULL THEN s.comment ELSE a.comment END AS comment,
+ CASE WHEN a.provenance IS NULL AND s.item_id IS NOT NULL THEN 'similar' ELSE a.provenance END AS provenance FROM res a LEFT JOIN sim s ON s.item_id=a.item_id AND s.language=a.language AND s.rn=1""")
+def resolved_translation(tm):
+    """The whole chain over a memory in which every third string is in capitals, so that near matches occur."""
+    shouted = tm | {"strings": tm["strings"].withColumn("string", F.expr("CASE WHEN string_id % 3 = 1 THEN upper(string) ELSE string END"))}
+    return reuse.resolve(shouted, RULES, default=False, fuzzy_for=["de"])
+
+
 def over_strings(name: str, sql: str, columns):
     """A query of string functions over the memory's strings; columns gives them by name."""
 
