@@ -221,25 +221,34 @@ def _occurrences(found: Column) -> Column:
     return F.transform(found, lambda t, i: F.concat(t, F.lit("\x01"), F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda x: x == t)).cast("string")))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is written into the plan once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def substitute_tags(translation: Column, source: Column, wanted: Column) -> Column:
     """A translation of source with the tags of wanted, a string with as many tags as source.
 
     The n-th tag of source stands for the n-th of wanted; a translation's tag is the source's it equals (of equal ones: the one that is as manieth), wherever the translation has
     moved it. Null if the numbers of tags differ, or the translation has a tag that its source hasn't.
     """
-    have, want, mine = tags(source), tags(wanted), tags(translation)
-    by = F.map_from_arrays(_occurrences(have), F.slice(F.concat(want, F.array_repeat(F.lit(""), F.size(have))), F.lit(1), F.size(have)))
-    new = F.transform(_occurrences(mine), lambda k: F.try_element_at(by, k))
-    parts = F.split(translation, TAG)
-    made = F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get(new, i - 1), F.lit(""))), p)), "")
-    return F.when((F.size(have) == F.size(want)) & ~F.exists(new, lambda t: t.isNull()), made)
+
+    def aligned(v: Column) -> Column:
+        at = lambda k: F.array_position(v["have"], k).cast("int") - 1
+        new = F.transform(v["mine"], lambda k: F.get(v["want"], F.when(at(k) >= 0, at(k))))
+        between = lambda p, i, ts: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get(ts, i - 1), F.lit(""))), p)
+        made = lambda ts: F.when(~F.exists(ts, lambda t: t.isNull()), F.array_join(F.transform(v["parts"], lambda p, i: between(p, i, ts)), ""))
+        return F.when(F.size(v["have"]) == F.size(v["want"]), let(new, made))
+
+    numbered = lambda c: let(tags(c), _occurrences)
+    return let(F.struct(numbered(source).alias("have"), tags(wanted).alias("want"), numbered(translation).alias("mine"), F.split(translation, TAG).alias("parts")), aligned)
 
 
 def near_made(source: Column, found: Column, translation: Column, lang: Column) -> Column:
     """The translation of a near match (found) made to fit source: its own tags, then white space, case and end punctuation, in its own wrapper. Null where tags can't be aligned."""
-    inner = substitute_tags(F.when(found.rlike(WRAPPED), unwrapped(translation)).otherwise(translation), unwrapped(found), unwrapped(source))
-    own = unwrapped(source)
-    made = near_adjust(own, inner, lang)
+    own = F.struct(unwrapped(source).alias("own"), unwrapped(found).alias("found"), F.when(found.rlike(WRAPPED), unwrapped(translation)).otherwise(translation).alias("translation"))
+    inner = let(own, lambda v: F.struct(v["own"].alias("own"), substitute_tags(v["translation"], v["found"], v["own"]).alias("inner")))
+    made = let(inner, lambda v: near_adjust(v["own"], v["inner"], lang))
     return F.when(source.rlike(WRAPPED), F.concat(F.regexp_extract(source, WRAPPED, 1), made, F.regexp_extract(source, WRAPPED, 4))).otherwise(made)
 
 

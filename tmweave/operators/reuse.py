@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmweave.functions import text as fx
+from tmweave.sources import folders
 
 SUBSETS = range(8)
 
@@ -151,6 +152,10 @@ def resolve(tm: dict[str, DataFrame], rules: list[tuple[str, list[str], bool]] =
     out = out.withColumn("s", F.coalesce(*(F.col(f"s{n}") for n in range(len(steps))))).select("item_id", "language", "own", "s.target", "s.fuzzy", "s.comment", "s.provenance")
     out = done.unionByName(out)
     if rules:
+        # read three times from here on
+        path = folders.new_path(spark, "resolved")
+        out.write.parquet(path)
+        out = spark.read.schema(out.schema).parquet(path)
         there = out.where(said("target") | said("comment")).select("item_id", "language", "target", "fuzzy", "comment")
         borrowed = similar(out.where("own AND provenance IS NULL"), there, rules)
         out = out.join(borrowed.select("item_id", "language", F.struct("target", "fuzzy", "comment").alias("b")), ["item_id", "language"], "left")
