@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tmweave.operators import markup
+from tmweave.sources import tree
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +77,18 @@ TS = """concat('<?xml version="1.0"?><!DOCTYPE TS><TS language="de" version="2.1
  UNION ALL SELECT p_partkey::VARCHAR, 'last:' || p_type, 'last', p_type, '', '' FROM part""")
 def extract_ts_any(spark, d):
     return markup.ts_units(made(spark, d, "part", "p_partkey", TS)).drop("pos")
+
+
+#: Bytes of the documents' texts in one encoding or another; the sixth kind isn't what it says, the seventh can't be decoded.
+RAW = r"""CASE doc_id % 7 WHEN 0 THEN encode(t, 'UTF-8') WHEN 1 THEN concat(X'EFBBBF', encode(t, 'UTF-8')) WHEN 2 THEN concat(X'FFFE', encode(t, 'UTF-16LE')) WHEN 3 THEN concat(X'FEFF', encode(t, 'UTF-16BE'))
+ WHEN 4 THEN concat(encode('<?xml version="1.0" encoding="iso-8859-1"?>', 'UTF-8'), encode(regexp_replace(t, '[^\\n -~¡-þ]', '?'), 'ISO-8859-1')) WHEN 5 THEN concat(encode(t, 'UTF-8'), X'E9') ELSE encode(concat('<?xml version="1.0" encoding="KOI8-R"?>', t), 'UTF-8') END"""
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 7 AS m, text AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id::VARCHAR AS path, CASE m WHEN 2 THEN 'UTF-16LE' WHEN 3 THEN 'UTF-16BE' WHEN 4 THEN 'ISO-8859-1' WHEN 6 THEN 'KOI8-R' ELSE 'UTF-8' END AS encoding,
+ CASE m WHEN 5 THEN 'not UTF-8' WHEN 6 THEN 'unknown encoding KOI8-R' END AS rejected,
+ CASE WHEN m < 4 THEN t WHEN m = 4 THEN '<?xml version="1.0" encoding="iso-8859-1"?>' || replace(regexp_replace(replace(t, chr(10), chr(13) || chr(10)), '[^\n -~¡-þ]', '?', 'g'), chr(13) || chr(10), chr(10)) END AS content FROM d""")
+def decode_files(spark, d):
+    """Files in several encodings, with line ends of two characters; some can't be decoded."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("t"))
+    return tree.decoded(rows.select(F.col("doc_id").cast("string").alias("path"), F.expr(RAW).alias("raw")))
