@@ -27,9 +27,11 @@ from .sp_model import SPACE, fields
 from .token_records import Encoder
 
 #: Bytes of texts aligned together; a longer text is a chunk alone. Chunks of about so many links are written together.
-TOGETHER, LINKS = 1 << 20, 500_000
-#: Distinct parts of texts that a worker remembers with their pieces, and the power of two of slots for them.
-REMEMBER, SLOTS = 1_000_000, 21
+TOGETHER, LINKS = 1 << 19, 500_000
+#: Distinct parts of texts that a worker remembers with the ids of either, and the power of two of slots for them. Rows of a batch that are unpacked at once.
+REMEMBER, SLOTS, ROWS = 500_000, 20, 500
+#: Tokens of a text that are written out at once.
+STRETCH = 1 << 16
 #: An id pair as one number: the one's id, shifted, and the other's.
 SHIFT = 32
 
@@ -45,12 +47,13 @@ class ByteTokens:
     def __init__(self, path: str):
         self.encoder = Encoder(path)
         self.encoder.whole.encode_special_tokens = True
+        self.encoder.parts = Parts(self.encoder.kind, lambda new: [self.encoder.part(x) for x in new], REMEMBER, SLOTS)
         back = {c: b for b, c in self.encoder.letters.items()}
         entry = [self.encoder.whole.id_to_token(i) or "" for i in range(self.encoder.size)]
         self.bytes = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in entry]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [x.astype(np.int64) for x in self.encoder.ids([" " + t for t in texts])]
+        return [x.astype(np.int32) for x in self.encoder.ids([" " + t for t in texts])]
 
 
 class Pieces:
@@ -79,11 +82,11 @@ class Pieces:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.plain:
-            return [np.array(x, np.int64) for x in self.sp.encode(texts, num_threads=1)]
+            return [np.array(x, np.int32) for x in self.sp.encode(texts, num_threads=1)]
         # a mark of its own would be taken for a space's, so such a text's parts aren't the model's
         odd = [SPACE in t or not t for t in texts]
         plain = iter(self.parts.encode([(" " + t).encode() for t, o in zip(texts, odd, strict=True) if not o]))
-        return [np.array(self.sp.encode(t), np.int64) if o else next(plain).astype(np.int64) for t, o in zip(texts, odd, strict=True)]
+        return [np.array(self.sp.encode(t), np.int32) if o else next(plain) for t, o in zip(texts, odd, strict=True)]
 
 
 def tokens(kind: type, path: str):
@@ -131,14 +134,16 @@ class Aligned:
     def __init__(self, one: ByteTokens, other: Pieces, texts: list[str]):
         self.one, self.other = one, other
         self.a, self.b, self.ok = [], [], []
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         for t, a, b in zip(texts, one.ids(texts), other.ids(texts), strict=True):
-            same = bool(t) and b"".join(map(one.bytes.__getitem__, a.tolist())) == (raw := b" " + t.encode()) == b"".join(map(other.bytes.__getitem__, b.tolist())) and len(raw) > 0
+            raw = b" " + t.encode()
+            same = bool(t) and spells(one.bytes, a, raw) and spells(other.bytes, b, raw)
             self.ok.append(same)
             self.a.append(a if same else none)
             self.b.append(b if same else none)
         self.n_a, self.n_b = (np.array([len(x) for x in xs], np.int64) for xs in (self.a, self.b))
         self.flat_a, self.flat_b = np.concatenate([*self.a, none]), np.concatenate([*self.b, none])
+        del self.a, self.b
         end_a, end_b = np.cumsum(sizes(one)[self.flat_a]), np.cumsum(sizes(other)[self.flat_b])
         docs = (np.cumsum(self.n_a) - 1)[self.n_a > 0]
         self.group_a = common_ends(end_a, end_b, docs) if len(end_a) else none
@@ -147,28 +152,46 @@ class Aligned:
         ends = np.concatenate([end_a, end_b])
         ends.sort(kind="stable")
         ends = ends[np.append(True, ends[1:] != ends[:-1])] if len(ends) else ends
-        self.link_a, self.link_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        self.text_of_a = np.repeat(np.arange(len(texts)), self.n_a)
+        self.link_a, self.link_b = np.searchsorted(end_a, ends).astype(np.int32), np.searchsorted(end_b, ends).astype(np.int32)
+        del ends
+        self.text_of_a = np.repeat(np.arange(len(texts), dtype=np.int32), self.n_a)
         self.n_groups = np.bincount(self.text_of_a[self.group_a], minlength=len(texts))
         self.n_links = np.bincount(self.text_of_a[self.link_a], minlength=len(texts))
 
     def pairs(self) -> np.ndarray:
-        return self.flat_a[self.link_a] << SHIFT | self.flat_b[self.link_b]
+        return self.flat_a[self.link_a].astype(np.int64) << SHIFT | self.flat_b[self.link_b]
 
-    def groups(self) -> list[str]:
-        """Groups of each text as text: ids of the one, |, ids of the other, ; between groups."""
+    def digests(self) -> list[str]:
+        """SHA-256 of each text's groups as text (ids of the one, |, ids of the other, ; between groups); '' where there are none."""
         words, width = labels(self.one, self.other)
-        inner_a, inner_b = np.ones(len(self.flat_a), np.int64), np.ones(len(self.flat_b), np.int64)
+        inner_a, inner_b = np.ones(len(self.flat_a), np.int32), np.ones(len(self.flat_b), np.int32)
         inner_a[self.group_a], inner_b[self.group_b] = 0, 0
         # where a token stands when the groups are written: after all tokens of its side and of the other side's earlier groups
         group_of_a = np.searchsorted(self.group_a, np.arange(len(self.flat_a)))
         group_of_b = np.searchsorted(self.group_b, np.arange(len(self.flat_b)))
         before_b = np.concatenate([[0], self.group_b + 1])
-        at = np.empty(len(self.flat_a) + len(self.flat_b), np.int64)
+        at = np.empty(len(self.flat_a) + len(self.flat_b), np.int32)
         at[np.arange(len(self.flat_a)) + before_b[group_of_a]] = self.flat_a * 2 + inner_a
         at[np.arange(len(self.flat_b)) + self.group_a[group_of_b] + 1] = width + self.flat_b * 2 + inner_b
-        ends = np.cumsum(self.n_a + self.n_b).tolist()
-        return ["".join(map(words.__getitem__, at[lo:hi].tolist()))[:-1] for lo, hi in zip([0, *ends], ends, strict=False)]
+        ends, out = np.cumsum(self.n_a + self.n_b).tolist(), []
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            sha = hashlib.sha256()
+            for i in range(lo, hi, STRETCH):
+                text = "".join(map(words.__getitem__, at[i : min(i + STRETCH, hi)].tolist()))
+                sha.update((text if i + STRETCH < hi else text[:-1]).encode())
+            out.append(sha.hexdigest() if hi > lo else "")
+        return out
+
+
+def spells(table: list[bytes], ids: np.ndarray, raw: bytes) -> bool:
+    """Whether the bytes of ids, end to end, are these."""
+    at = 0
+    for i in range(0, len(ids), STRETCH):
+        piece = b"".join(map(table.__getitem__, ids[i : i + STRETCH].tolist()))
+        if raw[at : at + len(piece)] != piece:
+            return False
+        at += len(piece)
+    return at == len(raw)
 
 
 def sizes(kind: ByteTokens | Pieces) -> np.ndarray:
@@ -232,13 +255,12 @@ def chunk_rows(docs: DataFrame, byte_file: str, piece_file: str, id_col: str, te
             data = [sink.getvalue().to_pybytes(), whole[3].astype(np.int64).tobytes(), rank[number].astype(kind).tobytes(), keys[order].tobytes(), n[order].astype(np.int64).tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([x], pa.binary()) for x in data)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
-        for b in batches:
-            texts = b.column("text").to_pylist()
+        for x in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            texts = x.column("text").to_pylist()
             for lo, hi in chunks([len(t) for t in texts], TOGETHER):
                 found = align_texts(byte_file, piece_file, texts[lo:hi])
-                said = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in found.groups()]
-                ids.append(b.column("doc_id").slice(lo, hi - lo))
-                cols.append((found.n_a, found.n_b, found.n_groups, found.n_links, np.array(said, object)))
+                ids.append(x.column("doc_id").slice(lo, hi - lo))
+                cols.append((found.n_a, found.n_b, found.n_groups, found.n_links, np.array(found.digests(), object)))
                 pairs.append(found.pairs())
                 held += len(pairs[-1])
                 if held >= LINKS:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -251,8 +251,11 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
     names = classes.select(F.col("cls").alias("v"), "name")
     half = 1 << 31  # sets and positions are smaller: an array's length is an int
     post = classes.select("cls", "n", "short", "cent", F.posexplode("toks").alias("pos", "tok"))
-    lists = post.groupBy("tok").agg(F.count("*").alias("c"), F.max_by("cls", "cent").alias("p"), F.max_by(F.col("n") * half + F.col("pos"), "cent").alias("at")).where("c > 1").select("tok", "p", "at")
-    met = stage(post.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "p", "at"), "join-postings")
+    # postings are shuffled once: each list's length and most central class are found where it stands
+    list_of = Window.partitionBy("tok")
+    top = F.max(F.struct("cent", "cls", (F.col("n") * half + F.col("pos")).alias("at"))).over(list_of)
+    met = post.withColumn("c", F.count("*").over(list_of)).withColumn("top", top).where("c > 1")
+    met = stage(met.select("tok", "cls", "n", "short", "pos", F.col("top.cls").alias("p"), F.col("top.at").alias("at")), "join-postings")
     near = feasible(F.col("n"), F.col("pos"), F.shiftright("at", 31), F.col("at") % half, num, den)
     star = met.where((F.col("cls") != F.col("p")) & near).select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
     pairs = stage(star, "join-pairs")
@@ -262,13 +265,11 @@ def linked(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, de
     roots = components(links, names)
     node = roots.select("v", F.col("name.node").alias("root"))
     named = met.join(node.select(F.col("v").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    named = stage(named.select("tok", "cls", "n", "short", "pos", "p", "root"), "join-named")
-    discard(met, roots)
     # the lists in which more than one component stands, with that of the centre; all others are done
-    centre = F.max(F.when(F.col("cls") == F.col("p"), F.col("root"))).alias("centre")
-    lists = named.groupBy("tok").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre).where("low < high").select("tok", "centre")
-    left = stage(named.join(lists, "tok").select("tok", "cls", "n", "short", "pos", "root", (F.col("root") != F.col("centre")).alias("other")), "join-mixed")
-    discard(named)
+    centre = F.max(F.when(F.col("cls") == F.col("p"), F.col("root"))).over(list_of)
+    mixed_lists = named.withColumn("low", F.min("root").over(list_of)).withColumn("high", F.max("root").over(list_of)).withColumn("centre", centre).where("low < high")
+    left = stage(mixed_lists.select("tok", "cls", "n", "short", "pos", "root", (F.col("root") != F.col("centre")).alias("other")), "join-mixed")
+    discard(met, roots)
     y, x = left.alias("y"), left.where("other").alias("x")
     smaller = (F.col("x.n") < F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))
     once = ~F.col("y.other") | (F.col("x.cls") < F.col("y.cls"))
