@@ -31,6 +31,37 @@ def upsert_units(strings: DataFrame, units: DataFrame) -> DataFrame:
     return numbered(fresh, "k").crossJoin(F.broadcast(top)).select((F.col("top") + F.col("nth")).alias("string_id"), "string", "context")
 
 
+def upsert_memory(tm: dict[str, DataFrame], units: DataFrame) -> dict[str, DataFrame]:
+    """Files, strings and items with those of units (namespace, job, path, pos, string, context, hint) put in, each with change: insert, update or none.
+
+    A file is known by namespace, job and path, a string by text and context, an item by both; what isn't known yet gets the numbers after the largest, in the order of its key's digest. Of several units of
+    one item the last one's hint counts; an item whose hint differs (null is empty) is updated. A second run over the same units changes nothing. Null jobs, namespaces and paths are values of their own.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.lit(""))
+    file_key = F.md5(F.concat_ws("\x01", none("namespace"), none("job"), none("path")))
+    units = units.withColumn("fk", file_key).withColumn("context", null_if_blank(F.col("context"))).withColumn("sk", fx.string_key(F.col("string"), F.col("context")))
+
+    def grown(old: DataFrame, key: str, id_col: str, fresh: DataFrame) -> DataFrame:
+        """old with the rows of fresh whose key it lacks, numbered; both have key and all columns but the id."""
+        new = fresh.dropDuplicates([key]).join(old.select(key), key, "left_anti")
+        top = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
+        new = numbered(new, key).crossJoin(F.broadcast(top)).withColumn(id_col, F.col("top") + F.col("nth")).withColumn("change", F.lit("insert"))
+        return old.withColumn("change", F.lit("none")).unionByName(new.drop("nth", "top"))
+
+    files = grown(tm["files"].select("file_id", "namespace", "job", "path").withColumn("fk", file_key), "fk", "file_id", units.select("fk", "namespace", "job", "path"))
+    strings = grown(tm["strings"].select("string_id", "string", "context").withColumn("sk", fx.string_key(F.col("string"), F.col("context"))), "sk", "string_id", units.select("sk", "string", "context"))
+    said = units.groupBy("fk", "sk").agg(F.max_by(F.struct(null_if_blank(F.col("hint")).alias("hint")), F.struct("pos", none("hint"))).alias("h"))
+    said = said.join(files.select("fk", "file_id"), "fk").join(strings.select("sk", "string_id"), "sk").select("file_id", "string_id", "h")
+    have = tm["items"].select("item_id", "file_id", "string_id", null_if_blank(F.col("hint")).alias("hint"))
+    both = have.withColumn("known", F.lit(True)).join(said, ["file_id", "string_id"], "full_outer")
+    change = F.when(F.col("known").isNull(), "insert").when(F.col("h").isNotNull() & ~F.col("h.hint").eqNullSafe(F.col("hint")), "update").otherwise("none")
+    both = both.select("item_id", "file_id", "string_id", F.when(F.col("h").isNotNull(), F.col("h.hint")).otherwise(F.col("hint")).alias("hint"), change.alias("change"))
+    new = both.where("change = 'insert'").withColumn("k", F.md5(F.concat_ws(":", F.col("file_id").cast("string"), F.col("string_id").cast("string"))))
+    top = tm["items"].agg(F.coalesce(F.max("item_id"), F.lit(0)).alias("top"))
+    new = numbered(new, "k").crossJoin(F.broadcast(top)).withColumn("item_id", F.col("top") + F.col("nth")).select("item_id", "file_id", "string_id", "hint", "change")
+    return {"files": files.drop("fk"), "strings": strings.drop("sk"), "items": both.where("change <> 'insert'").unionByName(new)}
+
+
 def numbered(df: DataFrame, order: str, buckets: int = 65536) -> DataFrame:
     """Adds nth: 1, 2, ... by order, a hex string: rows are ranked in buckets (a power of 16) of its first digits, and buckets' sizes are summed."""
     df = df.withColumn("b", F.substring(F.col(order), 1, (buckets.bit_length() - 1) // 4))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,26 +278,34 @@ def render_lines(files: DataFrame, pattern: str, translations: DataFrame, blank:
 def disambiguate(units: DataFrame) -> DataFrame:
     """Contexts that tell units of one file and text apart: own, then key, then hint, then base.1, base.2, ... in order.
 
-    units: path, pos, string, context, key, hint. Only units of one file and text meet in a group.
+    units: path, pos, string, context, key, hint. Rows of one file and text stand one after the other in one task, which passes over them once, batch by batch; it remembers the contexts that the text has,
+    and for each base the next number to try. Time grows in proportion to rows.
     """
 
-    def run(pdf):
-        pdf = pdf.sort_values("pos")
-        used, out = set(), []
-        for context, key, hint in zip(pdf["context"], pdf["key"], pdf["hint"], strict=True):
-            c = context or ""
-            for other in (key, hint):
-                if c in used and other:
-                    c = other
-            base, n = c or "context", 0
-            while c in used:
-                n += 1
-                c = f"{base}.{n}"
-            used.add(c)
-            out.append(c)
-        return pdf.assign(context=out)[["path", "pos", "string", "context"]]
-
-    return units.select("path", "pos", "string", "context", "key", "hint").groupBy("path", "string").applyInPandas(run, "path string, pos int, string string, context string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, tried = None, set(), {}
+        for b in batches:
+            out = []
+            for path, string, context, key, hint in zip(*(b.column(c).to_pylist() for c in ("path", "string", "context", "key", "hint")), strict=True):
+                if now != (path, string):
+                    now, used, tried = (path, string), set(), {}
+                c = context or ""
+                for other in (key, hint):
+                    if c in used and other:
+                        c = other
+                base = c or "context"
+                n = tried.get(base, 0)
+                while c in used:
+                    n += 1
+                    c = f"{base}.{n}"
+                if n:
+                    tried[base] = n
+                used.add(c)
+                out.append(c)
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("pos").cast(pa.int32()), b.column("string"), pa.array(out, pa.string())], names=["path", "pos", "string", "context"])
+
+    rows = units.select("path", "pos", "string", "context", "key", "hint").repartition("path", "string").sortWithinPartitions("path", "string", "pos")
+    return rows.mapInArrow(run, "path string, pos int, string string, context string")
 
 
 def disambiguate_plain(units: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tmweave.plans import corpus_queries, markup_queries, memory_queries, report_queries
+from tmweave.plans import change_queries, corpus_queries, markup_queries, memory_queries, report_queries
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (memory_queries, report_queries, corpus_queries, markup_queries):
+for _m in (memory_queries, report_queries, corpus_queries, markup_queries, change_queries):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
