@@ -244,11 +244,28 @@ def substitute_tags(translation: Column, source: Column, wanted: Column) -> Colu
     return let(F.struct(numbered(source).alias("have"), tags(wanted).alias("want"), numbered(translation).alias("mine"), F.split(translation, TAG).alias("parts")), aligned)
 
 
+#: Stands for a tag while a text is adjusted: a letter without case, so that case and end punctuation pass it by. Texts that hold it find no near match.
+MARK = "ꀀ"
+
+
 def near_made(source: Column, found: Column, translation: Column, lang: Column) -> Column:
-    """The translation of a near match (found) made to fit source: its own tags, then white space, case and end punctuation, in its own wrapper. Null where tags can't be aligned."""
+    """The translation of a near match (found) made to fit source: its own tags, then case and end punctuation of what stands between them, white space, and its own wrapper. Null where tags can't be aligned."""
     own = F.struct(unwrapped(source).alias("own"), unwrapped(found).alias("found"), F.when(found.rlike(WRAPPED), unwrapped(translation)).otherwise(translation).alias("translation"))
     inner = let(own, lambda v: F.struct(v["own"].alias("own"), substitute_tags(v["translation"], v["found"], v["own"]).alias("inner")))
-    made = let(inner, lambda v: near_adjust(v["own"], v["inner"], lang))
+
+    def parts(v: Column) -> Column:
+        masked = F.regexp_replace(v["inner"], TAG, MARK)
+        form = rf"(?s)^([{MARK}\s]*)(.*?)([{MARK}\s]*)$"
+        part = lambda n: F.regexp_extract(masked, form, n)
+        return F.struct(v["own"].alias("own"), F.trim(F.regexp_replace(v["own"], TAG, "")).alias("plain"), tags(v["inner"]).alias("tags"), part(1).alias("lead"), part(2).alias("core"), part(3).alias("tail"), v["inner"].contains(MARK).alias("odd"))
+
+    def whole(v: Column) -> Column:
+        new = F.when(v["core"] == "", "").otherwise(near_adjust(v["plain"], v["core"], lang))
+        texts = F.split(F.concat(v["lead"], new, v["tail"]), MARK)
+        joined = F.array_join(F.transform(texts, lambda t, i: F.concat(F.when(i == 0, "").otherwise(F.coalesce(F.get(v["tags"], i - 1), F.lit(""))), t)), "")
+        return F.when(~v["odd"], fit_whitespace(v["own"], joined))
+
+    made = let(let(inner, parts), whole)
     return F.when(source.rlike(WRAPPED), F.concat(F.regexp_extract(source, WRAPPED, 1), made, F.regexp_extract(source, WRAPPED, 4))).otherwise(made)
 
 

@@ -34,7 +34,7 @@ def kept(path: Column, match: Sequence[str] = (), exclude: Sequence[str] = (), d
 def listed(spark: SparkSession, root: str, prefix: str = "", **rules) -> DataFrame:
     """path (with prefix), size, modified, uri of the files under root that the rules (kept) keep, at any depth. No content is read.
 
-    Names that begin with a dot or an underscore aren't listed by Spark.
+    Empty files, and names that begin with a dot or an underscore, aren't listed by Spark.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString().rstrip("/")
