@@ -47,11 +47,15 @@ class ByteTokens:
     def __init__(self, path: str):
         self.encoder = Encoder(path)
         self.encoder.whole.encode_special_tokens = True
-        self.encoder.parts = Parts(self.encoder.kind, lambda new: [self.encoder.part(x) for x in new], REMEMBER, SLOTS)
+        self.forget()
         back = {c: b for b, c in self.encoder.letters.items()}
         entry = [self.encoder.whole.id_to_token(i) or "" for i in range(self.encoder.size)]
         self.bytes = [bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in entry]
 
+    def forget(self) -> None:
+        self.encoder.parts = Parts(self.encoder.kind, lambda new: [self.encoder.part(x) for x in new], REMEMBER, SLOTS)
+        self.encoder.words, self.encoder.older = {}, {}
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [x.astype(np.int32) for x in self.encoder.ids([" " + t for t in texts])]
 
@@ -74,6 +78,9 @@ class Pieces:
             spec = {k: dict(fields(v)) for k, v in fields(f.read()) if k == 3}.get(3, {})
         kept = not spec.get(2) and spec.get(3, 1) and not spec.get(4, 1)
         self.plain = bool(kept) and not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.forget()
+
+    def forget(self) -> None:
         self.parts = Parts(np.int32, self.solve, REMEMBER, SLOTS)
 
     def solve(self, parts: list[bytes]) -> list[np.ndarray]:
@@ -209,8 +216,10 @@ def labels(one: ByteTokens, other: Pieces) -> tuple[list[str], int]:
 
 
 def forget() -> None:
-    """A worker goes on to other tasks, which need its memory."""
-    _state.clear()
+    """What a worker remembers of texts goes: it goes on to other tasks, or waits beside workers that need the memory."""
+    for x in _state.values():
+        if isinstance(x, ByteTokens | Pieces):
+            x.forget()
 
 
 def align_texts(byte_file: str, piece_file: str, texts: list[str]) -> Aligned:
@@ -268,6 +277,7 @@ def chunk_rows(docs: DataFrame, byte_file: str, piece_file: str, id_col: str, te
                     ids, cols, pairs, held = [], [], [], 0
         if ids:
             yield packed()
+        forget()
 
     return rows.mapInArrow(run, CHUNK)
 
@@ -278,7 +288,6 @@ def pair_counts(written: DataFrame) -> DataFrame:
     ship(spark)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for b in batches:
             for k, n in zip(b.column("pairs").to_pylist(), b.column("pair_n").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["pair", "n"])
@@ -292,14 +301,12 @@ def with_counts(written: DataFrame, counts: DataFrame, id_type: str) -> DataFram
     """Documents of chunks, with the sums over their links. A chunk gets the counts of its own pairs only."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for b in batches:
             for c, k in zip(b.column("chunk").to_pylist(), b.column("pairs").to_pylist(), strict=True):
                 keys = np.frombuffer(k, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([c] * len(keys), pa.string()), pa.array(np.arange(len(keys), dtype=np.int32)), pa.array(keys)], names=["chunk", "nth", "pair"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
         for b in batches:
             for row in range(b.num_rows):
                 get = lambda c: b.column(c)[row].as_py()  # noqa: B023, E731
