@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tmweave.operators import markup
+from tmweave.operators import exchange, markup
 from tmweave.sources import tree
 
 QUERIES: dict = {}
@@ -92,3 +92,44 @@ def decode_files(spark, d):
     """Files in several encodings, with line ends of two characters; some can't be decoded."""
     rows = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).alias("t"))
     return tree.decoded(rows.select(F.col("doc_id").cast("string").alias("path"), F.expr(RAW).alias("raw")))
+
+
+#: Records with quotes, commas and line ends in fields, and two kinds of faulty files.
+CSV = r"""CASE p_partkey % 5 WHEN 3 THEN concat('Key,Comment\r\n', p_partkey, ',x\r\n') WHEN 4 THEN concat('Key,String\na,b\nk,', p_name, ',extra') ELSE
+ concat('KEY,Other,String,comment\r\n"k', p_partkey, '",,"say ""', p_name, '"", twice",', p_brand, '\r\nplain,o"o,', p_type, ',"two\nlines"\r\n', CASE WHEN p_partkey % 5 = 1 THEN '"",x,,' ELSE 'last,,"",""\r\n' END) END"""
+
+
+@query("""WITH p AS (SELECT p_partkey::VARCHAR AS path, p_partkey % 5 AS m, p_name, p_type, p_brand, p_partkey FROM part)
+SELECT path, 1 AS pos, 'k' || p_partkey AS key, 'say "' || p_name || '", twice' AS string, 'k' || p_partkey AS context, p_brand AS comment, NULL AS reason FROM p WHERE m < 3
+UNION ALL SELECT path, 2, 'plain', p_type, 'plain', 'two' || chr(10) || 'lines', NULL FROM p WHERE m < 3 UNION ALL SELECT path, 3, CASE m WHEN 1 THEN '' ELSE 'last' END, '', CASE m WHEN 1 THEN '' ELSE 'last' END, '', NULL FROM p WHERE m < 3
+UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, CASE m WHEN 3 THEN 'no column string' ELSE 'other number of fields in record 2' END FROM p WHERE m >= 3""")
+def csv_exchange_read(spark, d):
+    """Units by header, and the files that are left out with the reason."""
+    units, bad = exchange.csv_units(made(spark, d, "part", "p_partkey", CSV))
+    return units.withColumn("reason", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+
+
+#: PO files with line ends of two characters, without empty lines, with strings over several lines, plurals, and an id on a line of its own.
+PO = r"""replace(concat('msgid ""\nmsgstr ""\n"Language: de\\n"\n\n# first\n# second\n#. note\n#: ID:\n#: ', md5(concat(p_name, ' "q"', chr(1), p_brand)), '\n#, c-format, Fuzzy\nmsgctxt "', p_brand, '"\nmsgid ""\n"', p_name, ' "\n"\\"q\\""\nmsgstr "', p_type, '"\n',
+ '#: ID: ', md5(concat(p_name, chr(31), p_type, chr(1))), '\nmsgid "', p_name, '"\nmsgid_plural "', p_type, '"\nmsgstr[0] "eins"\nmsgstr[1] "zwei ', p_partkey, '"\n# only\n#: ID: ', md5(concat('c', chr(1))), '\n#, fuzzy\nmsgid "c"\nmsgstr ""\n#~ msgid "old"\n#~ msgstr "alt"\n',
+ '#: ID: 0\nmsgid "bad"\nmsgstr "x"\n\n\nmsgid "none"\nmsgstr "x"'), '\n', CASE WHEN p_partkey % 2 = 0 THEN '\r\n' ELSE '\n' END)"""
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, p_name || ' "q"' AS source, p_brand AS context, p_type AS target, 1 AS fuzzy, 'first' || chr(10) || 'second' AS comment FROM part
+UNION ALL SELECT p_partkey::VARCHAR, p_name || chr(31) || p_type, NULL, 'eins' || chr(31) || 'zwei ' || p_partkey, 0, '' FROM part UNION ALL SELECT p_partkey::VARCHAR, 'c', NULL, '', 0, 'only' FROM part""")
+def po_exchange_read(spark, d):
+    return exchange.po_import(made(spark, d, "part", "p_partkey", PO)).drop("pos", "id")
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, 'de' AS language, p_name || CASE WHEN p_partkey % 2 = 0 THEN chr(31) || p_type ELSE '' END AS source, nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END, '') AS context,
+ 'eins "' || p_type || CASE WHEN p_partkey % 2 = 0 THEN '"' || chr(31) || 'zwei' ELSE '"' END AS target, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS fuzzy, CASE WHEN p_partkey % 4 = 0 THEN 'a' || chr(10) || 'b' ELSE '' END AS comment FROM part""")
+def po_exchange_roundtrip(spark, d):
+    """Units written as PO files in parts and read back."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    e = {
+        "path": "CAST(p_partkey AS STRING)", "language": "'de'", "pos": "CAST(p_partkey AS INT)", "source": "concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN concat(chr(31), p_type) ELSE '' END)", "context": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_brand END",
+        "target": "concat('eins \"', p_type, CASE WHEN p_partkey % 2 = 0 THEN concat('\"', chr(31), 'zwei') ELSE '\"' END)", "fuzzy": "CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END", "comment": "CASE WHEN p_partkey % 4 = 0 THEN 'a\\nb' ELSE '' END", "hint": "p_type",
+    }
+    written = exchange.po_write(part.select(*(F.expr(v).alias(k) for k, v in e.items())), size=1000)
+    read = exchange.po_import(written)
+    return read.select(F.regexp_replace("path", r"\.\d+$", "").alias("path"), F.lit("de").alias("language"), "source", "context", "target", "fuzzy", "comment")
