@@ -220,11 +220,23 @@ def html_blocks(pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[
     whatever its name; nothing inside elements of other languages is, but for such ones. A page without any block is one itself (tag '').
     Tags are matched by name and level, so an element left open harms no other; ends that HTML lets one leave out are put in (with_ends).
     """
+    rows = html_rows(pages, include, exclude, language).where("nth > 0")
+    shown = F.when(F.col("inside") & (F.col("kind") != "other"), F.struct("pos", "raw"))
+    out = rows.groupBy("path", "nth").agg(F.max(F.when(F.col("unit"), F.col("tag"))).alias("tag"), F.array_sort(F.collect_list(shown)).alias("p"))
+    return out.select("path", (F.col("nth") - 1).cast("int").alias("pos"), "tag", joined("p"))
+
+
+def joined(pieces: str, name: str = "string") -> Column:
+    return F.array_join(F.transform(pieces, lambda x: x["raw"]), "").alias(name)
+
+
+def html_rows(pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), language: str = "en") -> DataFrame:
+    """Tokens of pages with nth (how many blocks have started), unit (whether a block starts here) and inside (whether it stands in the block)."""
     names = [t for t in (*EXTRACTED, *include) if t not in exclude]
     page = lambda pos, kind: F.struct(F.lit(pos).alias("pos"), F.lit(0).alias("sub"), F.lit("").alias("raw"), F.lit(kind).alias("kind"), F.lit("").alias("tag"), F.lit("").alias("attrs"))
     # the page's own start and end stand before and after all tokens
     bounds = pages.select("path", F.inline(F.array(page(-1, "open"), page((1 << 31) - 1, "close"))))
-    rows = with_ends(tokens(pages, HTML).where("kind <> 'other'").unionByName(bounds))
+    rows = with_ends(tokens(pages, HTML).unionByName(bounds))
     # an opening tag's end is the next closing tag of its name on its level; levels are counted from the back for ends
     step = F.when(opens(), 1).when(closes(), -1).otherwise(0)
     rows = rows.withColumn("level", so_far(step, in_order("tag")) + closes().cast("int"))
@@ -248,8 +260,84 @@ def html_blocks(pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[
     stops = F.col("own") | F.col("could") | (F.col("other") & (F.col("in_own") == 0))
     rows = rows.withColumn("stops", so_far(stops))
     rows = rows.withColumn("unit", F.col("own") | F.col("could") & (at_end("stops") == F.col("stops")))
-    rows = rows.withColumn("nth", so_far(F.col("unit"))).where("nth > 0")
-    rows = rows.withColumn("until", F.first("end").over(in_order("nth")))
-    inside = ~F.col("unit") & (F.struct("pos", "sub") < F.col("until")) & (F.col("raw") != "")
-    out = rows.groupBy("path", "nth").agg(F.max(F.when(F.col("unit"), F.col("tag"))).alias("tag"), F.array_sort(F.collect_list(F.when(inside, F.struct("pos", "raw")))).alias("p"))
-    return out.select("path", (F.col("nth") - 1).cast("int").alias("pos"), "tag", F.array_join(F.transform("p", lambda x: x["raw"]), "").alias("string"))
+    rows = rows.withColumn("unit", F.coalesce("unit", F.lit(False))).withColumn("nth", so_far(F.col("unit")))
+    rows = rows.withColumn("until", F.when(F.col("nth") > 0, F.first("end").over(in_order("nth"))))
+    inside = ~F.col("unit") & F.coalesce(F.struct("pos", "sub") < F.col("until"), F.lit(False)) & (F.col("raw") != "")
+    return rows.select("path", "pos", "sub", "raw", "kind", "tag", "attrs", "unit", "nth", inside.alias("inside"))
+
+
+# rebuilding ---------------------------------------------------------------------------
+
+
+def pieces(rows: DataFrame, *more: Column) -> DataFrame:
+    """path, nth, head, inner, tail of rows with nth, unit and inside: a unit's opening tag, what it holds, and all up to the next unit. Piece 0 is what stands before the first. Their concatenation in order is the file. more: aggregates."""
+    some = lambda c, name: F.array_sort(F.collect_list(F.when(c & (F.col("raw") != ""), F.struct("pos", "raw")))).alias(name)
+    got = rows.groupBy("path", "nth").agg(some(F.col("unit"), "h"), some(F.col("inside"), "i"), some(~F.col("unit") & ~F.col("inside"), "t"), *more)
+    return got.select("path", "nth", joined("h", "head"), joined("i", "inner"), joined("t", "tail"), *got.columns[5:])
+
+
+def html_pieces(pages: DataFrame, **how) -> DataFrame:
+    """Pieces of pages; key is the block's text as html_blocks gives it."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("inside") & (F.col("kind") != "other"), F.struct("pos", "raw")))).alias("s")
+    out = pieces(html_rows(pages, **how), shown)
+    return out.withColumn("key", F.when(F.col("nth") > 0, joined("s", "key"))).drop("s")
+
+
+def xml_pieces(files: DataFrame, unit: Column, key: Column, context: dict[str, Column] | None = None) -> DataFrame:
+    """Pieces of XML files. unit: condition on opening tags, of which none may stand inside another; key: a column of the tag's row. context: conditions on opening tags; name_attrs is the last such tag's attributes, name_nth how many units have come since."""
+    rows = placed(tokens(files)).withColumn("unit", F.col("kind").isin("open", "empty") & unit)
+    w = in_order()
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for name, c in (context or {}).items():
+        rows = rows.withColumn(f"{name}_attrs", F.last(F.when(opens() & c, F.col("attrs")), ignorenulls=True).over(upto)).withColumn(f"{name}_no", so_far(opens() & c))
+        rows = rows.withColumn(f"{name}_nth", so_far(F.col("unit"), in_order(f"{name}_no"), before=True))
+    rows = rows.withColumn("nth", so_far(F.col("unit"))).withColumn("key", F.when(F.col("unit"), key))
+    here = in_order("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = F.min(F.when(~F.col("unit"), F.col("depth")).otherwise(F.lit(1 << 30))).over(here)
+    inside = ~F.col("unit") & (F.col("nth") > 0) & (low > F.first("depth").over(here)) & (F.first("kind").over(here) == "open")
+    return pieces(rows.withColumn("inside", inside), F.max("key").alias("key"))
+
+
+def android_pieces(files: DataFrame) -> DataFrame:
+    """Android resources: strings by name, plural forms by name:quantity, array items by name:index; what isn't to be translated is no unit. The list's or the string's own attributes may stand in any order and in either kind of quotes."""
+    group = F.col("tag").isin("plurals", "string-array")
+    free = ~F.coalesce(attr(F.col("attrs"), "translatable"), F.lit("")).eqNullSafe("false")
+    unit = (F.col("tag") == "string") & free | (F.col("tag") == "item") & parent()["tag"].isin("plurals", "string-array") & ~F.coalesce(attr(F.col("list_attrs"), "translatable"), F.lit("")).eqNullSafe("false")
+    rows = placed(tokens(files))
+    upto = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("list_attrs", F.last(F.when(opens() & group, F.col("attrs")), ignorenulls=True).over(upto)).withColumn("list_no", so_far(opens() & group))
+    rows = rows.withColumn("unit", F.col("kind").isin("open", "empty") & unit).withColumn("item_no", so_far(F.col("unit") & (F.col("tag") == "item"), in_order("list_no"), before=True))
+    inner = F.when(F.col("tag") == "string", attr(F.col("attrs"), "name")).otherwise(F.concat_ws(":", attr(F.col("list_attrs"), "name"), F.coalesce(attr(F.col("attrs"), "quantity"), F.col("item_no").cast("string"))))
+    rows = rows.withColumn("nth", so_far(F.col("unit"))).withColumn("key", F.when(F.col("unit"), inner))
+    here = in_order("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = F.min(F.when(~F.col("unit"), F.col("depth")).otherwise(F.lit(1 << 30))).over(here)
+    inside = ~F.col("unit") & (F.col("nth") > 0) & (low > F.first("depth").over(here)) & (F.first("kind").over(here) == "open")
+    return pieces(rows.withColumn("inside", inside), F.max("key").alias("key"))
+
+
+def resx_pieces(files: DataFrame) -> DataFrame:
+    """Values of .resx data elements, by name."""
+    return xml_pieces(files, (F.col("tag") == "value") & (parent()["tag"] == "data"), attr(F.col("data_attrs"), "name"), {"data": F.col("tag") == "data"})
+
+
+def tag_units(found: DataFrame) -> DataFrame:
+    """Units of pieces: path, pos, key, string (its text), raw (as it stands); blank ones are none."""
+    rows = found.where("nth > 0").select("path", (F.col("nth") - 1).cast("int").alias("pos"), "key", text_of(F.col("inner")).alias("string"), F.col("inner").alias("raw"))
+    return rows.where("trim(string) <> ''")
+
+
+def rebuilt(found: DataFrame, translations: DataFrame, size: int | None = None) -> DataFrame:
+    """Files in each language of translations (path, key, language, target: markup as it is to stand): path, language, part, content. What has no translation stays as it is, byte by byte.
+
+    A file is put together in parts of size pieces, if given, so that no task needs to hold a large one whole; parts in order make it up. Languages are few.
+    """
+    langs = translations.select("language").distinct()
+    have = translations.where("target IS NOT NULL").groupBy("path", "key", "language").agg(F.min("target").alias("target"))
+    rows = found.crossJoin(langs).join(have, ["path", "key", "language"], "left")
+    hollow = F.col("head").endswith("/>")
+    name = F.regexp_extract("head", r"^<([^\s/>]+)", 1)
+    filled = F.concat(F.regexp_replace("head", r"\s*/>$", ">"), "target", F.lit("</"), name, F.lit(">"))
+    text = F.when(F.col("target").isNull() | (F.col("nth") == 0), F.concat("head", "inner", "tail")).when(hollow, F.concat(filled, "tail")).otherwise(F.concat("head", "target", "tail"))
+    part = F.floor(F.col("nth") / size).cast("int") if size else F.lit(0)
+    got = rows.groupBy("path", "language", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("nth", text.alias("raw")))).alias("p"))
+    return got.select("path", "language", "part", joined("p", "content"))

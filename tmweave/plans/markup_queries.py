@@ -133,3 +133,34 @@ def po_exchange_roundtrip(spark, d):
     written = exchange.po_write(part.select(*(F.expr(v).alias(k) for k, v in e.items())), size=1000)
     read = exchange.po_import(written)
     return read.select(F.regexp_replace("path", r"\.\d+$", "").alias("path"), F.lit("de").alias("language"), "source", "context", "target", "fuzzy", "comment")
+
+
+ANDROID = """concat('<?xml version="1.0"?>\n<resources>\n <!-- c -->\n <string\n  name=''a', p_partkey, ''' x="a/b">', p_name, '</string><string translatable="false" name="n">', p_name, '</string>\n <plurals name="p"><item quantity="one">', p_type, '</item>\n<item quantity=''many''>many <b>', p_type, '</b></item></plurals>',
+ '<string-array name="l"><item>', p_brand, '</item><item/></string-array>\n</resources>\n')"""
+#: The same with what the translations put in.
+ANDROID_DE = """'<?xml version="1.0"?>' || chr(10) || '<resources>' || chr(10) || ' <!-- c -->' || chr(10) || ' <string' || chr(10) || '  name=''a' || p_partkey || ''' x="a/b">' || '[' || p_name || ']' || '</string><string translatable="false" name="n">' || p_name || '</string>' || chr(10) || ' <plurals name="p"><item quantity="one">' || p_type || '</item>' || chr(10)
+ || '<item quantity=''many''>[many <b>' || p_type || '</b>]</item></plurals><string-array name="l"><item>' || p_brand || '</item><item>neu</item></string-array>' || chr(10) || '</resources>' || chr(10)"""
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, 0 AS pos, 'a' || p_partkey AS key, p_name AS string, p_name AS raw FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, 'p:one', p_type, p_type FROM part
+ UNION ALL SELECT p_partkey::VARCHAR, 2, 'p:many', 'many ' || p_type, 'many <b>' || p_type || '</b>' FROM part UNION ALL SELECT p_partkey::VARCHAR, 3, 'l:0', p_brand, p_brand FROM part""")
+def extract_android_any(spark, d):
+    return markup.tag_units(markup.android_pieces(made(spark, d, "part", "p_partkey", ANDROID)))
+
+
+@query(f"SELECT p_partkey::VARCHAR AS path, 'de' AS language, {ANDROID_DE} AS content FROM part")
+def render_android(spark, d):
+    """Some units translated, the rest as it stands, put together from parts."""
+    found = markup.android_pieces(made(spark, d, "part", "p_partkey", ANDROID))
+    some = markup.tag_units(found).where("key LIKE 'a%' OR key = 'p:many'").select("path", "key", F.lit("de").alias("language"), F.concat(F.lit("["), "raw", F.lit("]")).alias("target"))
+    new = found.where("key = 'l:1'").select("path", "key", F.lit("de").alias("language"), F.lit("neu").alias("target"))
+    parts = markup.rebuilt(found, some.union(new), size=2)
+    whole = parts.groupBy("path", "language").agg(F.array_sort(F.collect_list(F.struct("part", F.col("content").alias("raw")))).alias("p"))
+    return whole.select("path", "language", markup.joined("p", "content"))
+
+
+@query("SELECT page_id::VARCHAR AS path, 'de' AS language, html AS content FROM pages WHERE html IS NOT NULL AND html <> ''")
+def rebuild_pages(spark, d):
+    """Pages cut into pieces around their blocks and put together again without a translation: byte for byte what they were."""
+    pages = made(spark, d, "pages", "page_id", "html")
+    return markup.rebuilt(markup.html_pieces(pages), spark.createDataFrame([("", "", "de", None)], "path string, key string, language string, target string")).select("path", "language", "content")
