@@ -28,11 +28,19 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSED_BY = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that may stand inside a sentence; whatever they hold goes, and the sentence goes on.
+QUIET = frozenset("script style noscript template svg math canvas audio video object iframe button select textarea datalist map picture source track param".split())
 #: Words in class, id or role that mark what isn't the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup sidebar side-bar widget menu nav navbar navigation breadcrumb breadcrumbs toolbar pager pagination footer header masthead comment comments commentlist reply replies respond disqus discussion related recommended share sharing social login search skip post-comments left-sidebar right-sidebar".split())
 #: Beginnings of words that mark the same; other parts of words with hyphens say nothing (has-sidebar, no-ads, entry-header).
 PREFIXES = ("ad-box", "ad-slot", "ad-unit", "ad-banner", "ad-container", "ads-", "advert-", "advertisement-", "sponsored-", "promo-", "cookie-", "consent-", "gdpr-", "newsletter-", "nav-", "navbar-", "breadcrumb-", "comment-", "comments-", "disqus-", "related-posts", "related-articles", "related-links", "share-button", "share-links", "share-bar", "sharing-", "social-", "sidebar-", "site-header", "site-footer", "page-footer", "main-nav", "site-nav", "main-menu")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Last parts of names with hyphens that mark the same, parts beside which they say nothing, and words for boxes, before which they count as well.
+WEAK = frozenset("ad ads advert advertisement sponsor sponsored promo banner cookie cookies cookiebar consent gdpr notice notices newsletter subscribe signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs pagination footer comment comments disqus legal imprint copyright related recommended share sharing social login".split())
+NOT_WEAK = frozenset("has no not without with is in on entry post article story content text body title headline layout grid row col".split())
+BOXES = frozenset("wrapper wrap links section box block container area bar list inner panel region slot unit".split())
+#: The part of the page's prose that makes an article element one of several.
+ALSO = 0.1
 #: The part of the page's text beyond which class, id, role or being a form alone don't drop an element; the part of the text around the region that must be content for the region to grow; characters per tag that are prose on any page.
 HELD, NEAR, PROSE = 0.5, 0.5, 20
 #: Width of the smoothing in lines; the part of the content's text that an article or main element, or any other element, must hold to be the region.
@@ -57,11 +65,75 @@ def against(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> int:
             return HARD
         if tag in ("html", "body", "article", "main"):
             continue
-        if k == "role" and v in ROLES or k in ("class", "id") and any(w in MARKS or w.startswith(PREFIXES) for w in _SPACE.split(v.replace("_", "-"))):
+        if k == "role" and v in ROLES or k in ("class", "id") and any(w in MARKS or w.startswith(PREFIXES) or weak(w) for w in _SPACE.split(v.replace("_", "-"))):
             found = SOFT
     return found
 
 
+def weak(name: str) -> bool:
+    """Whether a name with hyphens is, by its last part, or the one before a word for a box, the name of something beside the article; and no other part says that it belongs to it."""
+    parts = name.split("-")
+    if parts[-1] in BOXES and len(parts) > 1:
+        parts.pop()
+    return parts[-1] in WEAK and not any(p in NOT_WEAK for p in parts)
+
+
+#: What decides where a tag ends: a quote that opens a value, or what may close one, or a bracket.
+EDGE = re.compile(r"""=\s*['"]|[<>'"]""")
+#: What ends comments and marked sections.
+COMMENT_END, SECTION_END, CONDITION_END = re.compile(r"--\s*>"), re.compile(r"\]\s*\]\s*>"), re.compile(r"\]\s*>")
+
+
+def settled(html: str) -> str:
+    """The page with every < as text that starts nothing which ends: the parser would look for the end of each to the page's last character.
+
+    From the last bracket or quote to the first it is known for each whether a tag that goes on there ends: outside of quotes, inside single or inside double ones.
+    """
+    if "<" not in html:
+        return html
+    last = html.rfind(">")
+    ends: dict[re.Pattern, int] = {}
+
+    def after(form: re.Pattern) -> int:
+        """Where the last of these starts."""
+        if form not in ends:
+            ends[form] = max((m.start() for m in form.finditer(html)), default=-1)
+        return ends[form]
+
+    free = single = double = False
+    hopeless = []
+    for m in reversed([(m.start(), m[0]) for m in EDGE.finditer(html)]):
+        at, c = m
+        if c == ">":
+            free = True
+        elif c == "<":
+            n = html[at + 1 : at + 2]
+            if n.isascii() and n.isalpha():
+                lost = not free
+            elif html.startswith("<!--", at):
+                lost = at + 2 > after(COMMENT_END)
+            elif html.startswith("<![", at):
+                name = html[at + 3 : at + 12].lower()
+                lost = at > after(SECTION_END if name.startswith(("cdata", "temp", "ignore", "include", "rcdata")) else CONDITION_END)
+            else:
+                lost = n != "" and n in "/!?" and at > last
+            if lost:
+                hopeless.append(at)
+        elif c[0] == "=":
+            free, single, double = (single if c[-1] == "'" else double), (free if c[-1] == "'" else single), (double if c[-1] == "'" else free)
+        elif c == "'":
+            single = free
+        else:
+            double = free
+    if not hopeless:
+        return html
+    out, at = [], 0
+    for x in reversed(hopeless):
+        out += [html[at:x], "&lt;"]
+        at = x + 1
+    return "".join([*out, html[at:]])
+
+
 def closed(html: str) -> str:
     """The page with ends for raw-text elements that have none, put where the next block may begin, so that they don't take the rest of the page with them."""
     if not RAW_TEXT.search(html):
@@ -125,10 +197,10 @@ class Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        if tag in INLINE:
+        if tag in INLINE or tag in QUIET:
             if tag == "br":
                 self.text.append(" ")
-        else:
+        elif not (self.hard and self.text):  # what goes doesn't end the sentence that it stands in
             self.flush()
             if tag in ENDS_P:
                 self.close_open({"p"}, set())
@@ -138,7 +210,7 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         kind = against(tag, attrs, bool(self.open.get("article") or self.open.get("main")))
-        if kind and tag in INLINE:
+        if kind == SOFT and tag in INLINE:
             self.flush()
         self.up.append(self.stack[-1] if self.stack else 0)
         self.kind.append(kind)
@@ -154,15 +226,15 @@ class Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self.n_tags += 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in QUIET and not (self.hard and self.text):
             self.flush()
         if not self.open.get(tag):
             return
         for d in range(len(self.stack) - 1, -1, -1):
             i = self.stack[d]
             if self.tag[i] == tag:
-                if tag in INLINE and self.kind[i]:
-                    self.flush() if self.kind[i] == SOFT else self.text.clear()
+                if tag in INLINE and self.kind[i] == SOFT:
+                    self.flush()
                 self.pop_to(d)
                 return
             if tag in INLINE and self.tag[i] not in INLINE:
@@ -234,15 +306,20 @@ def region_of(p: Page, ratio: list[float]) -> int:
     smooth = smoothed(ratio)
     cut = threshold(smooth)
     content = p.sums([n if r >= cut else 0 for n, r in zip(size, smooth, strict=True)])
+    # content by itself: above the cut of the ratios' logarithms, which one very long paragraph hardly moves, or prose
+    least = min(PROSE, math.exp(threshold([math.log(max(r, 1e-9)) for r in ratio])))
+    held, prose = p.sums(size), p.sums([n if r >= least else 0 for n, r in zip(size, ratio, strict=True)])
     # elements are numbered in page order, so the last one with enough of the content is the innermost
     named = [i for i, t in enumerate(p.tag) if t in ("article", "main") and content[i] > SHARE * content[0]]
     if named:
-        return named[-1]
+        region = named[-1]
+        several = [i for i, t in enumerate(p.tag) if t == "article" and prose[i] >= ALSO * prose[0]]
+        # one of several articles: the innermost element around them all
+        while not all(map(p.inside({region}).__getitem__, several)):
+            region = p.up[region]
+        return region
     lines = p.sums([1] * len(size))
     region = max(i for i, m in enumerate(content) if i == 0 or m >= MOST * content[0] and lines[i] > 1)
-    # content by itself: above the cut of the ratios' logarithms, which one very long paragraph hardly moves, or prose
-    least = min(PROSE, math.exp(threshold([math.log(max(r, 1e-9)) for r in ratio])))
-    held, prose = p.sums(size), p.sums([n if r >= least else 0 for n, r in zip(size, ratio, strict=True)])
     while region and prose[p.up[region]] - prose[region] >= NEAR * (held[p.up[region]] - held[region]):
         region = p.up[region]
     return region
@@ -251,10 +328,10 @@ def region_of(p: Page, ratio: list[float]) -> int:
 def main_text(html: str | None) -> str:
     """The blocks of the article, joined by two line feeds. Null, empty or nothing but boilerplate: an empty string.
 
-    Time grows in proportion to the page's length, however deep its elements lie.
+    Time grows in proportion to the page's length, however deep its elements lie, and whatever is left open.
     """
     p = Page()
-    p.feed(closed(html or ""))
+    p.feed(closed(settled(html or "")))
     p.close()
     p.flush()
     gone = p.spoken_against()
