@@ -46,7 +46,7 @@ def sets_of(column: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray
 
 
 def keys_of(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each set, alike for equal sets: two sums of differently mixed hashes."""
+    """Two longs for each set, alike for equal sets: sums of differently mixed 64-bit hashes; a set of one shingle has no more than its 64 bits."""
     out, begin = [], np.concatenate([[0], ends[:-1]])
     for x in (mixed(h + STEP), mixed(h * STEP + M1)):
         total = np.concatenate([[np.uint64(0)], np.cumsum(x)])
@@ -302,7 +302,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts, or texts without words, have no shingles and link with nothing: component_id is their own id. Rows of a null
     id take part, but give no component its name; a group of such rows only has a null. Rows that repeat an id are each a row
     of the result, and each stands in the group of its own text. No rows: no rows. Other columns don't come through.
-    Texts of any length are read whole; candidates are compared by their words, and equal sets are known by 128 bits of keyed hashes.
+    Texts of any length are read whole; candidates are compared by their words, and equal sets are known by two sums of their shingles' keyed 64-bit hashes (of a single shingle: by those 64 bits).
     """
     rows, named = linked(docs, id_col, text_col, words, num, den)
     return with_names(rows, named).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("component_id"))
