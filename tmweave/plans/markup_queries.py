@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tmweave.operators import exchange, markup
+from tmweave.operators import exchange, formats, markup
 from tmweave.sources import tree
 
 QUERIES: dict = {}
@@ -164,3 +164,34 @@ def rebuild_pages(spark, d):
     """Pages cut into pieces around their blocks and put together again without a translation: byte for byte what they were."""
     pages = made(spark, d, "pages", "page_id", "html")
     return markup.rebuilt(markup.html_pieces(pages), spark.createDataFrame([("", "", "de", None)], "path string, key string, language string, target string")).select("path", "language", "content")
+
+
+STRINGS = r"""concat('/* first */\n/* Class = "X" */\n/* ', p_name, ' */\n"a##ctx', p_partkey, '" = "', p_name, '"; // tail \n\n/* gone */\n\n/* kept */\n"p" = "Placeholder: x"; // too\nbare1 = "say \\"', p_type, '\\"\nand \\U00e9"  ;\n/* no unit */\n"empty" = "";\n"last\\"q" = "', p_brand, '";')"""
+
+
+@query(r"""SELECT p_partkey::VARCHAR AS path, 'a##ctx' || p_partkey AS key, p_name AS string, 'ctx' || p_partkey AS context, 'first' || chr(10) || 'tail' || chr(10) || 'a' AS hint FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 'bare1', 'say "' || p_type || '"' || chr(10) || 'and é', NULL, 'kept' || chr(10) || 'too' || chr(10) || 'bare1' FROM part
+UNION ALL SELECT p_partkey::VARCHAR, 'last"q', p_brand, NULL, 'no unit' || chr(10) || 'empty' || chr(10) || 'last"q' FROM part""")
+def extract_strings_table(spark, d):
+    return formats.strings_table(made(spark, d, "part", "p_partkey", STRINGS)).drop("pos")
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, p_name AS string, 'k1' AS context, p_type AS hint FROM part UNION ALL SELECT p_partkey::VARCHAR, p_brand, 'k "2"', NULL FROM part""")
+def extract_chrome_messages(spark, d):
+    return formats.chrome_messages(made(spark, d, "part", "p_partkey", """concat('{"k1": {"description": "', p_type, '", "message": "', p_name, '", "placeholders": {"a": {"content": "$1"}}}, "k \\\\"2\\\\"": {"message": "', p_brand, '"}, "k3": {"message": ""}}')"""))
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, 0 AS pos, 'k' || p_partkey AS key, p_name || ' ' || p_type AS string, 'c1' || chr(10) || p_brand AS hint FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, 'z', p_brand, NULL FROM part""")
+def extract_locjson(spark, d):
+    return formats.locjson(made(spark, d, "part", "p_partkey", """concat('{"properties": {"version": 1}, "units": [{"key": "k', p_partkey, '", "properties": {"comments": ["c1", "', p_brand, '"], "x": 1}, "source": ["', p_name, ' ", "', p_type, '"]}, {"source": ["', p_brand, '"], "key": "z"}]}')"""))
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, '/a/b[0]' AS key, p_name AS string FROM part UNION ALL SELECT p_partkey::VARCHAR, '/a/c', p_brand FROM part""")
+def extract_jsonp(spark, d):
+    files = made(spark, d, "part", "p_partkey", """concat('callback(\\n{"a": {"b": ["', p_name, '", 3, true], "c": "', p_brand, '", "id": "', p_partkey, '"}, "d": "', p_type, '"}\\n);')""")
+    return formats.json_paths(files, matches=["^/a/"], excludes=["/id$"], jsonp=True)
+
+
+@query("""SELECT p_partkey::VARCHAR AS path, 0 AS pos, p_name || chr(10) || 'two' AS string, p_brand AS context, 'h' AS hint, ['f1', 'f2'] AS flags FROM part UNION ALL SELECT p_partkey::VARCHAR, 1, p_type, NULL, 'only', [] FROM part""")
+def extract_master_lines(spark, d):
+    return formats.master(made(spark, d, "part", "p_partkey", """concat('x <%', p_name, '\\ntwo%%', p_brand, '%%h%%f1, f2%> y <%', p_type, '%%%%only%> <%%> 5%>')"""))
