@@ -11,6 +11,7 @@ pairs; only those lists, with counts, are shuffled, summed and sent back to thei
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -216,10 +217,13 @@ def labels(one: ByteTokens, other: Pieces) -> tuple[list[str], int]:
 
 
 def forget() -> None:
-    """What a worker remembers of texts goes: it goes on to other tasks, or waits beside workers that need the memory."""
+    """What a worker remembers of texts goes, and its memory back to the system: it goes on to other tasks, or waits beside workers that need it."""
     for x in _state.values():
         if isinstance(x, ByteTokens | Pieces):
             x.forget()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def align_texts(byte_file: str, piece_file: str, texts: list[str]) -> Aligned:
