@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tmweave.operators import markup
 from tmweave.plans import corpus_queries
 
 
@@ -27,3 +28,9 @@ def test_rrc_keys_of_letters(spark):
     d = tempfile.mkdtemp(prefix="tmweave-")
     spark.createDataFrame([(1, "42 no\nab yes\na_1 no\nc2 no\nÈ no")], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
     assert [tuple(r) for r in corpus_queries.extract_rrc(spark, d).collect()] == [("1", 1, "ab#0", "yes", "ab#0")]
+
+
+def test_xliff_joins_nothing(spark):
+    for df in (markup.xliff_source(files(spark)), markup.xliff_import(files(spark))):
+        assert "Join" not in plan(df)
+        assert dealt(df) == 4

@@ -1,12 +1,13 @@
 """Markup as rows of tokens: elements at any depth, whatever the order of attributes and children.
 
 A file is cut into tokens that make it up again, so what is read by places in the stream can be rebuilt by them. Depth is a running sum over a file's
-tokens; an element ends at the next closing tag of its name on its level. All windows are over one file's tokens in order: one shuffle.
+tokens; an element ends at the next closing tag of its name on its level. Whole files are dealt over partitions of bounded size before they are cut (spread),
+so tokens are never shuffled; all windows are over one file's tokens in order, and XML's all in the same one, so a partition is sorted once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,19 +34,36 @@ EXTRACTED = ("h1", "h2", "h3", "h4", "h5", "h6", "h7", "p", "li", "dt", "dd", "l
 LEVELS = 16
 
 ORDER = ["pos", "sub"]
+#: Characters of content in a partition of files, about; its tokens take some twenty times as much memory.
+SPREAD = 500_000
 
 
-def tokens(files: DataFrame, pattern: str = XML) -> DataFrame:
-    """path, pos, sub (0), raw, kind (open, close, empty, text, cdata, other), tag (# of what isn't one), attrs of each token of files (path, content). HTML's tags are in lower case."""
+def spread(files: DataFrame, size: int = SPREAD, content: str = "content") -> DataFrame:
+    """Files (path, content) dealt over as many partitions by path as their content needs, a file whole. It counts the content's length first, so that a partition doesn't grow with the input; no task sorts more than its partition's tokens."""
+    total = files.agg(F.sum(F.length(content))).first()[0] or 0
+    return files.repartition(-(-total // size) or 1, "path")
+
+
+def tokens(files: DataFrame, pattern: str = XML, bounds: bool = False) -> DataFrame:
+    """path, pos, sub (0), raw, kind (open, close, empty, text, cdata, other), tag (# of what isn't one), attrs of each token of files (path, content). HTML's tags are in lower case. bounds: an element named '' around each file, null ones too."""
     html = pattern == HTML
-    rows = files.select("path", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("pos", "raw"))
-    raw, name = F.col("raw"), F.regexp_extract("raw", r"^</?([^\s/<>]+)", 1)
+    found, ends = F.regexp_extract_all("content", F.lit(pattern), F.lit(0)), F.array(F.lit(""))
+    if bounds:  # no token is empty
+        rows = spread(files).select("path", F.posexplode(F.concat(ends, F.coalesce(found, F.array().cast("array<string>")), ends)).alias("pos", "raw")).withColumn("pos", F.col("pos") - 1)
+    else:
+        rows = spread(files).select("path", F.posexplode(found).alias("pos", "raw"))
+    raw, second = F.col("raw"), F.substring("raw", 2, 1)
+    # of the pattern's tokens only tags, comments, CDATA, declarations and instructions begin with < and go on
+    rows = rows.withColumn("_name", F.when(raw.startswith("<") & (F.length(raw) > 1) & ~second.isin("!", "?"), F.regexp_extract("raw", r"^</?([^\s/<>]+)", 1)))
+    name = F.col("_name")
     tag = F.lower(name) if html else name
     empty = raw.endswith("/>") | (tag.isin(*VOID) if html else F.lit(False))
-    kind = F.when(raw.startswith("<![CDATA["), "cdata").when(~raw.rlike(r"^</?[A-Za-z_][^<]*>$") & raw.rlike(r"(?s)^<[!?].*>$"), "other").when(raw.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$") if html else F.lit(False), "other")
-    kind = kind.when(raw.rlike(r"(?s)^</[A-Za-z_].*>$"), "close").when(raw.rlike(r"(?s)^<[A-Za-z_].*>$"), F.when(empty, "empty").otherwise("open")).otherwise("text")
-    rows = rows.withColumn("kind", kind).withColumn("tag", F.when(F.col("kind").isin("open", "close", "empty"), tag).otherwise("#"))
-    attrs = F.when(F.col("kind").isin("open", "empty"), F.regexp_extract("raw", r"(?s)^<[^\s/<>]+(.*?)/?>$", 1)).otherwise("")
+    whole = F.lower(second).eqNullSafe("s") & F.contains(raw, F.lit("</")) & raw.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$") if html else F.lit(False)
+    edge = F.when(raw == "", F.when(F.col("pos") < 0, "open").otherwise("close")) if bounds else F
+    kind = edge.when(~raw.startswith("<") | (F.length(raw) == 1), "text").when(raw.startswith("<![CDATA["), "cdata").when(second.isin("!", "?") | whole, "other").when(second == "/", "close").when(empty, "empty").otherwise("open")
+    rows = rows.withColumn("kind", kind).withColumn("tag", F.when(F.col("kind").isin("open", "close", "empty"), F.coalesce(tag, F.lit(""))).otherwise("#"))
+    own = F.length("_name") + F.when(raw.endswith("/>"), 3).otherwise(2)
+    attrs = F.when(F.col("kind").isin("open", "empty") & (raw != ""), raw.substr(F.length("_name") + 2, F.length(raw) - own)).otherwise("")
     return rows.select("path", "pos", F.lit(0).alias("sub"), "raw", "kind", "tag", attrs.alias("attrs"))
 
 
@@ -73,6 +91,11 @@ def so_far(c: Column, w=None, before: bool = False) -> Column:
     return F.coalesce(F.sum(c.cast("long")).over(w), F.lit(0))
 
 
+def since(count: str, c: Column) -> Column:
+    """What a running number has grown by since the last row for which c holds, or the first."""
+    return F.col(count) - F.coalesce(F.last(F.when(c, F.col(count)), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0))
+
+
 def opens() -> Column:
     return F.col("kind") == "open"
 
@@ -84,28 +107,42 @@ def closes() -> Column:
 # XML ----------------------------------------------------------------------------------
 
 
-def placed(toks: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """Adds depth (open elements around a token; around its element for tags) and up (places and tags of those, from the root, levels at most). Well-formed XML."""
+def placed(toks: DataFrame, names: tuple[str, ...], levels: int = LEVELS) -> DataFrame:
+    """Adds depth (open elements around a token; around its element for tags) and, for opening and empty tags, up (places and tags of those, from the root, levels at most; a tag not among names is ''). Well-formed XML."""
     step = F.when(opens(), 1).when(closes(), -1).otherwise(0)
     rows = toks.withColumn("depth", so_far(step) - opens().cast("int"))
     w = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = F.struct("pos", "tag")
-    at = [F.last(F.when(opens() & (F.col("depth") == i), here), ignorenulls=True).over(w) for i in range(levels)]
-    return rows.withColumn("up", F.slice(F.array(*at), F.lit(1), F.least(F.col("depth"), F.lit(levels)).cast("int")))
-
-
-def elements(rows: DataFrame, wanted: Column) -> DataFrame:
-    """path, pos, tag, attrs, depth, up, inner of the elements wanted (a condition on their opening tags, of which none may stand inside another)."""
-    starts = F.col("kind").isin("open", "empty") & wanted
-    rows = rows.withColumn("start", starts).withColumn("nth", so_far(F.col("start"))).where("nth > 0")
-    w = in_order("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.first("depth").over(w)
-    inside = F.min(F.when(~F.col("start"), F.col("depth")).otherwise(F.lit(1 << 30))).over(w) > first
-    rows = rows.withColumn("inside", inside & ~F.col("start") & (F.first("kind").over(w) == "open"))
+    # the last element opened on each level, as one number of its place and name: places grow
+    room = len(names) + 1
+    known = F.array(*map(F.lit, names))
+    here = F.col("pos").cast("long") * room + F.array_position(known, F.col("tag"))
+    rows = rows.withColumn("_here", F.when(opens(), here))
+    at = [F.max(F.when(F.col("depth") == i, F.col("_here"))).over(w).alias(f"_at{i}") for i in range(levels)]
+    rows = rows.select(*toks.columns, "depth", *at)
+    held = F.slice(F.array(*(f"_at{i}" for i in range(levels))), F.lit(1), F.greatest(F.least(F.col("depth"), F.lit(levels)), F.lit(0)).cast("int"))
+    spelt = F.array(F.lit(""), *map(F.lit, names))
+    up = F.transform(held, lambda x: F.struct((x / room).cast("int").alias("pos"), F.get(spelt, (x % room).cast("int")).alias("tag")))
+    return rows.select(*toks.columns, "depth", F.when(F.col("kind").isin("open", "empty"), up).alias("up"))
+
+
+def within(rows: DataFrame, wanted: Column, name: str = "inside") -> DataFrame:
+    """Adds start (wanted tags, opening or empty) and inside: whether a token stands in the last element wanted. The element ends where its depth comes again, which only a closing tag can bring about."""
+    rows = rows.withColumn("start", F.coalesce(F.col("kind").isin("open", "empty") & wanted, F.lit(False)))
+    upto = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_at", F.last(F.when(F.col("start"), F.when(opens(), F.col("depth")).otherwise(F.lit(1 << 30))), ignorenulls=True).over(upto))
+    on = F.last(F.when(F.col("start"), True).when(F.col("depth") <= F.col("_at"), False), ignorenulls=True).over(upto)
+    return rows.withColumn(name, ~F.col("start") & F.coalesce(on, F.lit(False))).drop("_at")
+
+
+def elements(rows: DataFrame, wanted: Column, also: Column | None = None) -> DataFrame:
+    """path, pos, tag, attrs, depth, up, inner of the elements wanted (a condition on their opening tags, of which none may stand inside another). also: a condition on opening tags outside of those, which come too, with a null inner."""
+    rows = within(rows, wanted)
+    other = ~F.col("start") & ~F.col("inside") & opens() & also if also is not None else F.lit(False)
+    rows = rows.withColumn("other", F.coalesce(other, F.lit(False))).withColumn("nth", so_far(F.col("start") | F.col("other"))).where("start OR other OR inside")
     piece = F.array_sort(F.collect_list(F.when(F.col("inside"), F.struct("pos", "raw"))))
-    own = lambda c: F.max(F.when(F.col("start"), F.col(c))).alias(c)
-    got = rows.groupBy("path", "nth").agg(own("pos"), own("tag"), own("attrs"), own("depth"), own("up"), piece.alias("p"))
-    return got.select("path", "pos", "tag", "attrs", "depth", "up", F.array_join(F.transform("p", lambda x: x["raw"]), "").alias("inner"))
+    own = lambda c: F.max(F.when(~F.col("inside"), F.col(c))).alias(c)
+    got = rows.groupBy("path", "nth").agg(own("pos"), own("tag"), own("attrs"), own("depth"), own("up"), own("start"), piece.alias("p"))
+    return got.select("path", "pos", "tag", "attrs", "depth", "up", F.when(F.col("start"), joined("p")).alias("inner"))
 
 
 def parent(n: int = 1) -> Column:
@@ -113,10 +150,9 @@ def parent(n: int = 1) -> Column:
     return F.try_element_at("up", F.lit(-n))
 
 
-def owned(rows: DataFrame, owner: Column, child: Column) -> DataFrame:
-    """Elements (child) with owner_pos: the nearest element around them for which owner (of the struct of place and tag) holds."""
-    near = F.filter("up", owner)
-    return elements(rows, child).withColumn("owner_pos", F.try_element_at(near, F.lit(-1))["pos"])
+def nearest(owner: Callable[[Column], Column]) -> Column:
+    """Place of the nearest element around for which owner (of the struct of place and tag) holds."""
+    return F.try_element_at(F.filter("up", owner), F.lit(-1))["pos"]
 
 
 def first_of(tag: str, value: Column) -> Column:
@@ -132,35 +168,42 @@ def xliff(files: DataFrame) -> DataFrame:
 
     A unit of version 2 has one row for each segment. Attributes and children may stand in any order; alternatives (alt-trans) are no units. The
     hint: file, groups and unit (file-original:, group-id:, unit-id:), then their notes, each a paragraph. Files that aren't well-formed give rows up to where they break.
+
+    Nothing is joined: a unit and what is around it meet in groups and windows of their file, which stays in its partition.
     """
-    rows = placed(tokens(files))
     is_unit = lambda x: x["tag"].isin(*UNITS)
-    unit = lambda x: x["tag"].isin("trans-unit", "unit")
     named = lambda x: x["tag"].isin("file", "group", "trans-unit", "unit")
-    text = owned(rows, is_unit, F.col("tag").isin("source", "target") & is_unit(parent()))
-    text = text.groupBy("path", F.col("owner_pos").alias("pos")).agg(first_of("source", F.col("inner")).alias("source"), first_of("target", F.col("inner")).alias("target"), F.first("up").alias("up"))
-    text = text.where("source is not null")
-    note = F.col("tag").isin("note") & (named(parent()) | (parent()["tag"].isin("header", "notes") & named(parent(2))))
-    notes = owned(rows, named, note).groupBy("path", F.col("owner_pos").alias("at")).agg(F.array_sort(F.collect_list(F.struct("pos", text_of(F.col("inner")).alias("note")))).alias("notes"))
-    owners = rows.where(F.col("kind").isin("open") & F.col("tag").isin("file", "group", *UNITS)).select("path", F.col("pos").alias("at"), F.col("tag").alias("what"), "attrs")
-    owners = owners.join(notes, ["path", "at"], "left")
-    around = text.select("path", "pos", F.explode("up").alias("o")).select("path", "pos", F.col("o.pos").alias("at")).join(owners, ["path", "at"])
+    is_text = F.col("tag").isin("source", "target") & is_unit(parent())
+    is_note = F.col("tag").isin("note") & (named(parent()) | (parent()["tag"].isin("header", "notes") & named(parent(2))))
+    found = elements(placed(tokens(files), ("header", "notes", "file", "group", *UNITS)), is_text | is_note, F.col("tag").isin("file", "group", *UNITS))
+    owner, note = F.col("inner").isNull(), F.col("tag") == "note"
+    # by owner: what it is, its notes, and the source and target of a unit
+    at = F.when(owner, F.col("pos")).when(note, nearest(named)).otherwise(nearest(is_unit))
+    owners = found.groupBy("path", at.alias("at")).agg(
+        F.max(F.when(owner, F.col("tag"))).alias("what"), F.max(F.when(owner, F.col("attrs"))).alias("attrs"), first_of("source", F.col("inner")).alias("source"), first_of("target", F.col("inner")).alias("target"),
+        F.max(F.when(F.col("tag").isin("source", "target"), F.col("up"))).alias("up"), F.array_sort(F.collect_list(F.when(note, F.struct("pos", text_of(F.col("inner")).alias("note"))))).alias("notes"),
+    )
+    # a unit goes to all that is around it, and takes its own texts to itself only
+    around = F.transform("up", lambda o: F.struct(o["pos"].alias("at"), F.col("at").alias("pos")))
+    places = F.concat(F.array(F.struct("at", F.lit(None).cast("int").alias("pos"))), F.when(F.col("source").isNotNull(), around).otherwise(F.array().cast("array<struct<at:int,pos:int>>")))
+    rows = owners.withColumn("_o", F.explode(places)).withColumn("_own", F.col("_o.pos").isNull())
+    only = lambda c, when: F.when(when, F.col(c)).alias(c)
+    itself = F.col("_o.pos") == F.col("_o.at")
+    rows = rows.select("path", F.col("_o.at").alias("at"), F.col("_o.pos").alias("pos"), F.when(F.col("_own") & F.col("what").isNotNull(), F.struct("what", "attrs", "notes")).alias("_own"), only("source", itself), only("target", itself))
+    rows = rows.withColumn("_own", F.first("_own", ignorenulls=True).over(Window.partitionBy("path", "at"))).where("pos IS NOT NULL AND _own IS NOT NULL").select("path", "at", "pos", "source", "target", "_own.*")
     kind = F.when(F.col("what").isin("trans-unit", "unit"), "unit").otherwise(F.col("what"))
     name = F.when(kind == "file", attr(F.col("attrs"), "original")).when(kind.isin("group", "unit"), attr(F.col("attrs"), "id"))
     label = F.when(F.coalesce(name, F.lit("")) != "", F.concat(kind, F.when(kind == "file", "-original:").otherwise("-id:"), name))
     said = F.transform("notes", lambda n: F.concat(F.initcap(kind), F.lit(" note: "), n["note"]))
-    parts = around.groupBy("path", "pos").agg(
-        F.array_sort(F.collect_list(F.struct("at", label.alias("label"), F.coalesce(said, F.array().cast("array<string>")).alias("said")))).alias("a"),
-        F.max_by("attrs", F.when(unit(F.struct(F.col("what").alias("tag"))), F.col("at"))).alias("unit_attrs"),
-        F.max_by("notes", F.when(unit(F.struct(F.col("what").alias("tag"))), F.col("at"))).alias("unit_notes"),
-        F.max(F.when(F.col("at") == F.col("pos"), F.col("attrs"))).alias("own_attrs"),
+    unit = F.when(kind == "unit", F.col("at"))
+    out = rows.groupBy("path", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("at", label.alias("label"), said.alias("said")))).alias("a"), F.max_by("attrs", unit).alias("unit_attrs"), F.max_by("notes", unit).alias("unit_notes"),
+        F.max(F.when(F.col("at") == F.col("pos"), F.col("attrs"))).alias("own_attrs"), F.max("source").alias("source"), F.max("target").alias("target"),
     )
     tags = F.array_join(F.filter(F.transform("a", lambda x: x["label"]), lambda x: x.isNotNull()), " ")
-    paragraphs = F.flatten(F.transform("a", lambda x: x["said"]))
-    hint = F.array_join(F.concat(F.array(tags), paragraphs), "\n\n")
-    out = text.drop("up").join(parts, ["path", "pos"])
-    joined = F.array_join(F.transform("unit_notes", lambda n: n["note"]), "\n")
-    return out.select("path", "pos", attr(F.col("own_attrs"), "id").alias("key"), "source", "target", attr(F.col("unit_attrs"), "approved").alias("approved"), F.coalesce(joined, F.lit("")).alias("notes"), hint.alias("hint"))
+    hint = F.array_join(F.concat(F.array(tags), F.flatten(F.transform("a", lambda x: x["said"]))), "\n\n")
+    notes = F.array_join(F.transform("unit_notes", lambda n: n["note"]), "\n")
+    return out.select("path", "pos", attr(F.col("own_attrs"), "id").alias("key"), "source", "target", attr(F.col("unit_attrs"), "approved").alias("approved"), F.coalesce(notes, F.lit("")).alias("notes"), hint.alias("hint"))
 
 
 def xliff_source(files: DataFrame) -> DataFrame:
@@ -181,14 +224,16 @@ def ts_units(files: DataFrame) -> DataFrame:
 
     The context is the group's name and the message's comment on a line each, the key context and source, the hint the extra comment. Places and other children don't matter; messages without a source go.
     """
-    rows = placed(tokens(files))
-    message = owned(rows, lambda x: x["tag"] == "message", F.col("tag").isin("source", "translation", "comment", "extracomment") & (parent()["tag"] == "message"))
-    said = lambda t: first_of(t, text_of(F.col("inner")))
-    message = message.withColumn("group", F.when(parent(2)["tag"] == "context", parent(2)["pos"]))
-    message = message.groupBy("path", F.col("owner_pos").alias("pos")).agg(F.first("group").alias("group"), *(said(t).alias(t) for t in ("source", "translation", "comment", "extracomment"))).where("source <> ''")
-    names = owned(rows, lambda x: x["tag"] == "context", (F.col("tag") == "name") & (parent()["tag"] == "context")).groupBy("path", F.col("owner_pos").alias("group")).agg(first_of("name", text_of(F.col("inner"))).alias("name"))
-    out = message.join(names, ["path", "group"], "left").withColumn("context", F.concat_ws("\n", "name", "comment"))
-    return out.select("path", "pos", F.concat_ws(":", "context", "source").alias("key"), "context", "source", F.coalesce("translation", F.lit("")).alias("translation"), F.coalesce("extracomment", F.lit("")).alias("hint"))
+    part = F.col("tag").isin("source", "translation", "comment", "extracomment") & (parent()["tag"] == "message")
+    found = elements(placed(tokens(files), ("message", "context")), part | (F.col("tag") == "name") & (parent()["tag"] == "context"))
+    group = F.when(F.col("tag") == "name", parent()["pos"]).when(parent(2)["tag"] == "context", parent(2)["pos"])
+    message = F.when(F.col("tag") != "name", nearest(lambda x: x["tag"] == "message"))
+    said = lambda t: first_of(t, text_of(F.col("inner"))).alias(t)
+    rows = found.groupBy("path", message.alias("pos"), group.alias("group")).agg(*(said(t) for t in ("name", "source", "translation", "comment", "extracomment")))
+    # a group's name may stand behind its messages; messages without a group have none
+    name = F.first("name", ignorenulls=True).over(Window.partitionBy("path", "group"))
+    rows = rows.withColumn("name", F.when(F.col("group").isNotNull(), name)).where("pos IS NOT NULL AND source <> ''").withColumn("context", F.concat_ws("\n", "name", "comment"))
+    return rows.select("path", "pos", F.concat_ws(":", "context", "source").alias("key"), "context", "source", F.coalesce("translation", F.lit("")).alias("translation"), F.coalesce("extracomment", F.lit("")).alias("hint"))
 
 
 # HTML ---------------------------------------------------------------------------------
@@ -233,10 +278,7 @@ def joined(pieces: str, name: str = "string") -> Column:
 def html_rows(pages: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), language: str = "en") -> DataFrame:
     """Tokens of pages with nth (how many blocks have started), unit (whether a block starts here) and inside (whether it stands in the block)."""
     names = [t for t in (*EXTRACTED, *include) if t not in exclude]
-    page = lambda pos, kind: F.struct(F.lit(pos).alias("pos"), F.lit(0).alias("sub"), F.lit("").alias("raw"), F.lit(kind).alias("kind"), F.lit("").alias("tag"), F.lit("").alias("attrs"))
-    # the page's own start and end stand before and after all tokens
-    bounds = pages.select("path", F.inline(F.array(page(-1, "open"), page((1 << 31) - 1, "close"))))
-    rows = with_ends(tokens(pages, HTML).unionByName(bounds))
+    rows = with_ends(tokens(pages, HTML, bounds=True))
     # an opening tag's end is the next closing tag of its name on its level; levels are counted from the back for ends
     step = F.when(opens(), 1).when(closes(), -1).otherwise(0)
     rows = rows.withColumn("level", so_far(step, in_order("tag")) + closes().cast("int"))
@@ -283,19 +325,16 @@ def html_pieces(pages: DataFrame, **how) -> DataFrame:
     return out.withColumn("key", F.when(F.col("nth") > 0, joined("s", "key"))).drop("s")
 
 
-def xml_pieces(files: DataFrame, unit: Column, key: Column, context: dict[str, Column] | None = None) -> DataFrame:
-    """Pieces of XML files. unit: condition on opening tags, of which none may stand inside another; key: a column of the tag's row. context: conditions on opening tags; name_attrs is the last such tag's attributes, name_nth how many units have come since."""
-    rows = placed(tokens(files)).withColumn("unit", F.col("kind").isin("open", "empty") & unit)
+def xml_pieces(files: DataFrame, unit: Column, key: Column, names: tuple[str, ...], context: dict[str, Column] | None = None) -> DataFrame:
+    """Pieces of XML files. unit: condition on opening tags, of which none may stand inside another; key: a column of the tag's row. names: tags that unit asks its parents for. context: conditions on opening tags; name_attrs is the last such tag's attributes, name_nth how many units have come since."""
+    rows = placed(tokens(files), names).withColumn("unit", F.col("kind").isin("open", "empty") & unit)
     w = in_order()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for name, c in (context or {}).items():
-        rows = rows.withColumn(f"{name}_attrs", F.last(F.when(opens() & c, F.col("attrs")), ignorenulls=True).over(upto)).withColumn(f"{name}_no", so_far(opens() & c))
-        rows = rows.withColumn(f"{name}_nth", so_far(F.col("unit"), in_order(f"{name}_no"), before=True))
+        rows = rows.withColumn(f"{name}_attrs", F.last(F.when(opens() & c, F.col("attrs")), ignorenulls=True).over(upto))
+        rows = rows.withColumn(f"{name}_nth", so_far(F.col("unit"), before=True)).withColumn(f"{name}_nth", since(f"{name}_nth", opens() & c))
     rows = rows.withColumn("nth", so_far(F.col("unit"))).withColumn("key", F.when(F.col("unit"), key))
-    here = in_order("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low = F.min(F.when(~F.col("unit"), F.col("depth")).otherwise(F.lit(1 << 30))).over(here)
-    inside = ~F.col("unit") & (F.col("nth") > 0) & (low > F.first("depth").over(here)) & (F.first("kind").over(here) == "open")
-    return pieces(rows.withColumn("inside", inside), F.max("key").alias("key"))
+    return pieces(within(rows, F.col("unit")), F.max("key").alias("key"))
 
 
 def android_pieces(files: DataFrame) -> DataFrame:
@@ -303,21 +342,19 @@ def android_pieces(files: DataFrame) -> DataFrame:
     group = F.col("tag").isin("plurals", "string-array")
     free = ~F.coalesce(attr(F.col("attrs"), "translatable"), F.lit("")).eqNullSafe("false")
     unit = (F.col("tag") == "string") & free | (F.col("tag") == "item") & parent()["tag"].isin("plurals", "string-array") & ~F.coalesce(attr(F.col("list_attrs"), "translatable"), F.lit("")).eqNullSafe("false")
-    rows = placed(tokens(files))
+    rows = placed(tokens(files), ("plurals", "string-array"))
     upto = in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("list_attrs", F.last(F.when(opens() & group, F.col("attrs")), ignorenulls=True).over(upto)).withColumn("list_no", so_far(opens() & group))
-    rows = rows.withColumn("unit", F.col("kind").isin("open", "empty") & unit).withColumn("item_no", so_far(F.col("unit") & (F.col("tag") == "item"), in_order("list_no"), before=True))
+    rows = rows.withColumn("list_attrs", F.last(F.when(opens() & group, F.col("attrs")), ignorenulls=True).over(upto))
+    rows = rows.withColumn("unit", F.coalesce(F.col("kind").isin("open", "empty") & unit, F.lit(False)))
+    rows = rows.withColumn("item_no", so_far(F.col("unit") & (F.col("tag") == "item"), before=True)).withColumn("item_no", since("item_no", opens() & group))
     inner = F.when(F.col("tag") == "string", attr(F.col("attrs"), "name")).otherwise(F.concat_ws(":", attr(F.col("list_attrs"), "name"), F.coalesce(attr(F.col("attrs"), "quantity"), F.col("item_no").cast("string"))))
     rows = rows.withColumn("nth", so_far(F.col("unit"))).withColumn("key", F.when(F.col("unit"), inner))
-    here = in_order("nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low = F.min(F.when(~F.col("unit"), F.col("depth")).otherwise(F.lit(1 << 30))).over(here)
-    inside = ~F.col("unit") & (F.col("nth") > 0) & (low > F.first("depth").over(here)) & (F.first("kind").over(here) == "open")
-    return pieces(rows.withColumn("inside", inside), F.max("key").alias("key"))
+    return pieces(within(rows, F.col("unit")), F.max("key").alias("key"))
 
 
 def resx_pieces(files: DataFrame) -> DataFrame:
     """Values of .resx data elements, by name."""
-    return xml_pieces(files, (F.col("tag") == "value") & (parent()["tag"] == "data"), attr(F.col("data_attrs"), "name"), {"data": F.col("tag") == "data"})
+    return xml_pieces(files, (F.col("tag") == "value") & (parent()["tag"] == "data"), attr(F.col("data_attrs"), "name"), ("data",), {"data": F.col("tag") == "data"})
 
 
 def tag_units(found: DataFrame) -> DataFrame:
@@ -332,7 +369,8 @@ def rebuilt(found: DataFrame, translations: DataFrame, size: int | None = None)
     A file is put together in parts of size pieces, if given, so that no task needs to hold a large one whole; parts in order make it up. Languages are few.
     """
     langs = translations.select("language").distinct()
-    have = translations.where("target IS NOT NULL").groupBy("path", "key", "language").agg(F.min("target").alias("target"))
+    # as many rows as units: never for the driver to broadcast
+    have = translations.where("target IS NOT NULL").groupBy("path", "key", "language").agg(F.min("target").alias("target")).hint("merge")
     rows = found.crossJoin(langs).join(have, ["path", "key", "language"], "left")
     hollow = F.col("head").endswith("/>")
     name = F.regexp_extract("head", r"^<([^\s/>]+)", 1)
