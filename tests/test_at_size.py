@@ -34,3 +34,10 @@ def test_xliff_joins_nothing(spark):
     for df in (markup.xliff_source(files(spark)), markup.xliff_import(files(spark))):
         assert "Join" not in plan(df)
         assert dealt(df) == 4
+
+
+def test_blocks_are_dealt_by_content(spark):
+    assert dealt(markup.html_blocks(files(spark))) == 4
+    assert dealt(markup.html_blocks(files(spark, 80))) == 7
+    # a page without content is still one
+    assert markup.html_pieces(spark.createDataFrame([("a", None)], "path string, content string")).count() == 1
