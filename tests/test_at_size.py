@@ -41,3 +41,9 @@ def test_blocks_are_dealt_by_content(spark):
     assert dealt(markup.html_blocks(files(spark, 80))) == 7
     # a page without content is still one
     assert markup.html_pieces(spark.createDataFrame([("a", None)], "path string, content string")).count() == 1
+
+
+def test_android_is_dealt_by_content_and_sorted_once(spark):
+    df = markup.android_pieces(files(spark))
+    assert dealt(df) == 4
+    assert plan(df).count("Sort [path") <= 1
