@@ -47,3 +47,11 @@ def test_android_is_dealt_by_content_and_sorted_once(spark):
     df = markup.android_pieces(files(spark))
     assert dealt(df) == 4
     assert plan(df).count("Sort [path") <= 1
+
+
+def test_ts_is_dealt_by_content(spark):
+    df = markup.ts_units(files(spark))
+    assert dealt(df) == 4 and "Join" not in plan(df)
+    odd = """<TS><message><source>m</source></message><context><message><source>a</source></message><name>last</name></context><context><message><source>b</source></message></context></TS>"""
+    got = markup.ts_units(spark.createDataFrame([("p", odd)], "path string, content string")).collect()
+    assert sorted((r.key, r.context) for r in got) == [(":b", ""), (":m", ""), ("last:a", "last")]
