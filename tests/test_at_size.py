@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tmweave.operators import markup
-from tmweave.plans import corpus_queries
+from tmweave.plans import corpus_queries, markup_queries
 
 
 def plan(df):
@@ -55,3 +55,9 @@ def test_ts_is_dealt_by_content(spark):
     odd = """<TS><message><source>m</source></message><context><message><source>a</source></message><name>last</name></context><context><message><source>b</source></message></context></TS>"""
     got = markup.ts_units(spark.createDataFrame([("p", odd)], "path string, content string")).collect()
     assert sorted((r.key, r.context) for r in got) == [(":b", ""), (":m", ""), ("last:a", "last")]
+
+
+def test_render_reads_its_files_once(spark, sf):
+    df = markup_queries.render_android(spark, sf)
+    assert df.inputFiles() and not any("part.parquet" in f for f in df.inputFiles())
+    assert "BroadcastHashJoin" not in plan(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tmweave.operators import exchange, formats, markup
-from tmweave.sources import tree
+from tmweave.sources import folders, tree
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,8 +150,10 @@ def extract_android_any(spark, d):
 
 @query(f"SELECT p_partkey::VARCHAR AS path, 'de' AS language, {ANDROID_DE} AS content FROM part")
 def render_android(spark, d):
-    """Some units translated, the rest as it stands, put together from parts."""
-    found = markup.android_pieces(made(spark, d, "part", "p_partkey", ANDROID))
+    """Some units translated, the rest as it stands, put together from parts. Pieces are read several times, so they are written once."""
+    pieces = folders.new_path(spark, "pieces")
+    markup.android_pieces(made(spark, d, "part", "p_partkey", ANDROID)).write.parquet(pieces)
+    found = spark.read.parquet(pieces)
     some = markup.tag_units(found).where("key LIKE 'a%' OR key = 'p:many'").select("path", "key", F.lit("de").alias("language"), F.concat(F.lit("["), "raw", F.lit("]")).alias("target"))
     new = found.where("key = 'l:1'").select("path", "key", F.lit("de").alias("language"), F.lit("neu").alias("target"))
     parts = markup.rebuilt(found, some.union(new), size=2)
