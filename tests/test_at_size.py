@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tmweave.operators import markup
+from tmweave.operators import exchange, markup
 from tmweave.plans import corpus_queries, markup_queries
 
 
@@ -57,6 +57,10 @@ def test_ts_is_dealt_by_content(spark):
     assert sorted((r.key, r.context) for r in got) == [(":b", ""), (":m", ""), ("last:a", "last")]
 
 
+def test_po_is_dealt_by_content(spark):
+    assert dealt(exchange.po_entries(files(spark))) == 4
+
+
 def test_render_reads_its_files_once(spark, sf):
     df = markup_queries.render_android(spark, sf)
     assert df.inputFiles() and not any("part.parquet" in f for f in df.inputFiles())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tmweave.functions import text as fx
+from tmweave.operators import markup
 
 
 def csv_records(files: DataFrame, delimiter: str = ",") -> DataFrame:
@@ -17,7 +18,7 @@ def csv_records(files: DataFrame, delimiter: str = ",") -> DataFrame:
     # a quoted field, or anything up to a delimiter; each with what ends it
     form = rf'("(?:[^"]++|"")*+"|[^{d}\r\n]*+)({d}|\r\n|\n|\r|\z)'
     body = F.concat(F.regexp_replace("content", r"(?:\r\n|\n|\r)\z", ""), F.lit("\n"))
-    rows = files.where(F.coalesce("content", F.lit("")) != "").select("path", F.regexp_extract_all(body, F.lit(form), F.lit(0)).alias("all"))
+    rows = markup.spread(files.where(F.coalesce("content", F.lit("")) != "")).select("path", F.regexp_extract_all(body, F.lit(form), F.lit(0)).alias("all"))
     rows = rows.select("path", F.posexplode("all").alias("pos", "raw")).where("raw <> ''")
     ends = ~F.col("raw").endswith(delimiter) | F.col("raw").rlike(r"[\r\n]\z")
     before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,7 +57,7 @@ def po_entries(files: DataFrame) -> DataFrame:
     header is an entry with an empty source; obsolete entries (#~) are none.
     """
     content = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), "\r\n|\r", "\n")
-    rows = files.select("path", F.posexplode(F.split(content, "\n")).alias("pos", "line"))
+    rows = markup.spread(files).select("path", F.posexplode(F.split(content, "\n")).alias("pos", "line"))
     rows = rows.withColumn("line", F.regexp_replace("line", r"[\x00-\x08\x0b-\x1f]", "")).where("trim(line) <> '' AND line NOT LIKE '#~%'")
     line = F.col("line")
     word = F.nullif(F.regexp_extract(line, KEYWORD, 1), F.lit(""))
