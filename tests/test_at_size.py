@@ -5,7 +5,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tmweave.operators import exchange, markup
+from tmweave.operators import exchange, markup, segments
+from tmweave.operators.phases import Phases
 from tmweave.plans import corpus_queries, markup_queries
 
 
@@ -65,3 +66,11 @@ def test_render_reads_its_files_once(spark, sf):
     df = markup_queries.render_android(spark, sf)
     assert df.inputFiles() and not any("part.parquet" in f for f in df.inputFiles())
     assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_translate_computes_segments_for_each_provider_only(spark):
+    units = spark.createDataFrame([("p", "k", "a\n\nb", "", "")], "path string, key string, source string, context string, hint string")
+    job = Phases().on("segment_source", lambda: (segments.PARAGRAPHS, False)).on("get_translation_pre", lambda r: r.where("n = 2").select("path", "segment_key", "language", F.lit("B").alias("target"), F.lit(1).alias("fuzzy")))
+    out = job.translate(units, spark.createDataFrame([("de",)], "language string"), lambda r: r.select("path", "segment_key", "language", F.upper("source").alias("target"), F.lit(0).alias("fuzzy")))
+    assert len(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[", plan(out))) == 3
+    assert [(r.target, r.fuzzy) for r in out.collect()] == [("A\n\nB", 1)]

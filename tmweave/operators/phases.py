@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tmweave.operators import segments
+from tmweave.operators import markup, segments
 
 #: Conditions on files and on units; rewriters of one column (source, context, hint, key, translation, path, content); arrays of hints; tables.
 FILTERS = ("is_file_orphaned", "can_process_source_file", "can_process_ts_file", "can_generate_ts_file", "can_generate_localized_file", "can_save_localized_file", "can_extract", "can_translate")
@@ -104,7 +104,7 @@ class Phases:
         Translations are turned back (rewrite_translation) with the states that extract() kept, after segments are joined. languages: one column, language, of few rows.
         """
         kept = sorted({state for p in ("rewrite_source", "rewrite_translation") for _, state in self.hooks[p] if state})
-        rows = self.filter(self.extract(units).join(languages.select("language")), "can_translate")
+        rows = self.filter(self.extract(markup.spread(units, content="source")).join(languages.select("language")), "can_translate")
         rows = self.provide(rows, "get_translation_pre", "f0")
         given = memory(rows).select("path", "segment_key", "language", F.struct("target", F.col("fuzzy").cast("int").alias("fuzzy")).alias("f1")).where("coalesce(f1.target, '') <> ''")
         rows = self.provide(rows.join(given, ["path", "segment_key", "language"], "left"), "get_translation", "f2")
@@ -112,6 +112,5 @@ class Phases:
         rows = rows.withColumn("f", F.coalesce(blank, "f0", "f1", "f2")).select("path", "key", "language", "n", "after", F.col("f.target").alias("target"), F.col("f.fuzzy").alias("fuzzy"), *kept)
         # states belong to the unit, so all its segments have them
         unit = ["path", "key", "language"]
-        more = rows.groupBy(*unit).agg(F.max("fuzzy").alias("fuzzy"), *(F.first(k).alias(k) for k in kept))
-        out = segments.join(rows, unit, "target").withColumnRenamed("string", "target").join(more, unit)
+        out = segments.join(rows, unit, "target", F.max("fuzzy").alias("fuzzy"), *(F.first(k).alias(k) for k in kept)).withColumnRenamed("string", "target")
         return self.rewrite(out, "rewrite_translation").drop(*kept)

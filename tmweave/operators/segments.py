@@ -27,9 +27,9 @@ def cut(units: DataFrame, separator: str = PARAGRAPHS, sentences: bool = False)
     return rows.select(*rest, "n", name.alias("segment_key"), F.col("_s.text").alias("string"), F.col("_s.after").alias("after"))
 
 
-def join(segments: DataFrame, by: list[str], text: str = "string") -> DataFrame:
-    """Units (by, string) from segments (by, n, text, after), in any order of rows. A segment whose text is null counts as missing, and so does its unit."""
+def join(segments: DataFrame, by: list[str], text: str = "string", *more: Column) -> DataFrame:
+    """Units (by, string, more: aggregates) from segments (by, n, text, after), in any order of rows. A segment whose text is null counts as missing, and so does its unit."""
     parts = F.array_sort(F.collect_list(F.struct("n", F.concat(F.col(text), F.col("after")).alias("t"))))
-    rows = segments.groupBy(*by).agg(parts.alias("p"))
+    rows = segments.groupBy(*by).agg(parts.alias("p"), *more)
     missing = F.exists("p", lambda x: x["t"].isNull())
-    return rows.select(*by, F.when(~missing, F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("string"))
+    return rows.select(*by, F.when(~missing, F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("string"), *rows.columns[len(by) + 1 :])
