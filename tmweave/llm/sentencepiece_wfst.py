@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship
 from .parts import Parts
 from .sp_model import RAW, SPACE, START, Lexicon, lexicon
 
 #: Parts of texts that a worker remembers with their ids, and the power of two of slots for them. Documents solved together.
-PARTS, SLOTS, TOGETHER = 1_200_000, 21, 1000
+PARTS, SLOTS, TOGETHER = 400_000, 20, 1000
 #: Words up to this length are solved together with others of about their length; longer ones end to end, so many characters at once.
 LONG, BLOCK = 64, 4096
 
@@ -231,6 +231,7 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
 def forget() -> None:
     """A worker goes on to other tasks, which need its memory."""
     _parts.clear()
+    give_back()
 
 
 _tables: dict[str, list] = {}

@@ -12,6 +12,8 @@ import struct
 
 import numpy as np
 
+from .common import give_back
+
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -268,4 +270,5 @@ def lexicon(path: str) -> Lexicon:
     """Compiled once in each worker."""
     if path not in _cache:
         _cache[path] = Lexicon(path)
+        give_back()  # compiling takes more memory than what stays
     return _cache[path]
