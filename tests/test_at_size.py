@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from tmweave.llm import mixing
 from tmweave.operators import exchange, markup, segments
 from tmweave.operators.phases import Phases
 from tmweave.plans import corpus_queries, markup_queries
@@ -74,3 +75,16 @@ def test_translate_computes_segments_for_each_provider_only(spark):
     out = job.translate(units, spark.createDataFrame([("de",)], "language string"), lambda r: r.select("path", "segment_key", "language", F.upper("source").alias("target"), F.lit(0).alias("fuzzy")))
     assert len(re.findall(r"(?:SortMergeJoin|BroadcastHashJoin) \[", plan(out))) == 3
     assert [(r.target, r.fuzzy) for r in out.collect()] == [("A\n\nB", 1)]
+
+
+def staged(monkeypatch, module, f):
+    """Names of the tables that f writes."""
+    names, stage = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: names.append(name) or stage(df, name))
+    f()
+    return names
+
+
+def test_mixing_writes_three_tables(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert staged(monkeypatch, mixing, lambda: mixing.plan_copies(docs).count()) == ["mix-sizes", "mix-targets", "mix-took"]

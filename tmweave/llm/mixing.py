@@ -13,8 +13,10 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import stage, word_count
 
@@ -52,18 +54,18 @@ def offset(seed: int, skey: Column) -> Column:
 
 
 def whole_copies(large: DataFrame, cap: float) -> DataFrame:
-    """large: skey, nth (1 is the largest), size, target, source_size. Gives skey, nth, copies: whole numbers that keep the sum of size * copies nearest to the share of these documents, from the largest down."""
+    """large: skey, doc_id, row_hash, size, source_size, target. Adds copies: whole numbers that keep the sum of size * copies nearest to the share of a source's documents, from the largest down."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("nth")
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("size", "descending"), ("doc_id", "ascending"), ("row_hash", "ascending")], null_placement="at_start"))
         rate = rows.column("target")[0].as_py() / rows.column("source_size")[0].as_py()
         owed, out = 0.0, []
         for size in rows.column("size").to_pylist():
             out.append(min(max(math.floor(rate + owed / size + 0.5), 0), math.floor(cap)))
             owed += size * (rate - out[-1])
-        return pa.table({"skey": rows.column("skey"), "nth": rows.column("nth"), "copies": pa.array(out, pa.int64())})
+        return rows.append_column("copies", pa.array(out, pa.int64()))
 
-    return large.groupBy("skey").applyInArrow(run, "skey string, nth int, copies bigint")
+    return large.groupBy("skey").applyInArrow(run, StructType([*large.schema, StructField("copies", LongType())]))
 
 
 def plan_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, seed: int = 17) -> DataFrame:
@@ -82,16 +84,14 @@ def plan_copies(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     rows = rows.withColumn("bucket", F.coalesce(F.pmod("doc_id", F.lit(BUCKETS)), F.lit(-1)).cast("int"))
     rows = stage(rows, "mix-sizes")
     cells = rows.groupBy("skey", "source", "size", "bucket").agg(F.count("*").alias("c"))
-    cells = stage(cells.withColumn("band", (F.col("size") / BAND).cast("long")), "mix-cells")
+    cells = cells.withColumn("band", (F.col("size") / BAND).cast("long"))
     sizes = cells.groupBy("skey", "source").agg(F.sum(F.col("c") * F.col("size")).alias("source_size"))
-    level = stage(targets(sizes, weights, cap).drop("source"), "mix-targets")
+    level = stage(targets(sizes, weights, cap).drop("source").coalesce(1), "mix-targets")
     is_large = F.col("size") * LARGE > F.col("target")
     split = cells.drop("source").join(level, "skey").withColumn("large", is_large & (F.col("size") > 0))
 
-    first = Window.partitionBy("skey").orderBy(F.col("size").desc(), "doc_id", "row_hash")
-    large = rows.join(split.where("large").select("skey", "size", "bucket", "source_size", "target"), ["skey", "size", "bucket"]).withColumn("nth", F.row_number().over(first))
-    large = stage(large.select("skey", "nth", "doc_id", "row_hash", "size", "source_size", "target"), "mix-large")
-    took = stage(whole_copies(large.select("skey", "nth", "size", "target", "source_size"), cap).join(large, ["skey", "nth"]), "mix-took")
+    large = rows.join(split.where("large").select("skey", "size", "bucket", "source_size", "target"), ["skey", "size", "bucket"])
+    took = stage(whole_copies(large.select("skey", "doc_id", "row_hash", "size", "source_size", "target"), cap), "mix-took")
 
     small = split.where("not large")
     before = lambda over, by: F.coalesce(F.sum("c").over(Window.partitionBy(*over).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
