@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tmweave.llm import mixing
+from tmweave.llm import fingerprints, mixing
 from tmweave.operators import exchange, markup, segments
 from tmweave.operators.phases import Phases
 from tmweave.plans import corpus_queries, markup_queries
@@ -88,3 +88,8 @@ def staged(monkeypatch, module, f):
 def test_mixing_writes_three_tables(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert staged(monkeypatch, mixing, lambda: mixing.plan_copies(docs).count()) == ["mix-sizes", "mix-targets", "mix-took"]
+
+
+def test_fingerprints_write_one_table(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert staged(monkeypatch, fingerprints, lambda: fingerprints.fingerprint_edits(docs).count()) == ["next-ids"]

@@ -55,13 +55,16 @@ def as_string(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def next_rows(ids: DataFrame, parts: int) -> DataFrame:
-    """ids: distinct k, h. Adds nk, nh of the following row by k descending, then h; after the last comes the first.
+def in_ranges(ids: DataFrame, parts: int) -> DataFrame:
+    """ids: distinct k, h. Adds part: rows by k descending, then h, in that many ranges. Written, so that they stay where they were dealt: one file a range."""
+    return stage(ids.repartitionByRange(parts, F.col("k").desc(), F.col("h")).withColumn("part", F.spark_partition_id()), "next-ids")
 
-    Rows are dealt into ranges; within a range the next row is a window's lead, and only one row per range is passed
-    on between ranges.
+
+def next_rows(dealt: DataFrame) -> DataFrame:
+    """dealt: rows in ranges (in_ranges). Adds nk, nh of the following row; after the last comes the first.
+
+    Within a range the next row is a window's lead, and only one row per range is passed on between ranges.
     """
-    dealt = stage(ids.repartitionByRange(parts, F.col("k").desc(), F.col("h")).withColumn("part", F.spark_partition_id()), "next-ids")
     w = Window.partitionBy("part").orderBy(F.col("k").desc(), F.col("h"))
     led = dealt.withColumn("nx", F.lead(F.struct("k", "h")).over(w)).withColumn("nth", F.row_number().over(w))
     heads = led.where("nth = 1").select("part", F.struct("k", "h").alias("head"))
@@ -82,9 +85,9 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
-    ids = stage(base.select("k", "h", F.length("text").alias("n")).groupBy("k", "h", "n").agg(F.count("*").alias("rows")), "fp-ids")
+    ids = in_ranges(base.select("k", "h", F.length("text").alias("n")).groupBy("k", "h", "n").agg(F.count("*").alias("rows")), int(spark.conf.get("spark.sql.shuffle.partitions")))
     repeated = ids.where("rows > 1").limit(1).count() > 0
-    link = next_rows(ids.drop("rows"), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    link = next_rows(ids.drop("rows"))
     full = with_sketch(base, "text", "sketch", k, words)
     once = full.dropDuplicates(["k", "h"]) if repeated else full
     link, once = link.alias("l"), once.alias("d")
