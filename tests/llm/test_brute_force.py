@@ -494,3 +494,36 @@ def test_long_words_in_linear_time():
     start = time.time()
     assert len(sentencepiece_wfst.encode_texts(model, [word])[0]) == token_counts.count_texts(model, [word])[0]
     assert time.time() - start < 20
+
+
+def test_language_learns_from_all_rows(spark):
+    """Sums, known n-grams and the cut against plain versions over every labelled row, far more than there are landmarks."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language_id.held_out()
+    rows, counts = language_id.labelled(docs, ~held, "doc_id", "lang", "text")
+    all_rows = [(r.lang, language_id.grams(language_id.points(r.text))[0]) for r in rows.collect()]
+    assert len(all_rows) == sum(counts.values()) > 640
+    model = language_id.fit(docs, ~held)
+    k = np.concatenate([model.kernel([g for _, g in all_rows[i : i + 100]]) for i in range(0, len(all_rows), 100)])
+    y = np.array([[1.0 if v == lang else -1.0 for lang in model.langs] for v, _ in all_rows])
+    w = np.array([1 / counts[v] for v, _ in all_rows])
+    z = np.concatenate([k, y, np.ones((len(k), 1))], axis=1)
+    got = language_id.products(rows, model, {v: 1 / n for v, n in counts.items()})
+    assert np.allclose(got, (z * w[:, None]).T @ z) and math.isclose(got[-1, -1], len(counts))
+    # the weighted residuals of all rows sum to nothing
+    assert np.allclose(w @ (k @ model.coef + model.bias - y), 0, atol=1e-6)
+    holders = Counter((v, g) for v, s in all_rows for g in s[-1].tolist())
+    want = sorted((g, v) for (v, g), n in holders.items() if n >= max(2, counts[v] / 32))
+    sure = language_id.calibrate(docs, model, held)
+    assert sorted((int(sure.known[i]), sure.langs[j]) for i, j in zip(*np.nonzero(sure.knows))) == want
+    own = defaultdict(list)
+    for r in docs.where(held & F.col("lang").isNotNull()).collect():
+        if r.text and re.search(r"[^\W\d_]", r.text):
+            own[r.lang].append(sure.evidence(*language_id.whole(language_id.points(r.text))))
+    cells = sorted((x, 1 / len(e)) for e in own.values() for x in e)
+    upto = np.cumsum([c for _, c in cells])
+    median = cells[int(np.searchsorted(upto, upto[-1] / 2))][0]
+    assert 0 < sure.cut < median and sure.cut == language_id.calibrate(docs.repartition(3), model, held).cut
+    assert math.isclose(language_id.middle([(r, c) for r, c in ((round(x * language_id.STEPS), c) for x, c in cells)]), median, abs_tol=2 / language_id.STEPS)

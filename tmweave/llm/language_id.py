@@ -1,14 +1,15 @@
 """Language identification by string kernels.
 
 Two texts' kernel is the number of character n-grams (1 to 3, over letters and gaps) that both hold, over the root of the
-product of their own numbers: a blended-spectrum presence kernel. Landmark texts span a Nyström map of it,
-and one ridge regression per language (one against the rest) is solved in that map. Scoring is two products per batch:
+product of their own numbers: a blended-spectrum presence kernel. A few landmark texts span a Nyström map of it,
+and one ridge regression per language (one against the rest) is solved in that map, over all labelled texts: each task sums the products of its texts' kernel
+rows, so what is summed up has the landmarks' size. Scoring is two products per batch:
 presence rows with the landmarks' rows, then the kernel rows with the coefficients. N-grams are numbers of 21 bits a code point, so
 every letter of every script is itself.
 
 Scores only rank the languages: the targets of a row sum to 2 - L, so the best of L scores is never below 1/L, whatever the
 text. Whether a text is in any learned language at all is said by its evidence: the part of its n-grams of length 3 (all
-occurrences with a letter) that two landmarks of one language hold, against a cut found on labelled rows (calibrate).
+occurrences with a letter) that the labelled texts of one language hold often enough, against a cut found on all labelled rows (calibrate).
 """
 
 from __future__ import annotations
@@ -18,18 +19,21 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import ship
+from .common import give_back, ship
 
-#: Labelled texts that a fit reads in all, and how many of them are landmarks; both are dealt evenly to the languages.
-SAMPLE, LANDMARKS = 640, 128
+#: Landmarks, the texts that span the map; dealt evenly to the languages, two to each at least.
+LANDMARKS = 128
 #: Longest n-grams; bits of a code point in them; the ridge; texts scored together.
 ORDER, BITS, RIDGE, BATCH = 3, 21, 1e-2, 128
-#: A language knows the n-grams that so many of its landmarks hold (as evidence; the kernel counts all).
-SPOKEN = 2
+#: A language knows the n-grams that this part of its labelled texts holds, and two of them at least.
+SPOKEN = 1 / 32
+#: Steps of the evidence in which its median is found; occurrences of n-grams counted together; groups in which tasks' products are summed.
+STEPS, COUNTED, GROUPS = 10_000, 250_000, 16
 #: Where the cut lies on the way from the evidence of shuffled texts to that of the texts themselves.
 REACH = 0.1
 UNKNOWN = "und"
@@ -79,9 +83,10 @@ class Model:
     vocab: list[np.ndarray]  # by length: the landmarks' n-grams, sorted
     holders: np.ndarray  # for each n-gram of all lengths a row of bits: the landmarks that hold it
     norms: np.ndarray  # root of each landmark's own number of n-grams
-    known: np.ndarray  # for each of the longest n-grams whether a language knows it
+    known: np.ndarray  # the longest n-grams that any language knows, sorted; none before calibrate
     coef: np.ndarray | None = None
     bias: np.ndarray | None = None
+    knows: np.ndarray | None = None  # for each of those a row: which languages do
     cut: float | None = None  # least evidence, see calibrate
 
     def kernel(self, sets: list[list[np.ndarray]]) -> np.ndarray:
@@ -96,10 +101,10 @@ class Model:
         return (x @ z).astype(np.float64) / own[:, None] / self.norms
 
     def evidence(self, last: np.ndarray, times: np.ndarray) -> float:
-        """Of a text's longest n-grams, the part of the occurrences that the languages know. A text may be in several of them."""
+        """Of a text's longest n-grams, the part of the occurrences that the language knows that knows most of them."""
         times = np.where(last > 0, times, 0)
-        at = places(self.vocab[-1], last)
-        return float(times[at >= 0] @ self.known[at[at >= 0]] / max(1, times.sum()))
+        at = places(self.known, last)
+        return float((times[at >= 0] @ self.knows[at[at >= 0]]).max() / max(1, times.sum()))
 
     def judged(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best language (its number), its score, and whether the text is in a learned language as far as can be said: it has letters and, in a calibrated model, evidence enough."""
@@ -130,28 +135,27 @@ def whole(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded(g[-1], times, p)
 
 
-def choose(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> tuple[DataFrame, dict] | None:
-    """Rows (lang, h, text) of up to sample texts, evenly by language, chosen by a hash of the id over all of them, and the number of each (lang, h)."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of BATCH rows."""
+    for b in batches:
+        for lo in range(0, b.num_rows, BATCH):
+            yield b.slice(lo, BATCH)
+
+
+def labelled(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str) -> tuple[DataFrame, dict[str, int]]:
+    """Rows (id, lang, text) where use holds, the language is known and the text has letters, and their number by language."""
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").count()
-    langs = {r["lang"]: r["count"] for r in counts.collect()}
-    if not langs:
-        return None
-    each = max(2, sample // len(langs))
+    return rows, {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+
+
+def marks_of(rows: DataFrame, langs: dict[str, int], landmarks: int, seed: int) -> list[tuple[str, list[np.ndarray]]]:
+    """lang and distinct n-grams of the landmarks: the first of each language by a hash of the id."""
+    each = max(2, landmarks // len(langs))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 3.0 * each / n + 64 / n))) for k, n in sorted(langs.items())])
     picked = rows.withColumn("h", F.xxhash64("id", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     best = picked.select("lang", "id", "h").withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("nth") <= each)
-    ids = best.select("lang", "h", "nth").collect()
-    want = {(r["lang"], r["h"]): r["nth"] for r in ids}
-    return picked.where(F.col("h").isin([h for _, h in want])).select("lang", "h", "text"), want
-
-
-def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_col: str, sample: int, seed: int) -> list[tuple[str, list[np.ndarray]]]:
-    """lang and distinct n-grams of the chosen texts."""
-    picked = choose(docs, use, id_col, lang_col, text_col, sample, seed)
-    if picked is None:
-        return []
-    chosen, want = picked
+    want = {(r["lang"], r["h"]): r["nth"] for r in best.select("lang", "h", "nth").collect()}
+    chosen = picked.where(F.col("h").isin([h for _, h in want])).select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,79 +172,148 @@ def sample_texts(docs: DataFrame, use: Column, id_col: str, lang_col: str, text_
     return found
 
 
-def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5) -> Model | None:
-    """Learns from rows where use holds, the language is known and the text has letters; None if there are none.
+def products(rows: DataFrame, model: Model, weight: dict[str, float]) -> np.ndarray:
+    """The sum of w z z' over all rows (lang, text), where z is a text's kernel row, its targets and 1, and w its language's weight. A matrix for each task, summed in groups."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, weight))
+    width = len(model.norms) + len(model.langs) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, weights = shared.value
+        total, nth = np.zeros((width, width)), TaskContext.get().partitionId()
+        for x in slices(batches):
+            langs = x.column("lang").to_pylist()
+            k = m.kernel([grams(points(t))[0] for t in x.column("text").to_pylist()])
+            z = np.concatenate([k, np.array([[1.0 if v == lang else -1.0 for lang in m.langs] for v in langs]), np.ones((len(k), 1))], axis=1)
+            total += (z * np.array([weights[v] for v in langs])[:, None]).T @ z
+        pa.default_memory_pool().release_unused()
+        give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([nth % GROUPS]), pa.array([nth]), pa.array([total.tobytes()], pa.binary())], names=["g", "nth", "z"])
+
+    def add(key: tuple, parts: pa.Table) -> pa.Table:
+        total = np.zeros(width * width)
+        for z in parts.sort_by("nth").column("z").to_pylist():  # in one order, so that reruns agree
+            total += np.frombuffer(z)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "z": pa.array([total.tobytes()], pa.binary())})
+
+    got = rows.select("lang", "text").mapInArrow(run, "g bigint, nth bigint, z binary").groupBy("g").applyInArrow(add, "g bigint, z binary").collect()
+    shared.destroy()
+    return sum((np.frombuffer(bytes(r["z"])) for r in sorted(got, key=lambda r: r["g"])), np.zeros(width * width)).reshape(width, width)
+
 
-    The sample is bounded by the parameter, whatever the size of docs; only n-gram sets of the sample come to the driver.
+def fit(docs: DataFrame, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = 5) -> Model | None:
+    """Learns from all rows where use holds, the language is known and the text has letters; None if there are none. Languages weigh alike, whatever their number of rows.
+
+    Only the landmarks' n-grams and sums of the landmarks' size come to the driver.
     """
     ship(docs.sparkSession)
-    rows = sample_texts(docs, use, id_col, lang_col, text_col, sample, seed)
-    if not rows:
+    rows, counts = labelled(docs, use, id_col, lang_col, text_col)
+    if not counts:
         return None
-    langs = sorted({k for k, _ in rows})
-    each = max(1, landmarks // len(langs))
-    nth: dict[str, int] = {}
-    marks = []
-    for k, g in rows:
-        nth[k] = nth.get(k, 0) + 1
-        if nth[k] <= each:
-            marks.append((langs.index(k), g))
+    langs = sorted(counts)
+    marks = marks_of(rows, counts, landmarks, seed)
     vocab = [np.unique(np.concatenate([g[n] for _, g in marks])) for n in range(ORDER)]
 
-    def bits(n: int, of: list[int], width: int, least: int) -> np.ndarray:
-        """For each n-gram of a length, a row of bits: bit j is set if so many of the landmarks i with of[i] = j hold it, or all of them."""
-        out = np.zeros((len(vocab[n]), width), bool)
-        for j in range(width):
-            mine = [g for k, (_, g) in zip(of, marks, strict=True) if k == j]
-            held = np.zeros(len(vocab[n]), np.int32)
-            for g in mine:
-                held[places(vocab[n], g[n])] += 1
-            out[:, j] = held >= min(least, len(mine))
+    def bits(n: int) -> np.ndarray:
+        """For each n-gram of a length, a row of bits: the landmarks that hold it."""
+        out = np.zeros((len(vocab[n]), len(marks)), bool)
+        for j, (_, g) in enumerate(marks):
+            out[places(vocab[n], g[n]), j] = True
         return np.packbits(out, axis=1)
 
-    holders = np.concatenate([bits(n, list(range(len(marks))), len(marks), 1) for n in range(ORDER)])
     norms = np.sqrt([sum(len(x) for x in g) for _, g in marks])
-    model = Model(langs, vocab, holders, norms, bits(ORDER - 1, [k for k, _ in marks], len(langs), SPOKEN).any(1))
+    model = Model(langs, vocab, np.concatenate([bits(n) for n in range(ORDER)]), norms, np.zeros(0, np.uint64))
     k_mm = model.kernel([g for _, g in marks])
-    k_nm = np.concatenate([model.kernel([g for _, g in rows[i : i + BATCH]]) for i in range(0, len(rows), BATCH)])
     values, vectors = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = values > 1e-6 * values.max()
     nystrom = vectors[:, keep] / np.sqrt(values[keep])
-    phi = k_nm @ nystrom
-    y = np.array([[1.0 if k == lang else -1.0 for lang in langs] for k, _ in rows])
-    mean_phi, mean_y = phi.mean(0), y.mean(0)
-    a, b = phi - mean_phi, y - mean_y
-    beta = np.linalg.solve(a.T @ a + ridge * len(rows) / len(marks) * np.eye(a.shape[1]), a.T @ b)
-    return replace(model, coef=nystrom @ beta, bias=mean_y - mean_phi @ beta)
+    total = products(rows, model, {k: 1.0 / n for k, n in counts.items()})
+    total = total / total[-1, -1]
+    n, mean = len(marks), total[-1, :-1]
+    around = total[:-1, :-1] - np.outer(mean, mean)
+    a, b = nystrom.T @ around[:n, :n] @ nystrom, nystrom.T @ around[:n, n:]
+    coef = nystrom @ np.linalg.solve(a + ridge / n * np.eye(len(a)), b)
+    return replace(model, coef=coef, bias=mean[n:] - mean[:n] @ coef)
+
+
+def spoken(rows: DataFrame, counts: dict[str, int], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The longest n-grams that a language knows, and for each which languages do: those held by the part SPOKEN of its rows (lang, text), by two at least (or all). So it knows 1 / SPOKEN times as many as a text has on average, at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, g in held.items():
+                found, times = np.unique(np.concatenate(g), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "gram", "n"])
+            held.clear()
+
+        for b in slices(batches):
+            for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
+                held.setdefault(lang, []).append(g := grams(points(t))[0][-1])
+                size += len(g)
+                if size > COUNTED:
+                    yield from counted()
+                    size = 0
+        yield from counted()
+        pa.default_memory_pool().release_unused()
+        give_back()
+
+    least = F.coalesce(*[F.when(F.col("lang") == k, F.lit(max(min(2, n), SPOKEN * n))) for k, n in sorted(counts.items())])
+    found = rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    got = found.select("lang", "gram").collect()
+    known, at = np.unique(np.array([r["gram"] for r in got], np.uint64), return_inverse=True)
+    knows = np.zeros((len(known), len(langs)), np.int64)
+    knows[at, [langs.index(r["lang"]) for r in got]] = 1
+    return known, knows
 
 
-def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", sample: int = SAMPLE, seed: int = 6) -> Model | None:
-    """The model with the least evidence, found on labelled rows where use holds (a bounded sample).
+def middle(cells: list[tuple[int, float]]) -> float:
+    """The weighted median of numbers of steps, as evidence."""
+    cells = sorted(cells)
+    upto = np.cumsum([w for _, w in cells])
+    lo, hi = (np.searchsorted(upto, upto[-1] / 2 * f) for f in (1 - 1e-12, 1 + 1e-12))
+    return (cells[lo][0] + cells[min(hi, len(cells) - 1)][0]) / 2 / STEPS
+
+
+def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", seed: int = 6) -> Model | None:
+    """The model with what its languages know, counted over all labelled rows where use doesn't hold, and the least evidence, found on all where it does. Languages weigh alike.
 
     The cut lies a little above the median evidence of the texts with their letters shuffled, which keeps letters and lengths but is in no
-    language: a tenth of the way to the median of the texts themselves. If there are no such rows, those of docs that use leaves out serve.
+    language: a tenth of the way to the median of the texts themselves. Either part being empty, the other serves for both. Only what is known and counts of evidence in steps come to the driver.
     """
     if model is None:
         return None
-    spark = docs.sparkSession
-    picked = choose(docs, use & F.col(lang_col).cast("string").isin(model.langs), id_col, lang_col, text_col, sample, seed) or choose(docs, F.col(lang_col).cast("string").isin(model.langs), id_col, lang_col, text_col, sample, seed)
-    shared = spark.sparkContext.broadcast(model)
+    ship(docs.sparkSession)
+    use = use & F.col(lang_col).cast("string").isin(model.langs)
+    others, known = labelled(docs, ~use & F.col(lang_col).cast("string").isin(model.langs), id_col, lang_col, text_col)
+    rows, counts = labelled(docs, use, id_col, lang_col, text_col)
+    others, known = (others, known) if known else (rows, counts)
+    rows, counts = (rows, counts) if counts else (others, known)
+    grams_known, knows = spoken(others, known, model.langs)
+    model = replace(model, known=grams_known, knows=knows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             own, junk = [], []
             for h, t in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
                 p = points(t)
-                own.append(m.evidence(*whole(p)) if p.any() else None)
+                own.append(round(m.evidence(*whole(p)) * STEPS) if p.any() else None)
                 p[p > 0] = np.random.default_rng(h % (1 << 63)).permutation(p[p > 0])
-                junk.append(m.evidence(*whole(p)) if p.any() else None)
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(own, pa.float64()), pa.array(junk, pa.float64())], names=["lang", "h", "own", "junk"])
+                junk.append(round(m.evidence(*whole(p)) * STEPS) if p.any() else None)
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(own, pa.int64()), pa.array(junk, pa.int64())], names=["lang", "own", "junk"])
+        pa.default_memory_pool().release_unused()
+        give_back()
 
-    chosen, want = picked
-    got = [r for r in chosen.mapInArrow(run, "lang string, h bigint, own double, junk double").collect() if (r["lang"], r["h"]) in want and r["own"] is not None]
+    judged = rows.select("lang", F.xxhash64("id", F.lit(seed)).alias("h"), "text").mapInArrow(run, "lang string, own bigint, junk bigint").where("own IS NOT NULL")
+    each = judged.select("lang", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("own").alias("cell")), F.struct(F.lit(False).alias("own"), F.col("junk").alias("cell")))).alias("e"))
+    got = each.select("lang", "e.*").groupBy("lang", "own", "cell").count().collect()
     shared.destroy()
-    own, junk = np.median([r["own"] for r in got]), np.median([r["junk"] for r in got])
+    if not got:
+        return model
+    own, junk = (middle([(r["cell"], r["count"] / counts[r["lang"]]) for r in got if r["own"] == what]) for what in (True, False))
     return replace(model, cut=float(junk + REACH * (own - junk)))
 
 
@@ -262,6 +335,7 @@ def judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str)
                     score = np.where(sure, score, 0)
                 yield pa.RecordBatch.from_arrays([x.column("row"), pa.array(names, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
         pa.default_memory_pool().release_unused()
+        give_back()
 
     return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
