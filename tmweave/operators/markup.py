@@ -36,11 +36,13 @@ LEVELS = 16
 ORDER = ["pos", "sub"]
 #: Characters of content in a partition of files, about; its tokens take some twenty times as much memory.
 SPREAD = 500_000
+#: Characters that a file counts for beside its content: one without any has two tokens as well.
+EACH = 20
 
 
 def spread(files: DataFrame, size: int = SPREAD, content: str = "content") -> DataFrame:
-    """Files (path, content) dealt over as many partitions by path as their content needs, a file whole. It counts the content's length first, so that a partition doesn't grow with the input; no task sorts more than its partition's tokens."""
-    total = files.agg(F.sum(F.length(content))).first()[0] or 0
+    """Files (path, content) dealt over as many partitions by path as their content and number need, a file whole. It counts the content's length first, so that a partition doesn't grow with the input; no task sorts more than its partition's tokens."""
+    total = files.agg(F.sum(F.coalesce(F.length(content), F.lit(0)) + EACH)).first()[0] or 0
     return files.repartition(-(-total // size) or 1, "path")
 
 

@@ -21,9 +21,16 @@ def query(sql: str | None = None):
     return add
 
 
+#: Rows of which one task makes files, about, and tasks at most: a shuffle of up to 200 partitions is written without holding its rows.
+ROWS, TASKS = 2_000, 200
+
+
 def made(spark, d, table: str, path: str, content: str):
-    """Files (path, content) of a table's rows, content in Spark SQL."""
-    return spark.read.parquet(f"{d}/{table}.parquet").select(F.col(path).cast("string").alias("path"), F.expr(content).alias("content"))
+    """Files (path, content) of a table's rows, content in Spark SQL. Rows are dealt before files are made of them: a table has few splits for the content that comes of it, and the tasks that shuffle the files would hold all of a split's."""
+    rows = spark.read.parquet(f"{d}/{table}.parquet")
+    tasks = min(-(-rows.count() // ROWS), TASKS)
+    rows = rows.repartition(tasks, path) if tasks > 1 else rows
+    return rows.select(F.col(path).cast("string").alias("path"), F.expr(content).alias("content"))
 
 
 NESTED = """concat('<html><body class="a>b"><P>', url, '</P><ul><li>lost<ul><li>inner ', page_id, '</li><li>last <b>', url, '</b></li></ul></li><li>tail<!-- <p>c</p> --></ul>',
