@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 #: Rows of which one task makes files, about, and tasks at most: a shuffle of up to 200 partitions is written without holding its rows.
-ROWS, TASKS = 2_000, 200
+ROWS, TASKS = 10_000, 200
 
 
 def made(spark, d, table: str, path: str, content: str):
