@@ -66,6 +66,10 @@ def test_rows_of_android_are_dealt_before_files_are_made(spark):
     assert rows_dealt(spark, markup_queries.extract_android_any, "part", "p_partkey") == [3]
 
 
+def test_rows_of_ts_are_dealt_before_files_are_made(spark):
+    assert rows_dealt(spark, markup_queries.extract_ts_any, "part", "p_partkey") == [3]
+
+
 def test_android_is_dealt_by_content_and_sorted_once(spark):
     df = markup.android_pieces(files(spark))
     assert dealt(df) == 4
