@@ -1,13 +1,15 @@
 """The pipeline against plain versions of its stages."""
 
+import gc
 import random
+import weakref
 from collections import Counter
 
 import sentencepiece
 
 import corpus_pipeline
 from tests.llm.test_brute_force import grouped
-from tmweave.llm import mixing, queries
+from tmweave.llm import common, mixing, queries
 from tmweave.llm.common import stage
 
 
@@ -48,3 +50,30 @@ def test_language_rejects(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame([(i * 2 + (k is None), t, k, s, n) for i, t, k, s, n in planted], docs.schema)), sf).select("doc_id").collect()}
     assert not {i for i in kept if i >= 200_000}
     assert {r.doc_id for r in docs.select("doc_id").collect()} <= kept
+
+
+class Held:
+    """What a task has at hand."""
+
+
+def test_memory_goes_back_when_a_task_holds_nothing_more(monkeypatch):
+    seen = []
+
+    def run(batches):
+        for b in batches:
+            own = Held()
+            seen.append(weakref.ref(own))
+            yield b
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(gc.collect() >= 0 and [r() for r in seen]))
+    assert list(common.tidy(run)(iter([1, 2]))) == [1, 2]
+    assert seen[2:] == [[None, None]]
+
+
+def test_python_tasks_of_all_stages_give_memory_back(spark, sf, monkeypatch):
+    docs, ran = spark.read.parquet(f"{sf}/documents.parquet"), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *args, **how: ran.append(f) or plain(self, f, *args, **how))
+    for _, f in corpus_pipeline.STAGES:
+        f(spark, docs, sf)
+    assert len({f.__code__ for f in ran}) == 1 and {f.__wrapped__.__module__.rpartition(".")[2] for f in ran} == {"language_id", "jaccard_join", "sentencepiece_wfst"}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import discard, ship, stage
+from .common import discard, ship, stage, tidy
 from .components import components
 from .shingles import M1, STEP, chunks, mixed, shared_shingles, shingle_sets, words_of
 
@@ -79,7 +79,7 @@ def levels(docs: DataFrame, words: int) -> np.ndarray:
         level = np.where(extra > 4 * np.sqrt(usual) + 3, 1 + np.floor(np.log2(np.maximum(extra, 1))), 0).astype(np.uint8)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "level": pa.array([level.tobytes()], pa.binary())})
 
-    counts = docs.select("text").mapInArrow(count, "part int, counts binary")
+    counts = docs.select("text").mapInArrow(tidy(count), "part int, counts binary")
     out = np.zeros((PARTS, CELLS // PARTS), np.uint8)
     for r in counts.groupBy("part").applyInArrow(add, "part int, level binary").collect():
         out[r["part"]] = np.frombuffer(bytes(r["level"]), np.uint8)
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, level: np.ndarray, words: int, num: int, den: in
                 arrays = [b.column("doc_id").slice(lo, hi - lo), b.column("h").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), pa.array(need, pa.int32()), pa.array(short, pa.int32()), pa.array(cent, pa.int64()), pa.array([x.tobytes() for x in hist], pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(toks), pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "n", "k1", "k2", "need", "short", "cent", "hist", "toks"])
 
-    return docs.mapInArrow(run, "doc_id bigint, h bigint, n bigint, k1 bigint, k2 bigint, need int, short int, cent bigint, hist binary, toks array<bigint>")
+    return docs.mapInArrow(tidy(run), "doc_id bigint, h bigint, n bigint, k1 bigint, k2 bigint, need int, short int, cent bigint, hist binary, toks array<bigint>")
 
 
 def feasible(n: Column, pos: Column, m: Column, at: Column, num: int, den: int) -> Column:
@@ -151,7 +151,7 @@ def flagged(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(hit)], names=[*b.schema.names[:-1], "hit"])
 
     out = rows.withColumn("slot", F.shiftrightunsigned(F.xxhash64(column), 40))
-    return out.mapInArrow(run, StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
+    return out.mapInArrow(tidy(run), StructType([*rows.schema.fields, StructField("hit", BooleanType())]))
 
 
 def among(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFram
     some = among(classes.select("cls", "n", "hist"), "cls", pairs.select(F.explode(F.array("a", "b"))))
     of = lambda k, v: some.select(F.col("cls").alias(k), F.col("n").alias(f"n{v}"), F.col("hist").alias(f"h{v}"))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    return both.select("a", "b", "nx", "ny", "hx", "hy").mapInArrow(check, "a bigint, b bigint")
+    return both.select("a", "b", "nx", "ny", "hx", "hy").mapInArrow(tidy(check), "a bigint, b bigint")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -227,11 +227,11 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # a batch holds one text of a class at most, and a class that many batches hold is thinned out before the shuffle
-    got = docs.select("text").mapInArrow(texts, "k1 bigint, k2 bigint, words binary").groupBy("k1", "k2").agg(F.first("words").alias("words"))
+    got = docs.select("text").mapInArrow(tidy(texts), "k1 bigint, k2 bigint, words binary").groupBy("k1", "k2").agg(F.first("words").alias("words"))
     got = stage(got.join(wanted, ["k1", "k2"]).select("cls", "words"), "join-texts")
     left = pairs.join(got.select(F.col("cls").alias("a"), F.col("words").alias("x")), "a")
     both = left.join(got.select(F.col("cls").alias("b"), F.col("words").alias("y")), "b")
-    links = stage(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "join-links")
+    links = stage(both.select("a", "b", "x", "y").mapInArrow(tidy(check), "a bigint, b bigint"), "join-links")
     discard(got, wanted)
     return links
 

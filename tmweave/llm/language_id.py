@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import give_back, ship
+from .common import ship, tidy
 
 #: Landmarks, the texts that span the map; dealt evenly to the languages, two to each at least.
 LANDMARKS = 128
@@ -162,7 +162,7 @@ def marks_of(rows: DataFrame, langs: dict[str, int], landmarks: int, seed: int)
             got = [grams(points(t))[0] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), *(pa.array([g[n].tobytes() for g in got], pa.binary()) for n in range(ORDER))], names=["lang", "h", *(f"g{n}" for n in range(ORDER))])
 
-    got = chosen.mapInArrow(run, "lang string, h bigint, " + ", ".join(f"g{n} binary" for n in range(ORDER))).collect()
+    got = chosen.mapInArrow(tidy(run), "lang string, h bigint, " + ", ".join(f"g{n} binary" for n in range(ORDER))).collect()
     found, seen = [], set()
     for r in sorted(got, key=lambda r: (r["lang"], want.get((r["lang"], r["h"]), 0))):
         key = (r["lang"], r["h"])
@@ -185,8 +185,6 @@ def products(rows: DataFrame, model: Model, weight: dict[str, float]) -> np.ndar
             k = m.kernel([grams(points(t))[0] for t in x.column("text").to_pylist()])
             z = np.concatenate([k, np.array([[1.0 if v == lang else -1.0 for lang in m.langs] for v in langs]), np.ones((len(k), 1))], axis=1)
             total += (z * np.array([weights[v] for v in langs])[:, None]).T @ z
-        pa.default_memory_pool().release_unused()
-        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([nth % GROUPS]), pa.array([nth]), pa.array([total.tobytes()], pa.binary())], names=["g", "nth", "z"])
 
     def add(key: tuple, parts: pa.Table) -> pa.Table:
@@ -195,7 +193,7 @@ def products(rows: DataFrame, model: Model, weight: dict[str, float]) -> np.ndar
             total += np.frombuffer(z)
         return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "z": pa.array([total.tobytes()], pa.binary())})
 
-    got = rows.select("lang", "text").mapInArrow(run, "g bigint, nth bigint, z binary").groupBy("g").applyInArrow(add, "g bigint, z binary").collect()
+    got = rows.select("lang", "text").mapInArrow(tidy(run), "g bigint, nth bigint, z binary").groupBy("g").applyInArrow(add, "g bigint, z binary").collect()
     shared.destroy()
     return sum((np.frombuffer(bytes(r["z"])) for r in sorted(got, key=lambda r: r["g"])), np.zeros(width * width)).reshape(width, width)
 
@@ -256,11 +254,9 @@ def spoken(rows: DataFrame, counts: dict[str, int], langs: list[str]) -> tuple[n
                     yield from counted()
                     size = 0
         yield from counted()
-        pa.default_memory_pool().release_unused()
-        give_back()
 
     least = F.coalesce(*[F.when(F.col("lang") == k, F.lit(max(min(2, n), SPOKEN * n))) for k, n in sorted(counts.items())])
-    found = rows.select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = rows.select("lang", "text").mapInArrow(tidy(run), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got = found.select("lang", "gram").collect()
     known, at = np.unique(np.array([r["gram"] for r in got], np.uint64), return_inverse=True)
     knows = np.zeros((len(known), len(langs)), np.int64)
@@ -304,10 +300,8 @@ def calibrate(docs: DataFrame, model: Model | None, use: Column, id_col: str = "
                 p[p > 0] = np.random.default_rng(h % (1 << 63)).permutation(p[p > 0])
                 junk.append(round(m.evidence(*whole(p)) * STEPS) if p.any() else None)
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(own, pa.int64()), pa.array(junk, pa.int64())], names=["lang", "own", "junk"])
-        pa.default_memory_pool().release_unused()
-        give_back()
 
-    judged = rows.select("lang", F.xxhash64("id", F.lit(seed)).alias("h"), "text").mapInArrow(run, "lang string, own bigint, junk bigint").where("own IS NOT NULL")
+    judged = rows.select("lang", F.xxhash64("id", F.lit(seed)).alias("h"), "text").mapInArrow(tidy(run), "lang string, own bigint, junk bigint").where("own IS NOT NULL")
     each = judged.select("lang", F.explode(F.array(F.struct(F.lit(True).alias("own"), F.col("own").alias("cell")), F.struct(F.lit(False).alias("own"), F.col("junk").alias("cell")))).alias("e"))
     got = each.select("lang", "e.*").groupBy("lang", "own", "cell").count().collect()
     shared.destroy()
@@ -334,10 +328,8 @@ def judged(docs: DataFrame, model: Model | None, keep: list[str], text_col: str)
                     names = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best.tolist(), sure.tolist(), strict=True)]
                     score = np.where(sure, score, 0)
                 yield pa.RecordBatch.from_arrays([x.column("row"), pa.array(names, pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
-        pa.default_memory_pool().release_unused()
-        give_back()
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text") -> DataFrame:

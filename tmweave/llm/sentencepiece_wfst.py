@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, ship
+from .common import ship, tidy
 from .parts import Parts
 from .sp_model import RAW, SPACE, START, Lexicon, lexicon
 
@@ -231,7 +231,6 @@ def encode_texts(path: str, texts: list[str]) -> list[np.ndarray]:
 def forget() -> None:
     """A worker goes on to other tasks, which need its memory."""
     _parts.clear()
-    give_back()
 
 
 _tables: dict[str, list] = {}
@@ -271,7 +270,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n), ids, pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "round_trip"])
         forget()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_pieces bigint, ids array<int>, round_trip boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, n_pieces bigint, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
